@@ -170,7 +170,7 @@ def set_members(typed: DataFrame) -> DataFrame:
     size = (F.when(F.col("role") == "basemodel", F.col("n_basemodel"))
             .when(F.col("role") == "modelset", F.col("n_modelset")).otherwise(F.col("n_output")))
     outputs = F.greatest("n_output", F.lit(1))
-    stride = (F.when(F.col("role") == "basemodel", F.col("n_modelset") * outputs)
+    stride = (F.when(F.col("role") == "basemodel", F.greatest("n_modelset", F.lit(1)) * outputs)
               .when(F.col("role") == "modelset", outputs).otherwise(F.lit(1)))
     return members.join(counts, "exp_id").select(
         "exp_id", "role", "file", "ordinal", size.alias("n_role"), stride.alias("stride"), "n_sets")

@@ -77,26 +77,28 @@ def run_tasks(tasks: DataFrame, fn: Callable[[dict], pd.DataFrame], schema: T.St
     extra = T.StructType.fromDDL("task_index BIGINT, status STRING, error_type STRING, error_message STRING")
     names, full = result.names, T.StructType([*extra.fields, *result.fields])
 
-    def call(workload: dict) -> pd.DataFrame:
-        try:
-            out = fn(workload).reindex(columns=names)
-            status = ("ok", None, None)
-        except Exception as error:  # noqa: BLE001 - every failure becomes a row
-            out = pd.DataFrame([[None] * len(names)], columns=names)
-            status = ("failed", type(error).__name__, str(error))
-        head = dict(zip(extra.names, (workload["task_index"], *status)))
-        return pd.concat([pd.DataFrame(head, index=out.index), out], axis=1)[full.names]
+    def flush(good: list[pd.DataFrame], bad: list[tuple]) -> Iterator[pd.DataFrame]:
+        if good:
+            yield pd.concat(good).assign(status="ok", error_type=None, error_message=None)[full.names]
+        if bad:
+            yield pd.DataFrame(bad, columns=extra.names).reindex(columns=full.names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: list[pd.DataFrame] = []
+        good, bad, held = [], [], 0
         for batch in batches:
             for workload in batch.to_dict("records"):
-                ready.append(call(workload))
-                if sum(map(len, ready)) >= RESULT_ROWS:
-                    yield pd.concat(ready)
-                    ready.clear()
-        if ready:
-            yield pd.concat(ready)
+                index = workload["task_index"]
+                try:
+                    out = fn(workload).reindex(columns=names).assign(task_index=index)
+                    good.append(out)
+                    held += len(out)
+                except Exception as error:  # noqa: BLE001 - every failure becomes a row
+                    bad.append((index, "failed", type(error).__name__, str(error)))
+                    held += 1
+                if held >= RESULT_ROWS:
+                    yield from flush(good, bad)
+                    good, bad, held = [], [], 0
+        yield from flush(good, bad)
 
     spread = tasks.repartition(parallelism, "task_index") if parallelism else tasks
     return spread.mapInPandas(run, full)
