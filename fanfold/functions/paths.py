@@ -179,9 +179,16 @@ def glob_match(value: Column, patterns: Iterable[str]) -> Column:
     return value.rlike(glob_regex(*patterns))
 
 
+def literal_dir(pattern: str) -> str:
+    """The directories before the first wildcard; a pattern without one is a directory itself."""
+    literal = literal_part(pattern)
+    return literal.rstrip("/") if literal == pattern else literal.rpartition("/")[0]
+
+
 def glob_starts(path: Column, patterns: Iterable[str], prefix: str = "") -> Column:
-    """True for every path that could match below ``prefix``: an ``OR`` of literal starts.
+    """True for every path below a directory that a match can lie in: an ``OR`` of literal starts.
 
     Spark pushes ``startswith`` on a stored column into the Parquet scan, which a regex is not.
     """
-    return any_of(path.startswith(prefix + literal_part(p)) for p in patterns)
+    dirs = sorted({literal_dir(p) for p in patterns})
+    return any_of(path.startswith(f"{prefix}{d}/" if d else prefix) for d in dirs)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fanfold.functions import paths as P
+from fanfold.operators.ordering import computed_once
+from fanfold.session import materialize
 
 # Experiment, run, stage directory and the directory below it; a directory has something after it.
 _LAYOUT = rf"(?s)^(.*?)/({P.RUN_ID})(?:/(?:([^/]*)/(?:([^/]*)/)?)?.*)?\z"
@@ -25,9 +27,9 @@ def parse_artifacts(df: DataFrame, prefix: str) -> DataFrame:
     cut = F.split(F.regexp_replace(P.below(F.col("path"), prefix), _LAYOUT, _PIECES), _MARK)
     parts = df.where(F.col("path").startswith(prefix)).withColumn("__cut", cut)
     piece = lambda i: F.nullif(F.get("__cut", F.lit(i)), F.lit(""))
-    named = parts.select(*df.columns, F.when(F.size("__cut") > 1, F.get("__cut", F.lit(0))).alias("exp_id"),
-                         piece(1).alias("run_id"), piece(2).alias("stage_dir"), piece(3).alias("__out"),
-                         P.basename(F.col("path")).alias("file"))
+    named = computed_once(
+        parts, exp_id=F.when(F.size("__cut") > 1, F.get("__cut", F.lit(0))), run_id=piece(1), stage_dir=piece(2),
+        __out=piece(3), file=P.basename(F.col("path")))
     output_dir = F.when(F.col("stage_dir") == "outputs", F.col("__out"))
     return named.select(
         *df.columns, "exp_id", "run_id", "stage_dir",
@@ -40,18 +42,19 @@ def parse_artifacts(df: DataFrame, prefix: str) -> DataFrame:
 
 def experiment_runs(df: DataFrame, prefix: str) -> DataFrame:
     """Distinct ``(exp_id, run_id)``; copies are removed inside each task before the shuffle."""
-    rel = P.below(F.col("path"), prefix)
-    heads = (df.where(F.col("path").startswith(prefix) & rel.rlike(P.RUN_HEAD))
-             .select(P.run_head(rel).alias("__head")).distinct())
-    return heads.select(P.head_exp(F.col("__head")).alias("exp_id"),
-                        P.head_run(F.col("__head")).alias("run_id"))
+    below = df.where(F.col("path").startswith(prefix)).select("path")
+    heads = computed_once(below, __head=P.run_head(P.below(F.col("path"), prefix)))
+    return heads.where("__head <> ''").select("__head").distinct().select(
+        P.head_exp(F.col("__head")).alias("exp_id"), P.head_run(F.col("__head")).alias("run_id"))
 
 
-def experiments(df: DataFrame, prefix: str, max_depth: int = 10) -> DataFrame:
-    """Experiment directories; one below another experiment is hidden, as is one too deep."""
-    found = experiment_runs(df, prefix).select("exp_id").distinct().where("exp_id <> ''")
+def visible(exps: DataFrame, max_depth: int = 10) -> DataFrame:
+    """Rows of experiments (``exp_id`` unique) that are not too deep and not below another one.
+
+    ``exps`` is read three times, so pass a stored or materialized frame.
+    """
     parts = F.split("exp_id", "/")
-    shallow = found.where(F.size(parts) < max_depth)
+    shallow = exps.where((F.col("exp_id") != "") & (F.size(parts) < max_depth))
     parents = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
                           lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     above = (shallow.where(F.size(parts) > 1)
@@ -60,6 +63,14 @@ def experiments(df: DataFrame, prefix: str, max_depth: int = 10) -> DataFrame:
     return shallow.join(hidden.select("exp_id").distinct(), "exp_id", "left_anti")
 
 
+def experiments(df: DataFrame, prefix: str, max_depth: int = 10) -> DataFrame:
+    """Experiment directories; one below another experiment is hidden, as is one too deep.
+
+    The short list of names is written once, so the artifact table is scanned once.
+    """
+    return visible(materialize(experiment_runs(df, prefix).select("exp_id").distinct()), max_depth)
+
+
 def run_dirs(df: DataFrame, exp_path: str) -> DataFrame:
     """All direct child directories of one experiment, whatever their names."""
     prefix = exp_path.rstrip("/") + "/"
@@ -70,11 +81,8 @@ def run_dirs(df: DataFrame, exp_path: str) -> DataFrame:
             .where("run_id <> ''").distinct())
 
 
-def glob_filter(df: DataFrame, column: str, patterns: Sequence[str], prune: bool = False) -> DataFrame:
-    """Rows whose column matches any pattern. ``prune`` adds the literal starts, which helps where
-    the column is stored in the file that is read."""
-    kept = df.where(P.glob_match(F.col(column), patterns))
-    return kept.where(P.glob_starts(F.col(column), patterns)) if prune else kept
+def glob_filter(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
+    return df.where(P.glob_match(F.col(column), patterns))
 
 
 def scan_below(df: DataFrame, prefix: str, patterns: Sequence[str]) -> DataFrame:
@@ -139,14 +147,11 @@ def retrieval_plan(df: DataFrame, prefix: str, patterns: Sequence[str],
                    files: Sequence[str] | None = None) -> DataFrame:
     """Per matching experiment: latest run, number of runs, wanted files.
 
-    An experiment is in the list because it has a run, so one aggregate over its runs gives all
-    columns; the experiments hidden below another one are removed by the join.
+    One scan gives one row per experiment; that short table is written once and the rest works on it.
     """
-    kept = glob_filter(experiments(df, prefix), "exp_id", patterns)
-    found = experiment_runs(scan_below(df, prefix, patterns), prefix)
-    runs = latest_runs(glob_filter(found, "exp_id", patterns))
-    return runs.join(kept, "exp_id", "left_semi").select(
-        "exp_id", "run_id", "n_runs", _targets(files).alias("targets"))
+    found = materialize(latest_runs(experiment_runs(scan_below(df, prefix, patterns), prefix)))
+    kept = glob_filter(visible(found), "exp_id", patterns)
+    return kept.select("exp_id", "run_id", "n_runs", _targets(files).alias("targets"))
 
 
 def plan_totals(plan: DataFrame) -> DataFrame:

@@ -29,6 +29,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(other, condition, how).drop(*[f"__r_{c}" for c in on])
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns whose definitions are evaluated once per row.
+
+    A filter on a plain derived column is pushed down by inserting the column's definition, so an
+    expensive regex runs once more for every mention. Filters stay above a generator, and this one
+    gives exactly one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def prefix_sum(df: DataFrame, group: Sequence[str], order_by: Sequence[str | Column],
                weight: str | None = None, name: str = "position") -> DataFrame:
     """Sum of ``weight`` over the earlier rows of the group (their number without ``weight``).

@@ -9,21 +9,26 @@ BASE_TABLES = ("region nation customer supplier part orders lineitem events docu
                "benchmark labels conversations").split()
 
 SQL = {
+    # The run part of a path is made once per order and the files are grouped by short keys, so
+    # the long path text is built only after the join.
     "fx_artifacts": """
-        SELECT 'pipeline/flu/' || substr(replace(cast(o_orderdate AS string), '-', ''), 1, 6) || '/' ||
-          CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'hosp_' ELSE 'ed_' END ||
-          cast(o_custkey % 20 AS string) || '/' ||
-          substr(replace(cast(o_orderdate AS string), '-', ''), 1, 8) || '-' ||
-          lpad(cast(o_orderkey % 24 AS string), 2, '0') || lpad(cast(o_orderkey % 60 AS string), 2, '0') ||
-          '00-' || lpad(lower(hex(o_orderkey)), 8, '0') || '/' ||
-          CASE l_linenumber WHEN 1 THEN 'builder-artifacts/input_00000.pkl.gz'
-            WHEN 2 THEN 'runner-artifacts/result_00000.pkl.gz'
-            WHEN 3 THEN 'outputs/20240101-000000/posterior_grid.pdf'
-            WHEN 4 THEN 'outputs/20240101-000000/quantiles_grid_sidebyside.pdf'
-            WHEN 5 THEN 'outputs/20240101-000000/categorical_rate_trends.pdf'
-            ELSE 'outputs/20240102-000000_m1/quantiles_compartments.csv.gz' END AS path,
-          max(cast(l_quantity * 1000 AS bigint)) AS length
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1""",
+        SELECT run_path || file AS path, length FROM (
+          SELECT o_orderkey, 'pipeline/flu/' || substr(replace(cast(o_orderdate AS string), '-', ''), 1, 6) || '/' ||
+            CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'hosp_' ELSE 'ed_' END ||
+            cast(o_custkey % 20 AS string) || '/' ||
+            substr(replace(cast(o_orderdate AS string), '-', ''), 1, 8) || '-' ||
+            lpad(cast(o_orderkey % 24 AS string), 2, '0') || lpad(cast(o_orderkey % 60 AS string), 2, '0') ||
+            '00-' || lpad(lower(hex(o_orderkey)), 8, '0') || '/' AS run_path
+          FROM {orders}) o
+        JOIN (
+          SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'builder-artifacts/input_00000.pkl.gz'
+              WHEN 2 THEN 'runner-artifacts/result_00000.pkl.gz'
+              WHEN 3 THEN 'outputs/20240101-000000/posterior_grid.pdf'
+              WHEN 4 THEN 'outputs/20240101-000000/quantiles_grid_sidebyside.pdf'
+              WHEN 5 THEN 'outputs/20240101-000000/categorical_rate_trends.pdf'
+              ELSE 'outputs/20240102-000000_m1/quantiles_compartments.csv.gz' END AS file,
+            max(cast(l_quantity * 1000 AS bigint)) AS length
+          FROM {lineitem} GROUP BY 1, 2) l ON l_orderkey = o_orderkey""",
     "fx_runs": """
         SELECT o_orderkey AS run_key, 7 AS n_expected, cast(o_orderdate AS date) AS day FROM {orders}""",
     "fx_results": """
