@@ -9,15 +9,19 @@ TELEMETRY_SCHEMA = "status STRING, duration DOUBLE, _bad STRING"
 _FILE = r"(builder|runner|output)(?:_([0-9]+))?_summary\.json"
 
 
-def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """One row per summary file below ``path``; stage and task come from the file name and files
-    that hold no readable summary are left out."""
-    raw = (spark.read.schema(TELEMETRY_SCHEMA).option("multiLine", True)
-           .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*_summary.json").json(path))
-    file = F.col("_metadata.file_name")
-    rows = raw.select(F.regexp_extract(file, _FILE, 1).alias("stage"),
-                      F.regexp_extract(file, _FILE, 2).try_cast("int").alias("task_index"),
+def read_telemetry(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """One row per summary below ``path``; stage and task come from the name and summaries that
+    cannot be read are left out.
+
+    With ``by_folder`` the name is that of the folder Spark wrote the summary into
+    (``file=runner_00001_summary.json``).
+    """
+    reader = (spark.read.schema(TELEMETRY_SCHEMA).option("multiLine", True)
+              .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True))
+    raw = reader.json(path) if by_folder else reader.option("pathGlobFilter", "*_summary.json").json(path)
+    name = F.col("_metadata.file_path" if by_folder else "_metadata.file_name")
+    rows = raw.select(F.regexp_extract(name, _FILE, 1).alias("stage"),
+                      F.regexp_extract(name, _FILE, 2).try_cast("int").alias("task_index"),
                       "status", "duration", "_bad")
     return rows.where("stage <> '' and _bad is null").drop("_bad")
 

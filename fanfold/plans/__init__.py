@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _module in ("catalog", "tasks", "results", "jobs", "logs", "metrics", "cost", "configs", "scalars"):
+for _module in ("catalog", "tasks", "results", "jobs", "logs", "metrics", "cost", "configs", "scalars", "stored"):
     import_module(f"fanfold.plans.{_module}")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LISTING = T.StructType.fromDDL("path STRING, length BIGINT, modificationTime TIMESTAMP")
+LISTING = "path STRING, length BIGINT, modificationTime TIMESTAMP"
 FORMATS = {"csv": ("csv", None), "csv.gz": ("csv", "gzip"), "json": ("json", None),
            "json.gz": ("json", "gzip"), "parquet": ("parquet", "zstd")}
 STAMP = re.compile(r"\d{8}-\d{6}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fanfold.operators.logs import filter_logs
@@ -33,6 +34,21 @@ def start(df: DataFrame, path: str, checkpoint: str, once: bool = False, mode: s
     return writer.start(path)
 
 
+def land_updates(df: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Lands the buckets each batch changed in its own folder, so a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last landed value per key."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by("value", "batch_id").alias("value"))
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows behind the watermark in the reported batches: counted, not silently lost."""
     return sum(op.get("numRowsDroppedByWatermark", 0)

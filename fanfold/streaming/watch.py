@@ -7,18 +7,18 @@ state grows inside the stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from fanfold.operators.ordering import previous_in_time
 from fanfold.operators.tasks import gather
 
 # States after which a job does not change any more.
 TERMINAL = ["SUCCEEDED", "FAILED"]
+EVENT = "job_id STRING, state STRING, ts TIMESTAMP"
+SNAPSHOT_EVERY = 100
+DAY = 86400
 
 
 def _standing(state: Column, ts: Column) -> Column:
@@ -50,7 +50,7 @@ def watch_status(stream: DataFrame, path: str, checkpoint: str, once: bool = Fal
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    return latest_states(spark.read.schema("job_id STRING, state STRING, ts TIMESTAMP").parquet(path))
+    return latest_states(spark.read.schema(EVENT).parquet(path))
 
 
 def watch_arrivals(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
@@ -72,7 +72,7 @@ def arrival_status(results: DataFrame, runs: DataFrame, now: str) -> DataFrame:
 # --- progression -------------------------------------------------------------------------------
 
 
-def state_steps(events: DataFrame, slice_seconds: int = 86400) -> DataFrame:
+def state_steps(events: DataFrame, slice_seconds: int = DAY) -> DataFrame:
     """Changes of state of each job in time order; the first report is a change from NULL."""
     before = previous_in_time(events, ["job_id"], "ts", ["state"], slice_seconds, ties=["state"])
     changed = ~F.col("prev_state").eqNullSafe(F.col("state"))
@@ -80,35 +80,48 @@ def state_steps(events: DataFrame, slice_seconds: int = 86400) -> DataFrame:
                                         F.col("state").alias("to_state"), "ts")
 
 
-class StepTracker(StatefulProcessor):
-    """Keeps time and state of the last report per job and emits the changes.
+def _last_states(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Last report per job before a batch. Every ``SNAPSHOT_EVERY`` batches the folder holds all
+    jobs, so no more than that many folders are read."""
+    base = max(batch_id - 1, 0) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    if batch_id == 0:
+        return spark.createDataFrame([], EVENT)
+    landed = spark.read.schema(f"{EVENT}, batch_id INT").parquet(path)
+    recent = landed.where((F.col("batch_id") >= base) & (F.col("batch_id") < batch_id))
+    return latest_states(recent).select("job_id", "state", "ts")
+
+
+def steps_of_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Changes of state in a batch of reports, given the last known report of each job.
 
-    A report older than the kept one is given out as late and changes nothing. The reports of a
-    job in one micro-batch are sorted together; ``maxFilesPerTrigger`` bounds them.
+    A report older than the known one is given out as late and changes nothing. Inside the batch
+    the lag runs per job and day, so a job with very many reports is spread over tasks.
     """
+    before = known.select("job_id", F.col("state").alias("known_state"), F.col("ts").alias("known_ts"))
+    seen = batch.select("job_id", "state", "ts").join(before, "job_id", "left").withColumn(
+        "late", F.coalesce(F.col("ts") < F.col("known_ts"), F.lit(False)))
+    timely = previous_in_time(seen.where("not late"), ["job_id"], "ts", ["state"], DAY, ties=["state"])
+    source = F.coalesce("prev_state", "known_state")
+    steps = timely.withColumn("from_state", source).where(~source.eqNullSafe(F.col("state")))
+    late = seen.where("late").withColumn("from_state", F.col("known_state"))
+    columns = ["job_id", "from_state", F.col("state").alias("to_state"), "ts", "late"]
+    return steps.select(*columns).unionByName(late.select(*columns))
+
+
+def watch_steps(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
+                every: str = "10 seconds") -> StreamingQuery:
+    """Streaming form of :func:`state_steps`: lands the changes of each batch below ``path/steps``."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state STRING, ts TIMESTAMP")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "state"], kind="stable")
-        state, seen = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for name, ts in zip(events["state"], events["ts"]):
-            late = seen is not None and ts < pd.Timestamp(seen)
-            if late or name != state:
-                out.append((key[0], state, name, ts, late))
-            if not late:
-                state, seen = name, ts.to_pydatetime()
-        self.last.update((state, seen))
-        yield pd.DataFrame(out, columns=["job_id", "from_state", "to_state", "ts", "late"])
-
-    def close(self) -> None:
-        pass
-
-
-def step_stream(stream: DataFrame) -> DataFrame:
-    """Streaming form of :func:`state_steps`; needs the RocksDB state store provider."""
-    schema = "job_id STRING, from_state STRING, to_state STRING, ts TIMESTAMP, late BOOLEAN"
-    return stream.select("job_id", "state", "ts").groupBy("job_id").transformWithStateInPandas(
-        StepTracker(), outputStructType=schema, outputMode="Append", timeMode="None")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, last = batch.sparkSession, f"{path}/last"
+        known = _last_states(spark, last, batch_id)
+        events = batch.select("job_id", "state", "ts").persist()
+        steps_of_batch(events, known).write.mode("overwrite").parquet(f"{path}/steps/batch_id={batch_id}")
+        whole = batch_id % SNAPSHOT_EVERY == 0
+        reports = events.unionByName(known) if whole else events
+        latest_states(reports).select("job_id", "state", "ts").write.mode("overwrite").parquet(
+            f"{last}/batch_id={batch_id}")
+        events.unpersist()
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
