@@ -77,11 +77,16 @@ def run_tasks(tasks: DataFrame, fn: Callable[[dict], pd.DataFrame], schema: T.St
     extra = T.StructType.fromDDL("task_index BIGINT, status STRING, error_type STRING, error_message STRING")
     names, full = result.names, T.StructType([*extra.fields, *result.fields])
 
+    def plain(frame: pd.DataFrame) -> pd.DataFrame:
+        """Columns without any value as objects: NaN does not turn into text or dates."""
+        empty = [name for name in frame if frame[name].isna().all()]
+        return frame.assign(**{name: pd.Series([None] * len(frame), frame.index, object) for name in empty})[full.names]
+
     def flush(good: list[pd.DataFrame], bad: list[tuple]) -> Iterator[pd.DataFrame]:
         if good:
-            yield pd.concat(good).assign(status="ok", error_type=None, error_message=None)[full.names]
+            yield plain(pd.concat(good).assign(status="ok", error_type=None, error_message=None))
         if bad:
-            yield pd.DataFrame(bad, columns=extra.names).reindex(columns=full.names)
+            yield plain(pd.DataFrame(bad, columns=extra.names).reindex(columns=full.names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         good, bad, held = [], [], 0

@@ -18,7 +18,7 @@ from fanfold.operators.tasks import gather
 TERMINAL = ["SUCCEEDED", "FAILED"]
 EVENT = "job_id STRING, state STRING, ts TIMESTAMP"
 SNAPSHOT_EVERY = 100
-DAY = 86400
+SLICE_SECONDS = 60
 
 
 def _standing(state: Column, ts: Column) -> Column:
@@ -72,7 +72,7 @@ def arrival_status(results: DataFrame, runs: DataFrame, now: str) -> DataFrame:
 # --- progression -------------------------------------------------------------------------------
 
 
-def state_steps(events: DataFrame, slice_seconds: int = DAY) -> DataFrame:
+def state_steps(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Changes of state of each job in time order; the first report is a change from NULL."""
     before = previous_in_time(events, ["job_id"], "ts", ["state"], slice_seconds, ties=["state"])
     changed = ~F.col("prev_state").eqNullSafe(F.col("state"))
@@ -95,12 +95,12 @@ def steps_of_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Changes of state in a batch of reports, given the last known report of each job.
 
     A report older than the known one is given out as late and changes nothing. Inside the batch
-    the lag runs per job and day, so a job with very many reports is spread over tasks.
+    the lag runs per job and minute, so a job with very many reports is spread over tasks.
     """
     before = known.select("job_id", F.col("state").alias("known_state"), F.col("ts").alias("known_ts"))
     seen = batch.select("job_id", "state", "ts").join(before, "job_id", "left").withColumn(
         "late", F.coalesce(F.col("ts") < F.col("known_ts"), F.lit(False)))
-    timely = previous_in_time(seen.where("not late"), ["job_id"], "ts", ["state"], DAY, ties=["state"])
+    timely = previous_in_time(seen.where("not late"), ["job_id"], "ts", ["state"], SLICE_SECONDS, ties=["state"])
     source = F.coalesce("prev_state", "known_state")
     steps = timely.withColumn("from_state", source).where(~source.eqNullSafe(F.col("state")))
     late = seen.where("late").withColumn("from_state", F.col("known_state"))
