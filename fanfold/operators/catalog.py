@@ -171,21 +171,27 @@ def split_existing(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """Marks each planned copy ``copy``, ``skip`` (already there) or ``collision``.
 
     Of several sources with one destination the smallest path is copied. It is found by a partial
-    aggregate and joined back, so a destination shared by very many sources is never sorted in one
-    task.
+    aggregate and joined back on (destination, path), so a destination shared by very many sources
+    is spread over all tasks.
     """
-    first = plan.groupBy("destination").agg(F.min("path").alias("__first"))
-    there = existing.select("destination").distinct().withColumn("__there", F.lit(True))
-    winners = first.join(there, "destination", "left")
-    action = (F.when(F.col("path") != F.col("__first"), "collision")
+    won = _winners(plan, existing).select("destination", F.col("__first").alias("path"), "__there")
+    action = (F.when(F.col("__there").isNull(), "collision")
               .when(F.col("__there"), "skip").otherwise("copy"))
-    return plan.join(winners, "destination").select(*plan.columns, action.alias("action"))
+    return plan.join(won, ["destination", "path"], "left").select(*plan.columns, action.alias("action"))
 
 
-def copy_counts(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("exp_id").agg(
-        *[F.count_if(F.col("action") == a).alias(n)
-          for a, n in [("copy", "to_copy"), ("skip", "skipped"), ("collision", "collisions")]])
+def _winners(plan: DataFrame, existing: DataFrame) -> DataFrame:
+    """Per destination: the path to copy, the number of sources, and whether it is there already."""
+    first = plan.groupBy("exp_id", "destination").agg(F.min("path").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    there = existing.select("destination").distinct().withColumn("__found", F.lit(True))
+    return first.join(there, "destination", "left").withColumn("__there", F.coalesce("__found", F.lit(False)))
+
+
+def copy_counts(plan: DataFrame, existing: DataFrame) -> DataFrame:
+    """Copied, skipped and colliding files per experiment, without marking the single rows."""
+    return _winners(plan, existing).groupBy("exp_id").agg(
+        F.count_if(~F.col("__there")).alias("to_copy"), F.count_if(F.col("__there")).alias("skipped"),
+        F.sum(F.col("__n") - 1).alias("collisions"))
 
 
 def storage_usage(parsed: DataFrame, levels: Sequence[str] = ("exp_id", "run_id")) -> DataFrame:

@@ -15,6 +15,7 @@ DOC_MARKS = {"basemodel": "$.model", "sampling": "$.modelset.sampling",
              "calibration": "$.modelset.calibration", "output": "$.output"}
 OUTPUT_FILES = ["output.yaml", "output.yml"]
 PLACEHOLDER = "your-"
+SALTS = 16
 ROLES = {"basemodel": "basemodel", "sampling": "modelset", "calibration": "modelset", "output": "output"}
 
 
@@ -36,8 +37,13 @@ def merge_layers(df: DataFrame) -> DataFrame:
     links = (held.where(F.size(parts) > 1)
              .select("scope", "key_path", "layer", F.explode(parents).alias("parent")))
     below = links.groupBy("scope", F.col("parent").alias("key_path")).agg(F.max("layer").alias("__below"))
-    owners = held.select("scope", F.col("key_path").alias("parent"), F.col("layer").alias("__layer"))
-    above = (links.join(owners, ["scope", "parent"])
+    # Only paths that are both a key and a parent can replace a subtree. Their few rows are repeated
+    # per salt, so a parent of very many keys does not meet all of them in one task.
+    spread = F.pmod(F.xxhash64("key_path"), F.lit(SALTS)).cast("int")
+    owners = held.join(below.select("scope", "key_path"), ["scope", "key_path"], "left_semi").select(
+        "scope", F.col("key_path").alias("parent"), F.col("layer").alias("__layer"),
+        F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
+    above = (links.withColumn("__salt", spread).join(owners, ["scope", "parent", "__salt"])
              .groupBy("scope", "key_path").agg(F.max("__layer").alias("__above")))
     kept = held.join(below, ["scope", "key_path"], "left").join(above, ["scope", "key_path"], "left")
     later = F.greatest(F.coalesce("__below", "layer"), F.coalesce("__above", "layer"))

@@ -11,7 +11,6 @@ round it are used here:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +18,16 @@ from pyspark.sql.window import Window as W
 
 from fanfold.session import materialize
 
-_ROW, _PART, _FIRST, _TOTAL, _BEFORE = "__row", "__part", "__first", "__total", "__before"
+_ROW, _PART, _KEY, _FIRST, _TOTAL, _BEFORE = "__row", "__part", "__key", "__first", "__total", "__before"
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also pairs NULL keys; the key columns appear once."""
-    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
-    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on])
-    return left.join(other, condition, how).drop(*[f"__r_{c}" for c in on])
+def key_of(keys: Sequence[str]) -> Column:
+    """The keys as one struct, which is never NULL itself and equal where its fields are, NULLs too.
+
+    Windows, aggregates and joins on it share one partitioning; a null-safe comparison of the
+    single columns would shuffle once more for the join.
+    """
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -49,21 +50,20 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order_by: Sequence[str | Col
     group = list(group)
     ordered = materialize(df.orderBy(*group, *order_by)
                           .withColumn(_ROW, F.monotonically_increasing_id()))
-    rows = ordered.withColumn(_PART, F.shiftrightunsigned(_ROW, 33))
-    chunk = [_PART, *group]
+    rows = ordered.withColumns({_PART: F.shiftrightunsigned(_ROW, 33), _KEY: key_of(group)})
     total = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    chunks = rows.groupBy(*chunk).agg(F.min(_ROW).alias(_FIRST), total.alias(_TOTAL))
-    # At most one row per (partition, group): the window holds as many rows as there are partitions.
-    earlier = W.partitionBy(*group).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
-    offsets = chunks.select(*chunk, _FIRST,
+    chunks = rows.groupBy(_KEY, _PART).agg(F.min(_ROW).alias(_FIRST), total.alias(_TOTAL))
+    # At most one row per (group, partition): the window holds as many rows as there are partitions.
+    earlier = W.partitionBy(_KEY).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
+    offsets = chunks.select(_KEY, _PART, _FIRST,
                             F.coalesce(F.sum(_TOTAL).over(earlier), F.lit(0)).alias(_BEFORE))
     if weight is None:
         inside = F.col(_ROW) - F.col(_FIRST)
     else:
-        local = W.partitionBy(*chunk).orderBy(_ROW).rowsBetween(W.unboundedPreceding, -1)
+        local = W.partitionBy(_KEY, _PART).orderBy(_ROW).rowsBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn("__local", F.coalesce(F.sum(weight).over(local), F.lit(0)))
         inside = F.col("__local")
-    joined = null_safe_join(rows, offsets, chunk)
+    joined = rows.join(offsets, [_KEY, _PART])
     return joined.withColumn(name, F.col(_BEFORE) + inside).select(*df.columns, name)
 
 
@@ -79,17 +79,16 @@ def previous_in_time(df: DataFrame, keys: Sequence[str], ts: str, values: Sequen
     The lag runs per (keys, time slice). Only one row per slice enters the second window, so its
     size follows the calendar, not the number of rows.
     """
-    keys, values, ties = list(keys), list(values), list(ties)
-    sliced = df.withColumn("__slice", F.floor(_epoch(ts) / slice_seconds))
-    cell = [*keys, "__slice"]
-    in_slice = W.partitionBy(*cell).orderBy(ts, *ties)
+    values, ties = list(values), list(ties)
+    sliced = df.withColumns({_KEY: key_of(list(keys)), "__slice": F.floor(_epoch(ts) / slice_seconds)})
+    in_slice = W.partitionBy(_KEY, "__slice").orderBy(ts, *ties)
     rows = sliced.select("*", F.row_number().over(in_slice).alias("__nth"),
                          *[F.lag(v).over(in_slice).alias(f"__lag_{v}") for v in values])
     last = F.max_by(F.struct(*values), F.struct(ts, *ties))
-    ends = sliced.groupBy(*cell).agg(last.alias("__last"))
-    across = W.partitionBy(*keys).orderBy("__slice")
-    carried = ends.select(*cell, F.lag("__last").over(across).alias("__carry"))
-    joined = null_safe_join(rows, carried, cell, "left")
+    ends = sliced.groupBy(_KEY, "__slice").agg(last.alias("__last"))
+    across = W.partitionBy(_KEY).orderBy("__slice")
+    carried = ends.select(_KEY, "__slice", F.lag("__last").over(across).alias("__carry"))
+    joined = rows.join(carried, [_KEY, "__slice"], "left")
     previous = [F.when(F.col("__nth") == 1, F.col("__carry")[v]).otherwise(F.col(f"__lag_{v}"))
                 .alias(f"prev_{v}") for v in values]
     return joined.select(*df.columns, *previous)

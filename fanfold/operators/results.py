@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.operators.ordering import null_safe_join, prefix_sum
+from fanfold.operators.ordering import key_of, prefix_sum
 
 DEFAULT_LEVELS = (0.025, 0.5, 0.975)
 UNIT = ("population", "date", "variable")
 HOT_ROWS = 1_000_000
+BROADCAST_GROUPS = 10_000
 
 
 def explode_trajectories(nested: DataFrame) -> DataFrame:
@@ -42,12 +43,17 @@ def quantiles(df: DataFrame, keys: Sequence[str] = UNIT, levels: Sequence[float]
     if not exact:
         sketch = F.percentile_approx("value", array, F.lit(accuracy))
         return _to_levels(df.groupBy(*keys).agg(sketch.alias("__q")), keys, levels)
-    sizes = df.groupBy(*keys).agg(F.count("value").alias("__n")).where(F.col("__n") > hot_rows)
-    if sizes.isEmpty():
+    keyed = df.withColumn("__key", key_of(keys))
+    sizes = keyed.groupBy("__key").agg(F.count("value").alias("__n")).where(F.col("__n") > hot_rows)
+    n_hot = sizes.limit(BROADCAST_GROUPS + 1).count()
+    if not n_hot:
         return _to_levels(df.groupBy(*keys).agg(F.percentile("value", array).alias("__q")), keys, levels)
-    small = null_safe_join(df, sizes, keys, "left").where("__n is null").drop("__n")
+    # There is at most one hot group per ``hot_rows`` rows; above the checked number Spark joins by
+    # shuffle instead.
+    lookup = F.broadcast(sizes) if n_hot <= BROADCAST_GROUPS else sizes
+    small = keyed.join(lookup, "__key", "left_anti")
     plain = small.groupBy(*keys).agg(F.percentile("value", array).alias("__q"))
-    hot = null_safe_join(df, sizes, keys)
+    hot = keyed.join(lookup, "__key").drop("__key")
     return _to_levels(plain, keys, levels).unionByName(ranked_quantiles(hot, keys, levels))
 
 

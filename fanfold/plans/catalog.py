@@ -238,7 +238,20 @@ def c18_incremental(t: Inputs) -> DataFrame:
     outputs = C.parse_artifacts(artifacts(t), PREFIX).where("stage_dir = 'outputs'")
     plan = C.with_destination(outputs.select("exp_id", "run_id", "path"))
     there = plan.where(F.length("destination") % 3 == 0).select("destination")
-    return C.copy_counts(C.split_existing(plan, there))
+    return C.copy_counts(plan, there)
+
+
+@query("c18_actions", f"""
+WITH {RUNS_SQL}, {PARSED_SQL}, m AS (
+  SELECT exp_id, exp_id || '/' || file AS destination, path FROM parsed WHERE stage_dir = 'outputs')
+SELECT destination, path, CASE WHEN path <> min(path) OVER (PARTITION BY destination) THEN 'collision'
+  WHEN length(destination) % 3 = 0 THEN 'skip' ELSE 'copy' END AS action FROM m
+""", "fx_artifacts")
+def c18_actions(t: Inputs) -> DataFrame:
+    outputs = C.parse_artifacts(artifacts(t), PREFIX).where("stage_dir = 'outputs'")
+    plan = C.with_destination(outputs.select("exp_id", "run_id", "path"))
+    there = plan.where(F.length("destination") % 3 == 0).select("destination")
+    return C.split_existing(plan, there).select("destination", "path", "action")
 
 
 @query("c19_usage", f"""

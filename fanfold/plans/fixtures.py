@@ -85,7 +85,7 @@ SQL = {
           p_retailprice / 10000 AS usd_per_hour, p_size
         FROM {part}""",
     "fx_configs": """
-        SELECT 'exp' || cast(doc_id % 301 AS string) AS exp_id,
+        SELECT 'exp' || cast(doc_id % 127 AS string) AS exp_id,
           CASE WHEN doc_id % 7 = 0 THEN 'output' ELSE 'f' || cast(doc_id AS string) END ||
             CASE WHEN doc_id % 2 = 0 THEN '.yaml' ELSE '.yml' END AS file,
           CASE doc_id % 5 WHEN 0 THEN '{{"model":{{}}}}' WHEN 1 THEN '{{"modelset":{{"sampling":{{}}}}}}'

@@ -8,7 +8,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "fanfold", master: str | None = None, **conf: str) -> SparkSession:
+PARTITION_BYTES = 128 * 1024**2
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions of about 128 MB for an input of this size; AQE merges those left small."""
+    return max(200, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(app: str = "fanfold", master: str | None = None, input_bytes: int | None = None,
+                  **conf: str) -> SparkSession:
     """A session with UTC time, AQE and skew-join splitting; ``conf`` overrides any of it."""
     builder = SparkSession.builder.appName(app)
     if master:
@@ -20,6 +29,7 @@ def build_session(app: str = "fanfold", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        **({"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes))} if input_bytes else {}),
         **conf,
     }
     for key, value in settings.items():

@@ -65,8 +65,9 @@ def test_copy_skip_and_collision_partition_the_matches(spark, rows):
                                  "exp_id STRING, path STRING, destination STRING")
     there = spark.createDataFrame([("e/f0",), ("e/f0",), ("e/z",)], "destination STRING")
     marked = C.split_existing(plan, there)
-    assert rows(C.copy_counts(marked)) == [("e", 4, 1, 10)]
-    assert marked.count() == plan.count()
+    assert rows(C.copy_counts(plan, there)) == [("e", 4, 1, 10)]
+    assert rows(marked.groupBy("action").count()) == [("collision", 10), ("copy", 4), ("skip", 1)]
+    assert rows(marked.where("action = 'copy'"), "path") == [(f"e/a/f{i}",) for i in range(1, 5)]
 
 
 def test_plan_drops_hidden_experiments_and_takes_the_latest_run(spark, rows):
