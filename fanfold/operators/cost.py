@@ -35,15 +35,18 @@ def cost(usage: DataFrame, prices: DataFrame, key: str = "machine_key") -> DataF
     return usage.join(prices, key, "left").withColumn("cost", F.col("hours") * F.col("usd_per_hour"))
 
 
-def cost_by(df: DataFrame, labels: Sequence[str], amount: str = "cost") -> DataFrame:
-    """Totals of every combination of labels; ``depth`` counts the labels told apart in a row.
+def cost_by(df: DataFrame, labels: Sequence[str], amount: str = "cost",
+            sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Totals of every combination of labels, or only of the listed ``sets`` of them; ``depth``
+    counts the labels told apart in a row.
 
-    The cube repeats its input 2^k times, so it runs over totals per full label set.
+    A cube repeats its input 2^k times, so it runs over totals per full label set.
     """
     labels = list(labels)
     totals = df.groupBy(*labels).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("n"))
     gid = F.grouping_id().alias("__gid")
-    cube = totals.cube(*labels).agg(F.sum("amount").alias(amount), F.sum("n").alias("n"), gid)
+    grouped = totals.groupingSets(sets, *labels) if sets is not None else totals.cube(*labels)
+    cube = grouped.agg(F.sum("amount").alias(amount), F.sum("n").alias("n"), gid)
     depth = F.lit(len(labels)) - F.bit_count("__gid")
     return cube.select(*labels, depth.cast("int").alias("depth"), amount, "n")
 

@@ -60,10 +60,12 @@ def filter_logs(df: DataFrame, **terms) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
-def fresh(df: DataFrame, now: str, days: int = FRESHNESS_DAYS) -> DataFrame:
-    """At most ``days`` old. The bound is a constant, so it reaches the scan and prunes partitions."""
+def fresh(df: DataFrame, now: str, days: int = FRESHNESS_DAYS, date_column: str | None = None) -> DataFrame:
+    """At most ``days`` old. The bound is a constant, so it reaches the scan; for a table that is
+    partitioned by day name its ``date_column``, and older partitions are not opened."""
     floor = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    return df.where(F.col("timestamp") >= floor)
+    recent = df.where(F.col("timestamp") >= floor)
+    return recent.where(F.col(date_column) >= floor.cast("date")) if date_column else recent
 
 
 def tail(df: DataFrame, n: int) -> DataFrame:

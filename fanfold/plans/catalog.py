@@ -65,12 +65,12 @@ def s11_content_type(t: Inputs) -> DataFrame:
 @query("c1_parse", f"""
 WITH {PARSED_SQL} SELECT path, length, exp_id, run_id, stage_dir,
   coalesce(try_cast(regexp_extract(file, '^(input|result)_([0-9]+)', 2) AS integer), -1) AS task_index,
-  CASE WHEN stage_dir = 'outputs' THEN substr(string_split(path, '/')[7], 1, 15) END AS output_ts,
+  CASE WHEN stage_dir = 'outputs' THEN substr(string_split(path, '/')[7], 1, 15) ELSE '' END AS output_ts,
   CASE WHEN stage_dir = 'outputs' AND length(string_split(path, '/')[7]) > 15
-    THEN substr(string_split(path, '/')[7], 17) END AS meta_id, file FROM parsed
+    THEN substr(string_split(path, '/')[7], 17) ELSE '' END AS meta_id, file FROM parsed
 """, "fx_artifacts")
 def c1_parse(t: Inputs) -> DataFrame:
-    return C.parse_artifacts(artifacts(t), PREFIX).na.fill(-1, ["task_index"])
+    return C.parse_artifacts(artifacts(t), PREFIX).na.fill(-1, ["task_index"]).na.fill("", ["output_ts", "meta_id"])
 
 
 @query("c2_runs", f"WITH {RUNS_SQL} SELECT exp_id, run_id FROM runs", "fx_artifacts")
@@ -255,11 +255,11 @@ def c18_actions(t: Inputs) -> DataFrame:
 
 
 @query("c19_usage", f"""
-WITH {PARSED_SQL} SELECT exp_id, run_id, CASE WHEN grouping(exp_id) = 1 THEN 0 WHEN grouping(run_id) = 1 THEN 1 ELSE 2 END AS level,
-  sum(length)::bigint AS bytes, count(*) AS objects FROM parsed GROUP BY ROLLUP (exp_id, run_id)
+WITH {PARSED_SQL} SELECT coalesce(exp_id, '') AS exp_id, coalesce(run_id, '') AS run_id, CASE WHEN grouping(parsed.exp_id) = 1 THEN 0 WHEN grouping(parsed.run_id) = 1 THEN 1 ELSE 2 END AS level,
+  sum(length)::bigint AS bytes, count(*) AS objects FROM parsed GROUP BY ROLLUP (parsed.exp_id, parsed.run_id)
 """, "fx_artifacts")
 def c19_usage(t: Inputs) -> DataFrame:
-    return C.storage_usage(C.parse_artifacts(artifacts(t), PREFIX))
+    return C.storage_usage(C.parse_artifacts(artifacts(t), PREFIX)).na.fill("", ["exp_id", "run_id"])
 
 
 @query("c20_stem", """

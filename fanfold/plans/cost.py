@@ -31,12 +31,24 @@ MACHINES_SQL = """machines AS (SELECT machine_type, min(p_size) AS vcpus, min(p_
 
 
 @query("k1_cost_by", """
-SELECT billing_project, stage, (2 - grouping(billing_project) - grouping(stage))::integer AS depth,
+SELECT coalesce(u.billing_project, '') AS billing_project, coalesce(u.stage, '') AS stage,
+  (2 - grouping(u.billing_project) - grouping(u.stage))::integer AS depth,
   round(sum(hours * usd_per_hour), 6) AS cost, count(*) AS n
-FROM fx_usage JOIN fx_prices USING (machine_key) GROUP BY CUBE (billing_project, stage)
+FROM fx_usage u JOIN fx_prices USING (machine_key) GROUP BY CUBE (u.billing_project, u.stage)
 """, "fx_usage", "fx_prices")
 def k1_cost_by(t: Inputs) -> DataFrame:
-    return C.cost_by(C.cost(usage(t), prices(t)), LABELS).withColumn("cost", F.round("cost", 6))
+    return C.cost_by(C.cost(usage(t), prices(t)), LABELS).withColumn("cost", F.round("cost", 6)).na.fill("", LABELS)
+
+
+@query("k1_sets", """
+SELECT coalesce(u.billing_project, '') AS billing_project, coalesce(u.stage, '') AS stage,
+  (2 - grouping(u.billing_project) - grouping(u.stage))::integer AS depth,
+  round(sum(hours * usd_per_hour), 6) AS cost, count(*) AS n
+FROM fx_usage u JOIN fx_prices USING (machine_key) GROUP BY GROUPING SETS ((u.stage), (u.billing_project), ())
+""", "fx_usage", "fx_prices")
+def k1_sets(t: Inputs) -> DataFrame:
+    by = C.cost_by(C.cost(usage(t), prices(t)), LABELS, sets=[["stage"], ["billing_project"], []])
+    return by.withColumn("cost", F.round("cost", 6)).na.fill("", LABELS)
 
 
 @query("k2_cost", """

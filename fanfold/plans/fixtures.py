@@ -52,9 +52,9 @@ SQL = {
         FROM {orders}""",
     "fx_jobs": """
         SELECT 'stage-b-' || lpad(lower(hex(l_orderkey)), 8, '0') AS job_id, 'runner' AS stage,
-          sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS succeeded,
-          sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS failed,
-          sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS running, 0 AS pending
+          cast(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS bigint) AS succeeded,
+          cast(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS bigint) AS failed,
+          cast(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS bigint) AS running, 0 AS pending
         FROM {lineitem} GROUP BY l_orderkey""",
     "fx_job_events": """
         SELECT 'job-' || cast(user_id AS string) AS job_id, ts,

@@ -14,7 +14,8 @@ FIT_END = "2024-01-05"
 
 def long_quantiles(source: str, keys: str, tail: str = "") -> str:
     """The check of a quantile table: one exact quantile per level, stacked."""
-    parts = [f"SELECT {keys}, {level}::double AS level, round(quantile_cont(value, {level}), 6) AS value "
+    shown = keys.replace("date", "cast(date AS string) AS date")
+    parts = [f"SELECT {shown}, {level}::double AS level, round(quantile_cont(value, {level}), 6) AS value "
              f"FROM {source} {tail} GROUP BY {keys}" for level in R.DEFAULT_LEVELS]
     return " UNION ALL ".join(parts)
 
@@ -24,7 +25,9 @@ def trajectories(t: Inputs) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", F.round("value", 6))
+    """Values to six digits and dates as text, as the checks show them."""
+    dates = [c for c in df.columns if c in ("date", "target_end_date")]
+    return df.withColumns({"value": F.round("value", 6)} | {c: F.col(c).cast("string") for c in dates})
 
 
 def nested(t: Inputs) -> DataFrame:
@@ -34,7 +37,7 @@ def nested(t: Inputs) -> DataFrame:
 
 
 @query("r1_trajectories", """
-SELECT population, traj_id, date, variable, round(value, 6) AS value FROM fx_trajectories
+SELECT population, traj_id, cast(date AS string) AS date, variable, round(value, 6) AS value FROM fx_trajectories
 """, "fx_trajectories")
 def r1_trajectories(t: Inputs) -> DataFrame:
     return rounded(R.explode_trajectories(nested(t)))
@@ -89,7 +92,7 @@ def r4_projection(t: Inputs) -> DataFrame:
 
 
 @query("r5_projections", f"""
-WITH {SCENARIO_SQL} SELECT scenario_id, population, traj_id, date, variable, round(value, 6) AS value FROM scenarios
+WITH {SCENARIO_SQL} SELECT scenario_id, population, traj_id, cast(date AS string) AS date, variable, round(value, 6) AS value FROM scenarios
 """, "fx_trajectories")
 def r5_projections(t: Inputs) -> DataFrame:
     return rounded(R.explode_projections(scenarios(t)))
@@ -174,10 +177,10 @@ def r10_hub(t: Inputs) -> DataFrame:
 
 
 @query("r11_envelope", """
-SELECT date, round(min(value), 6) AS low, round(max(value), 6) AS high FROM fx_trajectories GROUP BY date
+SELECT cast(date AS string) AS date, round(min(value), 6) AS low, round(max(value), 6) AS high FROM fx_trajectories GROUP BY date
 """, "fx_trajectories")
 def r11_envelope(t: Inputs) -> DataFrame:
-    return R.envelope(trajectories(t)).select("date", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return R.envelope(trajectories(t)).select(F.col("date").cast("string").alias("date"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @K.output_table("simulation", "trajectories")
@@ -203,7 +206,7 @@ def projection_table(frames, options) -> DataFrame:
 @query("t10_route", f"""
 WITH q AS ({long_quantiles("fx_trajectories", "population, date, variable")}) SELECT tbl AS "table", count(*) AS n FROM (
   SELECT 'trajectories' AS tbl FROM fx_trajectories UNION ALL SELECT 'quantiles' FROM q
-  UNION ALL SELECT CASE WHEN date <= DATE '{FIT_END}' THEN 'calibration_quantiles' ELSE 'projection_quantiles' END FROM q)
+  UNION ALL SELECT CASE WHEN date <= '{FIT_END}' THEN 'calibration_quantiles' ELSE 'projection_quantiles' END FROM q)
 GROUP BY tbl
 """, "fx_trajectories")
 def t10_route(t: Inputs) -> DataFrame:

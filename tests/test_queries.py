@@ -37,6 +37,8 @@ def test_query_equals_sql(spark, duck, name):
     theirs = canonical([d[0] for d in found.description], found.fetchall())
     ours = canonical(frame.columns, frame.collect())
     assert ours == theirs
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert ours[1] or name in MAY_BE_EMPTY
 
 

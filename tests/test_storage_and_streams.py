@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fanfold.operators import telemetry as M
+from fanfold.operators.logs import fresh
 from fanfold.session import materialize, shared_dir
 from fanfold.sources import files, records
 from fanfold.streaming import follow, watch
@@ -65,6 +66,14 @@ def test_exported_documents(spark, tmp_path):
     assert (job.job_id, job.env, job.image_uri, job.task_groups["g"].counts["RUNNING"]) == ("stage-b-1", None, None, "3")
 
 
+def test_fresh_logs_open_only_recent_days(spark, tmp_path):
+    days = spark.range(60).select(F.expr("timestamp '2024-01-01' + make_dt_interval(cast(id as int))").alias("timestamp"))
+    days.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(str(tmp_path / "logs"))
+    df = fresh(spark.read.parquet(str(tmp_path / "logs")), "2024-02-29T00:00:00Z", days=10, date_column="day")
+    assert df.count() == 11
+    assert "PartitionFilters: [isnotnull(day" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_telemetry_skips_bad_files_and_names_its_stage(spark, tmp_path):
     folder = tmp_path / "summaries" / "json"
     folder.mkdir(parents=True)
