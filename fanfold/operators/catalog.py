@@ -113,10 +113,11 @@ def newest(runs: DataFrame, n: int) -> DataFrame:
     return ordered.limit(n) if n else ordered
 
 
-def run_uris(runs: DataFrame, bucket: str, prefix: str) -> DataFrame:
+def run_uris(runs: DataFrame, bucket: str, prefix: str, scheme: str = "gs") -> DataFrame:
+    """Start time, storage address and command arguments of each run."""
     path = P.artifact_path(prefix, F.col("exp_id"), F.col("run_id"))
     return runs.select("exp_id", "run_id", P.run_ts(F.col("run_id")).alias("run_ts"),
-                       F.concat(F.lit(f"gs://{bucket}/"), path, F.lit("/")).alias("uri"),
+                       F.concat(F.lit(f"{scheme}://{bucket}/"), path, F.lit("/")).alias("uri"),
                        F.format_string("--exp-id %s --run-id %s", "exp_id", "run_id").alias("args"))
 
 

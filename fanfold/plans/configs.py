@@ -135,7 +135,7 @@ UNION ALL SELECT exp_id, set_no, 'output', output FROM picked WHERE output IS NO
 """, "fx_configs")
 def g8_pick(t: Inputs) -> DataFrame:
     wanted = t.fx("fx_configs").select("exp_id").distinct().select(
-        "exp_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("set_no"))
+        "exp_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("set_no"))
     return G.pick_sets(G.set_members(typed(t)), wanted)
 
 

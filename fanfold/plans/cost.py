@@ -82,7 +82,7 @@ def k3_specs(t: Inputs) -> DataFrame:
 @query("k4_suggest", f"""
 WITH {MACHINES_SQL}, best AS (SELECT string_split(machine_type, '-')[1] AS family, machine_type AS suggestion,
   row_number() OVER (PARTITION BY string_split(machine_type, '-')[1] ORDER BY machine_type) AS rank FROM machines)
-SELECT u.machine_type, suggestion, rank FROM (SELECT DISTINCT machine_type FROM fx_prices
+SELECT u.machine_type, suggestion, rank::integer AS rank FROM (SELECT DISTINCT machine_type FROM fx_prices
   WHERE machine_type NOT IN (SELECT machine_type FROM machines)) u
 JOIN best ON family = string_split(u.machine_type, '-')[1] WHERE rank <= 5
 """, "fx_prices")

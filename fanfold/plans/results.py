@@ -31,7 +31,10 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def nested(t: Inputs) -> DataFrame:
-    """Trajectories as they arrive: one row each, an array of dated steps with a map of values."""
+    """Trajectories as they arrive: one row each, an array of dated steps with a map of values.
+
+    There is one step per day, so the length of an array follows the calendar.
+    """
     step = F.struct("date", F.create_map("variable", "value").alias("values"))
     return trajectories(t).groupBy("population", "traj_id").agg(F.collect_list(step).alias("steps"))
 
@@ -112,7 +115,7 @@ def posterior_input(t: Inputs) -> DataFrame:
 
 def posterior_sql(generations: str) -> str:
     return f"""
-SELECT vec_id AS task_index, g.generation, p.particle_id, unnest(['beta', 'gamma']) AS parameter,
+SELECT vec_id AS task_index, g.generation, p.particle_id::integer AS particle_id, unnest(['beta', 'gamma']) AS parameter,
   unnest([round(embedding[p.particle_id + 1]::double * (g.generation + 1), 5),
           round(embedding[p.particle_id + 5]::double * (g.generation + 1), 5)]) AS value
 FROM embeddings, (SELECT unnest({generations}) AS generation) g, (SELECT unnest(range(4)) AS particle_id) p"""
@@ -143,7 +146,7 @@ def r7_dates(t: Inputs) -> DataFrame:
 
 
 @query("r8_particles", """
-SELECT vec_id AS task_index, label AS generation, unnest(range(8)) AS particle_id,
+SELECT vec_id AS task_index, label AS generation, cast(unnest(range(8)) AS integer) AS particle_id,
   unnest(list_transform(embedding[1:8], lambda x: round(abs(x)::double, 5))) AS distance,
   unnest(list_transform(embedding[9:16], lambda x: round(x::double, 5))) AS weight FROM embeddings
 """)
@@ -155,7 +158,7 @@ def r8_particles(t: Inputs) -> DataFrame:
 
 
 @query("r9_metadata", """
-SELECT run_key, task_index, run_key * 100 + task_index AS seed, run_key / 8 AS beta, task_index / 4 AS gamma, status
+SELECT run_key, task_index::bigint AS task_index, run_key * 100 + task_index AS seed, run_key / 8 AS beta, task_index / 4 AS gamma, status
 FROM fx_results
 """, "fx_results")
 def r9_metadata(t: Inputs) -> DataFrame:

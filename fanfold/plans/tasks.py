@@ -46,7 +46,7 @@ def t2_lhs(t: Inputs) -> DataFrame:
 
 # The design itself depends on the hash; each range must be cut into strata that are used once each.
 @query("t2_strata", """
-SELECT 'beta' AS dimension, count(*) AS n, count(*) AS n_strata, 0 AS low, count(*) - 1 AS high FROM customer
+SELECT 'beta' AS dimension, count(*) AS n, count(*) AS n_strata, 0::bigint AS low, count(*) - 1 AS high FROM customer
 UNION ALL SELECT 'gamma', count(*), count(*), 0, count(*) - 1 FROM customer
 """)
 def t2_strata(t: Inputs) -> DataFrame:
