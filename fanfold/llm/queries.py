@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanfold.llm import exact_dedup
+from fanfold.llm import exact_dedup, token_counts
 from fanfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, which every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op8_exact_dedup", exact_dedup.ORACLE)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
