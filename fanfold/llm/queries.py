@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fanfold.llm import decontamination, exact_dedup, packing, pii, token_counts
-from fanfold.llm.common import table
+from fanfold.llm import decontamination, exact_dedup, language_id, packing, pii, token_counts, toxicity
+from fanfold.llm.common import in_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +54,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_exact_dedup", exact_dedup.ORACLE)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_remainder("doc_id", 4, 2)
+    model = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), in_remainder("doc_id", 5, 0)
+    lexicon = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score",
+                                                (F.col("score") >= 0.5).cast("int").alias("predicted"))
