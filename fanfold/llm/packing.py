@@ -30,7 +30,7 @@ CAPACITY = 2048
 BLOCK_PIECES = 4_000  # pieces that one task packs at once
 HANDED_ON = 6  # bins that a block hands on to the next round
 TARGETS = 64  # underfull bins that one step of the search looks at
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CLOSING_ID = 0
 
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -39,25 +39,55 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @lru_cache(maxsize=2)
 def word_coder(path: str):
-    """Texts to little-endian 32-bit ids. The tokenizer drops white space and joins nothing across it, so a word's ids do
-    not depend on its neighbours; the cache of words lives as long as the Python worker."""
+    """Texts to little-endian 32-bit ids.
+
+    The tokenizer lower-cases, drops white space and joins nothing across it, so a word's ids do not depend on its
+    neighbours, and words are looked up in a cache that lives as long as the Python worker.
+    """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     cache: dict[bytes, bytes] = {}
 
+    def one_by_one(words: list[bytes]) -> None:
+        for word, found in zip(words, tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            cache[word] = np.array(found.ids, "<u4").tobytes()
+
+    def together(words: list[bytes]) -> None:
+        """Words of letters only, as one text; each is one unit, whose last token bears the word-end mark."""
+        ids = np.array(tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(words):  # the tokenizer divides a word that looks whole here
+            return one_by_one(words)
+        packed, begin = ids.tobytes(), 0
+        for word, stop in zip(words, (stops * 4).tolist()):
+            cache[word] = packed[begin:stop]
+            begin = stop
+
+    def learn(new: set[bytes]) -> None:
+        # After an ASCII letter or digit, a last full stop or comma is a unit of its own.
+        stopped = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
+        plain = new.difference(stopped)
+        plain.update(w[:-1] for w in stopped if w[:-1] not in cache)
+        plain.update(w[-1:] for w in stopped if w[-1:] not in cache)
+        whole = [w for w in plain if w.isalpha() or w.decode().isalpha()]
+        for at in range(0, len(whole), 1000):
+            together(whole[at:at + 1000])
+        one_by_one([w for w in plain if w not in cache])
+        for w in stopped:
+            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]
         if len(cache) > CACHED_WORDS:
             cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                cache[word] = np.array(found.ids, "<u4").tobytes()
+        learn(set().union(*split).difference(cache))
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
     return encode
