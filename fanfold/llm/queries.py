@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanfold.llm import decontamination, exact_dedup, language_id, packing, pii, token_counts, toxicity
+from fanfold.llm import decontamination, exact_dedup, language_id, packing, pii, subword_lm, token_counts, toxicity
 from fanfold.llm.common import in_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_subword_lm")
+def op5_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_lm.score(table(spark, sf_dir, "documents"), ~in_remainder("doc_id", 5, 1),
+                            tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
