@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanfold.llm import decontamination, exact_dedup, language_id, packing, pii, subword_lm, token_counts, toxicity
+from fanfold.llm import (decontamination, exact_dedup, language_id, near_dedup, packing, pii, subword_lm, token_counts,
+                         toxicity)
 from fanfold.llm.common import in_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_near_dedup", near_dedup.ORACLE)
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op5_subword_lm")
 def op5_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_lm.score(table(spark, sf_dir, "documents"), ~in_remainder("doc_id", 5, 1),
