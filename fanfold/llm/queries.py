@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanfold.llm import (decontamination, exact_dedup, language_id, near_dedup, packing, pii, subword_lm, token_counts,
-                         toxicity)
+from fanfold.llm import (decontamination, exact_dedup, language_id, near_dedup, packing, pii, subword_lm,
+                         substring_dedup, token_counts, toxicity)
 from fanfold.llm.common import in_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op2_substring_dedup", substring_dedup.ORACLE)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 @query("op3_decontamination", decontamination.ORACLE)
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
