@@ -5,8 +5,8 @@ of words, and the scripts the language is written in. A word's score in a langua
 not written in the word's script are no candidates for it. Viterbi over the words of a text, with a penalty
 for every switch, labels spans; the language with the most letters is the text's.
 
-Training reads at most ``PER_LANGUAGE`` texts of each language (the first by a hash of the id), so the sample is bounded by
-that parameter times the number of languages; n-grams are hashed into ``BUCKETS`` per order, so the model is bounded too
+Training reads about ``PER_LANGUAGE`` texts of each language (by a hash of id and text) of the ``LANGUAGES`` most frequent
+ones, so the expected sample is bounded by the product of both; n-grams are hashed into ``BUCKETS`` per order, so the model is bounded too
 and may be broadcast. Prediction uses nothing but the text; whole texts are read where they are scanned, and nothing
 but the training sample is shuffled.
 
@@ -18,7 +18,7 @@ repeat. Other columns are not read.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from fanfold.llm.common import as_texts, per_batch
+from fanfold.llm.common import as_texts, free_names, per_batch
 
 UNKNOWN = "und"
-PER_LANGUAGE = 1_000  # training texts of a language
+PER_LANGUAGE = 1_000  # expected training texts of a language
+LANGUAGES = 500  # that are learned, at most
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16  # per order
 SMOOTHING = 0.5
@@ -185,20 +185,27 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def reject_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the texts whose language is unknown; if nothing was learned, without those that have no letter."""
+    if not model.languages:
+        return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
+    names = free_names(docs, "lang_pred", "score")
+    return predict(docs, model, text_col, names=names).where(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from all ``docs`` with a language, at most ``per_language`` texts of each."""
-    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("place")
-                        ).where(F.col("lang").isNotNull())
-    # Spark keeps at most this many rows of a language in every task before it shuffles them.
-    order = W.partitionBy("lang").orderBy("place", "id")
-    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(
-        F.coalesce("id", F.lit("")).alias("id"), "lang").distinct()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"),
-                        F.col(lang_col).cast("string").alias("lang"))
-    # Bounded by per_language times the number of languages.
-    sample = texts.join(F.broadcast(chosen), ["id", "lang"])
+    """Learns from the ``docs`` with a language, about ``per_language`` texts of each."""
+    lang = F.col(lang_col).cast("string")
+    sizes = {r.lang: r["count"] for r in docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).count()
+             .orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not sizes:
+        return Model([], np.zeros((len(ORDERS) * BUCKETS, 0)), np.zeros((len(SCRIPT_NAMES), 0)))
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, rate double")
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(1 << 30)) / (1 << 30)
+    # At most LANGUAGES rows are broadcast; the hash takes its share of each language where the texts are read.
+    sample = docs.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"), place.alias("place")).join(
+        F.broadcast(rates), "lang").where(F.col("place") < F.col("rate")).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -226,18 +233,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None,
-            spans: bool = False) -> DataFrame:
-    """The columns ``keep`` (all) of ``docs`` with lang_pred, score and, if asked for, lang_spans of the source text."""
+            spans: bool = False, names: Sequence[str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` with the language, its share of the letters and, if asked for, the spans of the
+    source text, called ``names``."""
     kept = docs.columns if keep is None else keep
-    added = ["lang_pred", "score", *(["lang_spans"] if spans else [])]
-    if set(added) & set(kept):
-        raise ValueError(f"columns exist already: {sorted(set(added) & set(kept))}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = "__text"
+    text, = free_names(docs, "text_to_label")
     rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias(text))
-    kind = rows.drop(text).schema.add("lang_pred", "string").add("score", "double")
+    kind = rows.drop(text).schema.add(names[0], "string").add(names[1], "double")
     if spans:
-        kind = kind.add("lang_spans", T._parse_datatype_string("array<struct<lang:string,begin:int,end:int>>"))
+        kind = kind.add(names[2], T._parse_datatype_string("array<struct<lang:string,begin:int,end:int>>"))
 
     def start():
         def work(batch: pa.RecordBatch):
