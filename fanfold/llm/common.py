@@ -23,6 +23,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to be new to ``df``; Spark ignores case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def in_remainder(id_col: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a NULL id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
@@ -71,26 +82,27 @@ def bounded_cache(limit: int, compute: Callable):
     return Cache()
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, text) is in ``kept``, each once; NULLs are equal to NULLs.
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are in ``kept`` (doc_id, text_key), each pair once; NULLs are equal.
 
-    ``kept`` may name a pair any number of times. Of rows that repeat both, any one stays.
+    ``text_key`` is :func:`text_key` of the text. Of rows that repeat id and text, which cannot be told apart by the
+    operators' decisions, any one stays.
     """
-    ident, seen, many = "__keep_id", "__keep_seen", "__keep_many"
-    wanted = kept.select(row_key("doc_id", "text_key").alias(ident)).distinct()
-    rows = docs.withColumn(ident, row_key("doc_id", text_key("text")))
-    counts = rows.groupBy(ident).agg(F.count(F.lit(1)).alias(seen)).where(F.col(seen) > 1).select(ident, F.lit(True).alias(many))
-    found = rows.join(wanted.join(counts, ident, "left"), ident)
-    once = found.where(F.col(many).isNull())
-    twice = found.where(F.col(many).isNotNull()).dropDuplicates([ident])
-    return once.unionByName(twice).select(*docs.columns)
+    names = free_names(docs, "keep_id", "keep_key")
+    rows = docs.withColumns(dict(zip(names, _row_key(F.col(id_col), text_key(text_col)))))
+    wanted = kept.select(*[c.alias(n) for c, n in zip(_row_key(F.col("doc_id"), F.col("text_key")), names)]).distinct()
+    found = rows.join(wanted, names, "left_semi")
+    repeated = rows.groupBy(*names).count().where("count > 1").select(*names)
+    if not repeated.isEmpty():
+        found = found.join(repeated, names, "left_anti").unionByName(
+            found.join(repeated, names, "left_semi").dropDuplicates(names))
+    return found.select(*docs.columns)
 
 
-def text_key(text: str) -> Column:
-    return F.sha2(F.col(text).cast("binary"), 256)
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def row_key(id_col: str, key: str | Column) -> Column:
-    """One string for a (doc_id, text key), never NULL."""
-    key = F.col(key) if isinstance(key, str) else key
-    return F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(key, F.lit("-")))
+def _row_key(doc_id: Column, key: Column) -> tuple[Column, Column]:
+    """Never NULL: a NULL id is the text "-", which no number is written as."""
+    return F.coalesce(doc_id.cast("string"), F.lit("-")), key

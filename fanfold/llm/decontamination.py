@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanfold.llm.common import as_bytes, id_and_text, per_batch
+from fanfold.llm.common import as_bytes, free_names, id_and_text, per_batch
 
 WINDOW = 10
 BLOCK_WORDS = 100_000  # item words in one automaton: at most twice as many states
@@ -192,12 +192,8 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
-             block_words: int = BLOCK_WORDS, prefix: str = "decon_") -> DataFrame:
-    """All columns of ``docs`` and n_words, spans (begin, end, …) and items, named with ``prefix``."""
-    names = [f"{prefix}{n}" for n in ("n_words", "spans", "items")]
-    clash = set(names) & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns exist already, choose another prefix: {sorted(clash)}")
+             block_words: int = BLOCK_WORDS, names: Sequence[str] = ("n_words", "spans", "items")) -> DataFrame:
+    """All columns of ``docs`` and the number of words, spans (begin, end, …) and items, called ``names``."""
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()),
                            T.StructField(names[1], T.ArrayType(T.IntegerType())),
                            T.StructField(names[2], T.ArrayType(T.StringType()))])
@@ -205,7 +201,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_c
                        F.array().cast("array<string>").alias(names[2]))
     for automaton in automata(benchmark, window, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        rows = per_batch(rows, schema, _pass(shared, docs.columns, names, text_col))
+        rows = per_batch(rows, schema, _pass(shared, docs.columns, list(names), text_col))
     return rows
 
 
@@ -249,10 +245,9 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
            text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = annotate(id_and_text(docs, id_col, text_col), benchmark, window)
-    return rows.select("doc_id", F.col("decon_n_words").alias("n_words"), covered("decon_spans").alias("n_hit"),
-                       F.size("decon_items").cast("long").alias("n_items"),
-                       F.sha2(F.array_join("decon_items", ",").cast("binary"), 256).alias("items_sha256"),
-                       (F.size("decon_spans") > 0).alias("contaminated"))
+    return rows.select("doc_id", "n_words", covered("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                       (F.size("spans") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.2, min_span: int = 1,
@@ -262,13 +257,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
     A document whose share of hit words exceeds ``max_coverage`` goes (0: any hit). From the others, hit spans of at
     least ``min_span`` words are cut out of the text, with the white space after them; the rest is unchanged.
     """
-    rows = annotate(docs, benchmark, window, text_col)
-    kept = rows.where(covered("decon_spans") <= max_coverage * F.col("decon_n_words"))
+    n_words, spans, items = names = free_names(docs, "n_words", "spans", "items")
+    rows = annotate(docs, benchmark, window, text_col, names=names)
+    kept = rows.where(covered(f"`{spans}`") <= max_coverage * F.col(n_words))
 
     def start():
         def work(batch: pa.RecordBatch):
             texts = [t if t is None or not s else cut(t.encode(), s, min_span).decode()
-                     for t, s in zip(batch[text_col].to_pylist(), batch["decon_spans"].to_pylist())]
+                     for t, s in zip(batch[text_col].to_pylist(), batch[spans].to_pylist())]
             return [pa.array(texts, batch[c].type) if c == text_col else batch[c] for c in docs.columns]
 
         return work

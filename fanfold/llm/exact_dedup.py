@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.llm.common import WORD_GAPS, id_and_text
+from fanfold.llm.common import WORD_GAPS, id_and_text, text_key
 from fanfold.session import materialize
 
 FAN_BITS = 4  # runs that meet in a merge: 2 ** FAN_BITS
@@ -36,11 +36,12 @@ def normalised(text: Column) -> Column:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One short row per document, written once: its digest, rank among equal texts, and run."""
     rows = id_and_text(docs, id_col, text_col).select(
-        "doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("norm"))
+        "doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"), text_key("text").alias("text_key"),
+        normalised(F.col("text")).alias("norm"))
     row = F.monotonically_increasing_id()
     return materialize(rows.select(
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"),
-        F.xxhash64("norm").alias("check"), F.spark_partition_id().alias("run"),
+        F.xxhash64("norm").alias("check"), F.spark_partition_id().alias("run"), "text_key",
         # Smallest first: most code points, then doc_id with NULL last, then place in the input.
         F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id",
                  row.alias("row")).alias("rank")))
@@ -54,7 +55,7 @@ def merge_up(runs: DataFrame, level: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and text_key, which tells texts apart."""
     rows = digests(docs, id_col, text_col)
     leaves = rows.groupBy(*DIGEST, "run").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
     leaves = materialize(leaves)
@@ -69,7 +70,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             result.withColumnRenamed("run", "parent"), [*DIGEST, "parent"]).select(*DIGEST, "run", "best", "n")
     return rows.join(result, [*DIGEST, "run"]).select(
         F.col("rank.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("rank.row") == F.col("best.row")).alias("kept"), "text_sha256")
+        (F.col("rank.row") == F.col("best.row")).alias("kept"), "text_sha256", "text_key")
 
 
 ORACLE = """

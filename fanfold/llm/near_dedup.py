@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.llm.common import as_bytes, id_and_text
+from fanfold.llm.common import as_bytes, id_and_text, text_key
 from fanfold.llm.components import components
 from fanfold.llm.hashing import in_parts, mixed, window_hashes, word_hashes
 from fanfold.session import materialize
@@ -83,7 +83,7 @@ def bit_of(key: bytes, bits: int) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document: doc_id, n_shingles, set_key and sig (NULL without shingles)."""
+    """Per document: doc_id, text_key, n_shingles, set_key and sig (NULL without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,11 +93,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys.append(set_key(shingles) if len(shingles) else None)
                 sigs.append(signature(shingles) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "sig"])
+                [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, sig array<long>")
+    return id_and_text(docs, id_col, text_col).withColumn("text_key", text_key("text")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, set_key binary, sig array<long>")
 
 
 def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int = ROWS * BANDS) -> list[int]:
@@ -250,7 +250,7 @@ def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, percen
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and text_set, the key of its set."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and text_key, which tells texts apart."""
     texts = id_and_text(docs, id_col, text_col)
     rows = materialize(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     classes = materialize(rows.where("set_key IS NOT NULL").groupBy("set_key").agg(
@@ -274,10 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     firsts = labelled.groupBy("component").agg(F.min("first").alias("first"))
     found = materialize(labelled.select("set_key", "component").join(firsts, "component").select(
         "set_key", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keep_row")))
-    return rows.select("doc_id", "n_shingles", "set_key", "row").join(found, "set_key", "left").select(
+    return rows.select("doc_id", "text_key", "n_shingles", "set_key", "row").join(found, "set_key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"), F.col("set_key").alias("text_set"))
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"), "text_key")
 
 
 ORACLE = r"""

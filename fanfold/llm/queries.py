@@ -71,7 +71,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_exact_dedup", exact_dedup.ORACLE)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 @query("op9_language_id")
