@@ -259,17 +259,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
     """
     n_words, spans, items = names = free_names(docs, "n_words", "spans", "items")
     rows = annotate(docs, benchmark, window, text_col, names=names)
-    kept = rows.where(covered(f"`{spans}`") <= max_coverage * F.col(n_words))
+    kept, columns = rows.where(covered(f"`{spans}`") <= max_coverage * F.col(n_words)), docs.columns
 
     def start():
         def work(batch: pa.RecordBatch):
             texts = [t if t is None or not s else cut(t.encode(), s, min_span).decode()
                      for t, s in zip(batch[text_col].to_pylist(), batch[spans].to_pylist())]
-            return [pa.array(texts, batch[c].type) if c == text_col else batch[c] for c in docs.columns]
+            return [pa.array(texts, batch[c].type) if c == text_col else batch[c] for c in columns]
 
         return work
 
-    return kept.select(*docs.columns) if max_coverage <= 0 else per_batch(kept, docs.schema, start)
+    return kept.select(*columns) if max_coverage <= 0 else per_batch(kept, docs.schema, start)
 
 
 def cut(text: bytes, spans: list[int], min_span: int) -> bytes:

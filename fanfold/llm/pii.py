@@ -3,8 +3,8 @@
 The plain patterns are found in the text itself. A chain of small transducers then rewrites the text: homoglyphs and
 full-width forms to ASCII, spelled digits to digits, and spelled or bracketed "at", "dot" and "plus" to their signs, where their
 neighbours make that reading likely. Each step carries, for every character it writes, where in the source it came
-from, so the same detectors run on the rewritten text and their spans are mapped back. A span found only there is
-added unless it overlaps a plain one of its kind.
+from, so the same detectors run on the rewritten text and their spans are mapped back. A span found there is
+added unless it lies within a plain one of its kind.
 
 Only texts that hold some disguise are rewritten; detectors take time linear in the text. Texts are read whole, where they
 are scanned; nothing is shuffled.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -179,9 +179,9 @@ def all_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, li
         found = [mapped.source(*span) for span in DETECTORS[kind](mapped.text)]
         begins = [b for b, _ in base[kind]]
         ends = [e for _, e in base[kind]]
-        # Plain spans are disjoint and ascending: those that begin before the end and end after the begin overlap.
-        added = [(b, e) for b, e in found if bisect_left(begins, e) <= bisect_right(ends, b)]
-        out[kind] = sorted([*base[kind], *added])
+        # Plain spans are disjoint and ascending: only the last that begins no later can hold a found one.
+        added = [(b, e) for b, e in found if not ((at := bisect_right(begins, b)) and ends[at - 1] >= e)]
+        out[kind] = sorted({*base[kind], *added})
     return out
 
 
@@ -191,12 +191,12 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 def redact(text: str) -> str:
     """The text with every span replaced by its kind in brackets."""
-    spans = sorted((b, e, kind) for kind, found in all_spans(text, base_spans(text)).items() for b, e in found)
+    spans = sorted((b, -e, kind) for kind, found in all_spans(text, base_spans(text)).items() for b, e in found)
     out, at = [], 0
     for begin, end, kind in spans:
         if begin >= at:
             out += [text[at:begin], f"[{kind}]"]
-            at = end
+        at = max(at, -end)
     return "".join([*out, text[at:]])
 
 
