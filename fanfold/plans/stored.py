@@ -20,7 +20,7 @@ from fanfold.sources import files, records
 from fanfold.streaming import follow, watch
 
 PAGE_ROWS = 100
-FILES_PER_BATCH = 1000
+FILES_PER_BATCH = 1000  # only a matter of speed: results do not depend on it
 
 
 def fresh(t: Inputs) -> str:
@@ -168,10 +168,9 @@ def m1_telemetry(t: Inputs) -> DataFrame:
 
 
 def stream(t: Inputs, select: list[str]) -> DataFrame:
-    """The events table as a stream, with an instant as time."""
-    schema = t.events.schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
-        "maxFilesPerTrigger", FILES_PER_BATCH).parquet(t.folder)
+    """The events table as a stream, with an instant as time; the table is a file or a folder of files."""
+    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(
+        f"{t.folder}/events.parque[t]")  # a pattern may name a file or a folder
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).selectExpr(*select)
 
 
@@ -187,9 +186,8 @@ def w1_follow(t: Inputs) -> DataFrame:
                       "CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS severity",
                       "map('stage', CASE user_id % 3 WHEN 0 THEN 'builder' WHEN 1 THEN 'runner' ELSE 'output' END) AS labels"])
     root = fresh(t)
-    follow.start(follow.follow_logs(logs, stage="runner", severity="ERROR"), f"{root}/out", f"{root}/state",
-                 once=True).awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").select("insert_id", "severity")
+    follow.follow_logs(logs, f"{root}/out", f"{root}/state", once=True, stage="runner", severity="ERROR").awaitTermination()
+    return follow.followed_logs(t.spark, f"{root}/out").select("insert_id", "severity")
 
 
 @query("w2_watch", """
@@ -208,8 +206,8 @@ WHERE prev IS DISTINCT FROM state
 """, "fx_job_events")
 def w3_stream(t: Inputs) -> DataFrame:
     root = fresh(t)
-    watch.watch_steps(stream(t, JOB_EVENTS), root, f"{root}/state", once=True).awaitTermination()
-    steps = t.spark.read.parquet(f"{root}/steps").where("not late")
+    watch.watch_steps(stream(t, JOB_EVENTS), f"{root}/out", f"{root}/state", once=True).awaitTermination()
+    steps = watch.read_steps(t.spark, f"{root}/out")
     return steps.select("job_id", F.coalesce("from_state", F.lit("none")).alias("from_state"), "to_state",
                         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
@@ -232,9 +230,9 @@ def w4_arrivals(t: Inputs) -> DataFrame:
 SELECT {start(3600)}, metric, instance_name, round(avg(value), 6) AS value FROM fx_metrics GROUP BY ALL
 """, "fx_metrics")
 def w5_windows(t: Inputs) -> DataFrame:
-    """Each batch gives out the buckets it touched; the last word on a bucket counts."""
+    """Each batch lands its share of the buckets it touched; shares add up."""
     metrics = stream(t, ["'run-' || cast(user_id % 10 AS string) || '-stage-' || CASE user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b-0' "
                          "ELSE 'c-0' END AS instance_name", "event_type AS metric", "ts", "value"])
     root = fresh(t)
-    follow.land_updates(follow.follow_metrics(metrics, 3600), f"{root}/out", f"{root}/state", once=True).awaitTermination()
-    return shown(follow.latest_updates(t.spark, f"{root}/out", ["window_start", "metric", "instance_name"]))
+    follow.follow_metrics(metrics, f"{root}/out", f"{root}/state", 3600, once=True).awaitTermination()
+    return shown(follow.followed_metrics(t.spark, f"{root}/out"))

@@ -2,54 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fanfold.operators.logs import filter_logs
-from fanfold.operators.metrics import align_mean
-
-POLL = "5 seconds"
-
+from fanfold.operators.metrics import BUCKET_SECONDS, SERIES, bucket
+from fanfold.streaming.landing import land, landed
 
-def follow_logs(stream: DataFrame, delay: str = "10 minutes", **terms) -> DataFrame:
-    """Filtered log stream without repeated deliveries.
 
-    Rows are told apart by ``insert_id``, so rows that share a timestamp are all kept, and there
-    is no upper bound on the rows of one poll.
-    """
-    return (filter_logs(stream, **terms).withWatermark("timestamp", delay)
-            .dropDuplicatesWithinWatermark(["insert_id"]))
+def once_each(logs: DataFrame) -> DataFrame:
+    """One row per ``insert_id``: repeated deliveries go, rows that share a timestamp stay."""
+    return logs.dropDuplicates(["insert_id"])
 
 
-def follow_metrics(stream: DataFrame, seconds: int = 60, delay: str = "2 minutes") -> DataFrame:
-    """The batch operator behind a watermark, so closed buckets leave the state."""
-    return align_mean(stream.withWatermark("ts", delay), seconds)
+def follow_logs(stream: DataFrame, path: str, checkpoint: str, once: bool = False, **terms) -> StreamingQuery:
+    """Lands the entries that pass :func:`filter_logs`; read them with :func:`followed_logs`."""
+    return land(filter_logs(stream, **terms), path, checkpoint, once_each, once)
 
 
-def start(df: DataFrame, path: str, checkpoint: str, once: bool = False, mode: str = "append") -> StreamingQuery:
-    """Writes a stream to Parquet every five seconds, or until all present input is read."""
-    writer = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)
-    return writer.start(path)
+def followed_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Every entry that has landed, once, however late it came."""
+    return once_each(landed(spark, path))
 
 
-def land_updates(df: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Lands the buckets each batch changed in its own folder, so a repeated batch replaces itself."""
+def bucket_sums(df: DataFrame, seconds: int = BUCKET_SECONDS, series: Sequence[str] = SERIES) -> DataFrame:
+    """Sum and number of values per series and bucket; these add up over batches."""
+    sums = df.groupBy(bucket(seconds).alias("w"), *series).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    return sums.select(F.col("w.start").alias("window_start"), *series, "total", "n")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
+def added(sums: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
+    return sums.groupBy("window_start", *series).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last landed value per key."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by("value", "batch_id").alias("value"))
+def follow_metrics(stream: DataFrame, path: str, checkpoint: str, seconds: int = BUCKET_SECONDS,
+                   series: Sequence[str] = SERIES, once: bool = False) -> StreamingQuery:
+    """Lands each batch's share of every bucket it touches; read the means with :func:`followed_metrics`."""
+    return land(stream, path, checkpoint, lambda b: bucket_sums(b, seconds, series), once)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows behind the watermark in the reported batches: counted, not silently lost."""
-    return sum(op.get("numRowsDroppedByWatermark", 0)
-               for progress in query.recentProgress for op in progress["stateOperators"])
+def followed_metrics(spark: SparkSession, path: str, series: Sequence[str] = SERIES) -> DataFrame:
+    """The mean per series and bucket over all that has landed, as the batch operator gives it."""
+    return added(landed(spark, path), series).select("window_start", *series, F.try_divide("total", "n").alias("value"))

@@ -1,8 +1,7 @@
 """Job states and arriving results as streams.
 
-Each micro-batch writes its own ``batch_id=N`` folder, so a batch that is run again after a failure
-replaces its own rows and nothing else. Readers resolve the folders with a partial aggregate; no
-state grows inside the stream.
+What a batch lands is merged on reading (:mod:`fanfold.streaming.landing`), so no state grows inside the stream and a report
+that comes late still counts at its own time.
 """
 
 from __future__ import annotations
@@ -13,11 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fanfold.operators.ordering import previous_in_time
 from fanfold.operators.tasks import gather
+from fanfold.streaming.landing import land, landed
 
 # States after which a job does not change any more.
 TERMINAL = ["SUCCEEDED", "FAILED"]
-EVENT = "job_id STRING, state STRING, ts TIMESTAMP"
-SNAPSHOT_EVERY = 100
 SLICE_SECONDS = 60
 
 
@@ -34,30 +32,20 @@ def latest_states(events: DataFrame) -> DataFrame:
                        F.col("s.state").isin(TERMINAL).alias("terminal"))
 
 
-def _per_batch(stream: DataFrame, path: str, checkpoint: str, shrink, once: bool, every: str) -> StreamingQuery:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        shrink(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
-
-
 def watch_status(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
                  every: str = "10 seconds") -> StreamingQuery:
     """Lands the last state of each job in each batch; read with :func:`read_status`."""
-    return _per_batch(stream, path, checkpoint, lambda b: latest_states(b).select("job_id", "state", "ts"),
-                      once, every)
+    return land(stream, path, checkpoint, lambda b: latest_states(b).select("job_id", "state", "ts"), once, every)
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    return latest_states(spark.read.schema(EVENT).parquet(path))
+    return latest_states(landed(spark, path))
 
 
 def watch_arrivals(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
                    every: str = "10 seconds") -> StreamingQuery:
     """Lands the arrived results ``(run_key, task_index, status)`` of each batch."""
-    return _per_batch(stream, path, checkpoint,
-                      lambda b: b.select("run_key", "task_index", "status").distinct(), once, every)
+    return land(stream, path, checkpoint, lambda b: b.select("run_key", "task_index", "status").distinct(), once, every)
 
 
 def arrival_status(results: DataFrame, runs: DataFrame, now: str) -> DataFrame:
@@ -80,48 +68,12 @@ def state_steps(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFr
                                         F.col("state").alias("to_state"), "ts")
 
 
-def _last_states(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Last report per job before a batch. Every ``SNAPSHOT_EVERY`` batches the folder holds all
-    jobs, so no more than that many folders are read."""
-    base = max(batch_id - 1, 0) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    if batch_id == 0:
-        return spark.createDataFrame([], EVENT)
-    landed = spark.read.schema(f"{EVENT}, batch_id INT").parquet(path)
-    recent = landed.where((F.col("batch_id") >= base) & (F.col("batch_id") < batch_id))
-    return latest_states(recent).select("job_id", "state", "ts")
-
-
-def steps_of_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Changes of state in a batch of reports, given the last known report of each job.
-
-    A report older than the known one is given out as late and changes nothing. Inside the batch
-    the lag runs per job and minute, so a job with very many reports is spread over tasks.
-    """
-    before = known.select("job_id", F.col("state").alias("known_state"), F.col("ts").alias("known_ts"))
-    seen = batch.select("job_id", "state", "ts").join(before, "job_id", "left").withColumn(
-        "late", F.coalesce(F.col("ts") < F.col("known_ts"), F.lit(False)))
-    timely = previous_in_time(seen.where("not late"), ["job_id"], "ts", ["state"], SLICE_SECONDS, ties=["state"])
-    source = F.coalesce("prev_state", "known_state")
-    steps = timely.withColumn("from_state", source).where(~source.eqNullSafe(F.col("state")))
-    late = seen.where("late").withColumn("from_state", F.col("known_state"))
-    columns = ["job_id", "from_state", F.col("state").alias("to_state"), "ts", "late"]
-    return steps.select(*columns).unionByName(late.select(*columns))
-
-
 def watch_steps(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
                 every: str = "10 seconds") -> StreamingQuery:
-    """Streaming form of :func:`state_steps`: lands the changes of each batch below ``path/steps``."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark, last = batch.sparkSession, f"{path}/last"
-        known = _last_states(spark, last, batch_id)
-        events = batch.select("job_id", "state", "ts").persist()
-        steps_of_batch(events, known).write.mode("overwrite").parquet(f"{path}/steps/batch_id={batch_id}")
-        whole = batch_id % SNAPSHOT_EVERY == 0
-        reports = events.unionByName(known) if whole else events
-        latest_states(reports).select("job_id", "state", "ts").write.mode("overwrite").parquet(
-            f"{last}/batch_id={batch_id}")
-        events.unpersist()
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    """Lands the distinct reports of each batch; :func:`read_steps` puts them in order."""
+    return land(stream, path, checkpoint, lambda b: b.select("job_id", "state", "ts").distinct(), once, every)
+
+
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """Streaming form of :func:`state_steps`: the same steps, whatever the order in which reports arrived."""
+    return state_steps(landed(spark, path).distinct())

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import gzip
 import json
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entries
 from fanfold.operators import telemetry as M
 from fanfold.operators.logs import fresh
+from fanfold.operators.metrics import align_mean
 from fanfold.session import materialize, shared_dir
 from fanfold.sources import files, records
-from fanfold.streaming import follow, watch
+from fanfold.streaming import follow, landing, watch
 
 
 def test_listing_is_recursive_sorted_and_empty_for_absent_folders(spark, tmp_path):
@@ -96,39 +99,35 @@ def test_materialized_rows_do_not_change(spark):
     assert df.exceptAll(df).count() == 0 and shared_dir(spark)
 
 
-def write_batches(spark, df, folder, n):
-    """One file per batch, in the order of time."""
+def write_batches(spark, df, folder, n, order=None):
+    """One file per batch of equal size by time; ``order`` tells which comes first."""
     rows = df.orderBy("ts").collect()
     size = -(-len(rows) // n)
-    for i in range(n):
+    for i in order or range(n):
         part = spark.createDataFrame(rows[i * size:(i + 1) * size], df.schema)
         part.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)  # files are read in the order of their modification times
 
 
-def test_state_stream_over_batches_equals_batch(spark, tmp_path, rows):
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [2, 3, 0, 1], [3, 1, 2, 0]])
+def test_state_streams_over_batches_equal_batch(spark, tmp_path, rows, order):
     states = ["QUEUED", "SCHEDULED", "RUNNING", "RUNNING", "SUCCEEDED"]
-    data = [(f"job{j}", states[s], j * 7 + s * 60) for j in range(20) for s in range(5)]
+    data = [(f"job{j}", states[s], j * 86_400 + s * 600) for j in range(20) for s in range(5)]
     df = spark.createDataFrame(data, "job_id STRING, state STRING, s BIGINT").select("job_id", "state", F.timestamp_seconds("s").alias("ts"))
     folder = str(tmp_path / "in")
-    write_batches(spark, df, folder, 4)
+    write_batches(spark, df, folder, 4, order)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     watch.watch_steps(stream, str(tmp_path / "w3"), str(tmp_path / "c3"), once=True).awaitTermination()
-    steps = spark.read.parquet(str(tmp_path / "w3" / "steps"))
-    assert rows(steps.where("not late"), "job_id", "from_state", "to_state", "ts") == rows(watch.state_steps(df))
+    assert rows(watch.read_steps(spark, str(tmp_path / "w3"))) == rows(watch.state_steps(df))
     watch.watch_status(stream, str(tmp_path / "w2"), str(tmp_path / "c2"), once=True).awaitTermination()
     latest = watch.read_status(spark, str(tmp_path / "w2"))
     assert rows(latest) == rows(watch.latest_states(df)) and latest.where("terminal").count() == 20
 
 
 def test_late_reports_do_not_move_a_job_back(spark, rows):
-    ts = lambda s: F.timestamp_seconds(F.lit(s))
-    batch = spark.createDataFrame([("j", "RUNNING", 5), ("j", "FAILED", 20)], "job_id STRING, state STRING, s BIGINT").select(
-        "job_id", "state", F.timestamp_seconds("s").alias("ts"))
-    known = spark.range(1).select(F.lit("j").alias("job_id"), F.lit("SUCCEEDED").alias("state"), ts(10).alias("ts"))
-    assert rows(watch.steps_of_batch(batch, known), "from_state", "to_state", "late") == [
-        ("SUCCEEDED", "FAILED", False), ("SUCCEEDED", "RUNNING", True)]
-    tie = batch.withColumn("ts", ts(10)).unionByName(known)
-    assert watch.latest_states(tie).first().terminal
+    df = spark.createDataFrame([("j", "SUCCEEDED", 10), ("j", "RUNNING", 5), ("k", "FAILED", 7), ("k", "RUNNING", 7)],
+                               "job_id STRING, state STRING, s BIGINT").select("job_id", "state", F.timestamp_seconds("s").alias("ts"))
+    assert rows(watch.latest_states(df), "job_id", "state", "terminal") == [("j", "SUCCEEDED", True), ("k", "FAILED", True)]
 
 
 def test_arrivals(spark, tmp_path, rows):
@@ -138,20 +137,40 @@ def test_arrivals(spark, tmp_path, rows):
     write_batches(spark, df, folder, 2)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     watch.watch_arrivals(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
-    results = spark.read.parquet(str(tmp_path / "out"))
     runs = spark.createDataFrame([("a", 2, 0), ("b", 2, 10**10), ("c", 2, 0)], "run_key STRING, n_expected INT, s BIGINT").select(
         "run_key", "n_expected", F.timestamp_seconds("s").alias("deadline"))
-    assert rows(watch.arrival_status(results, runs, "2024-01-01T00:00:00Z"), "run_key", "n_arrived", "state") == [
+    assert rows(watch.arrival_status(landing.landed(spark, str(tmp_path / "out")), runs, "2024-01-01T00:00:00Z"), "run_key", "n_arrived", "state") == [
         ("a", 2, "complete"), ("b", 1, "waiting"), ("c", 1, "timed out")]
 
 
-def test_followed_logs_keep_equal_timestamps_and_drop_repeats(spark, tmp_path):
-    df = spark.createDataFrame([(i % 150, 1_700_000_000 + 60 * (i // 100)) for i in range(300)], "insert_id BIGINT, s BIGINT").select(
+def test_followed_logs_keep_equal_timestamps_late_rows_and_drop_repeats(spark, tmp_path):
+    df = spark.createDataFrame([(i % 150, 1_700_000_000 + 86_400 * (i // 60)) for i in range(300)], "insert_id BIGINT, s BIGINT").select(
         "insert_id", F.timestamp_seconds("s").alias("ts"), F.lit("INFO").alias("severity"))
     folder = str(tmp_path / "in")
-    write_batches(spark, df, folder, 3)
+    write_batches(spark, df, folder, 5, [2, 3, 4, 0, 1])
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumnRenamed("ts", "timestamp")
-    query = follow.start(follow.follow_logs(stream, severity="INFO"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
-    query.awaitTermination()
-    got = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("insert_id").collect()]
-    assert sorted(got) == list(range(150)) and follow.late_rows(query) == 0
+    follow.follow_logs(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True, severity="INFO").awaitTermination()
+    got = [r.insert_id for r in follow.followed_logs(spark, str(tmp_path / "out")).collect()]
+    assert sorted(got) == list(range(150))
+
+
+def test_followed_metrics_equal_batch_in_any_order_and_after_compaction(spark, tmp_path, rows):
+    data = [("cpu", f"i{i % 3}", 1_700_000_000 + 43_200 * (i // 5), float(i % 7) if i % 11 else None) for i in range(100)]
+    df = spark.createDataFrame(data, "metric STRING, instance_name STRING, s BIGINT, value DOUBLE").select(
+        "metric", "instance_name", F.timestamp_seconds("s").alias("ts"), "value")
+    folder = str(tmp_path / "in")
+    write_batches(spark, df, folder, 5, [2, 3, 4, 0, 1])
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    follow.follow_metrics(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 86_400, once=True).awaitTermination()
+    expected = rows(align_mean(df, 86_400))
+    assert rows(follow.followed_metrics(spark, str(tmp_path / "out"))) == expected
+    landing.compact(spark, str(tmp_path / "out"), str(tmp_path / "small"), follow.added)
+    assert rows(follow.followed_metrics(spark, str(tmp_path / "small"))) == expected
+
+
+@pytest.mark.parametrize("name", ["w1_follow", "w2_watch", "w3_stream", "w4_arrivals", "w5_windows"])
+def test_stream_queries_read_a_folder_of_parts(spark, tmp_path, rows, name):
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    query = entries.queries()[name]
+    assert rows(query(spark, str(tmp_path))) == rows(query(spark, source))
