@@ -163,11 +163,12 @@ def literal_part(pattern: str) -> str:
     return re.split(r"[*?\[]", pattern, maxsplit=1)[0]
 
 
-def normalize_patterns(raw: str) -> list[str]:
-    """``foo/`` and ``foo`` also mean everything below; patterns with wildcards stay as they are."""
-    if raw.endswith("/"):
-        return [f"{raw}*", raw.rstrip("/")]
-    return [raw] if literal_part(raw) != raw else [raw, f"{raw}/*"]
+def meanings(pattern: Column) -> Column:
+    """The patterns a given one stands for, as an array. A name or folder (``name``, ``name/``) stands for itself
+    and for all that lies below; a pattern with a wildcard only for itself."""
+    name = F.regexp_replace(pattern, "/+$", "")
+    below = F.array(name, F.concat(name, F.lit("/*")))
+    return F.when(name.rlike(r"[*?\[]") & ~pattern.endswith("/"), F.array(pattern)).otherwise(below)
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -179,16 +180,10 @@ def glob_match(value: Column, patterns: Iterable[str]) -> Column:
     return value.rlike(glob_regex(*patterns))
 
 
-def literal_dir(pattern: str) -> str:
-    """The directories before the first wildcard; a pattern without one is a directory itself."""
-    literal = literal_part(pattern)
-    return literal.rstrip("/") if literal == pattern else literal.rpartition("/")[0]
-
-
 def glob_starts(path: Column, patterns: Iterable[str], prefix: str = "") -> Column:
-    """True for every path below a directory that a match can lie in: an ``OR`` of literal starts.
+    """True for every path that a match can have: an ``OR`` of the patterns' literal starts.
 
-    Spark pushes ``startswith`` on a stored column into the Parquet scan, which a regex is not.
+    A pattern is anchored, so a match begins with all that stands before the first wildcard. Spark pushes
+    ``startswith`` on a stored column into the Parquet scan, which a regex is not.
     """
-    dirs = sorted({literal_dir(p) for p in patterns})
-    return any_of(path.startswith(f"{prefix}{d}/" if d else prefix) for d in dirs)
+    return any_of(path.startswith(prefix + start) for start in sorted({literal_part(p) for p in patterns}))

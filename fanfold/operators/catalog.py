@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanfold.functions import paths as P
@@ -81,6 +81,12 @@ def run_dirs(df: DataFrame, exp_path: str) -> DataFrame:
             .where("run_id <> ''").distinct())
 
 
+def expand_patterns(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """All that the given patterns stand for; their number is the caller's."""
+    given = spark.createDataFrame([(p,) for p in patterns], "pattern STRING")
+    return [r.p for r in given.select(F.explode(P.meanings(F.col("pattern"))).alias("p")).distinct().orderBy("p").collect()]
+
+
 def glob_filter(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
     return df.where(P.glob_match(F.col(column), patterns))
 

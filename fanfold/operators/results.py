@@ -11,8 +11,6 @@ from fanfold.operators.ordering import key_of, prefix_sum
 
 DEFAULT_LEVELS = (0.025, 0.5, 0.975)
 UNIT = ("population", "date", "variable")
-HOT_ROWS = 1_000_000
-BROADCAST_GROUPS = 10_000
 
 
 def explode_trajectories(nested: DataFrame) -> DataFrame:
@@ -32,44 +30,27 @@ def explode_projections(nested: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str] = UNIT, levels: Sequence[float] = DEFAULT_LEVELS,
-              exact: bool = True, hot_rows: int = HOT_ROWS, accuracy: int = 10_000) -> DataFrame:
+              exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """One row per group and level; exact ones interpolate linearly between neighbours.
 
-    ``percentile`` keeps the values of a group in one task. Groups of more than ``hot_rows`` rows,
-    found by a count first, are therefore ranked by a distributed sort instead, with the same
-    result. ``exact=False`` uses a sketch of fixed size for every group.
+    ``percentile`` would keep the values of a group in one task. Values are counted and placed by a
+    distributed sort instead, so a group of any size spans as many partitions as it needs.
+    ``exact=False`` uses a sketch of fixed size for every group.
     """
-    keys, array = list(keys), F.array(*[F.lit(float(v)) for v in levels])
+    keys = list(keys)
     if not exact:
+        array = F.array(*[F.lit(float(v)) for v in levels])
         sketch = F.percentile_approx("value", array, F.lit(accuracy))
         return _to_levels(df.groupBy(*keys).agg(sketch.alias("__q")), keys, levels)
-    keyed = df.withColumn("__key", key_of(keys))
-    sizes = keyed.groupBy("__key").agg(F.count("value").alias("__n")).where(F.col("__n") > hot_rows)
-    n_hot = sizes.limit(BROADCAST_GROUPS + 1).count()
-    if not n_hot:
-        return _to_levels(df.groupBy(*keys).agg(F.percentile("value", array).alias("__q")), keys, levels)
-    # There is at most one hot group per ``hot_rows`` rows; above the checked number Spark joins by
-    # shuffle instead.
-    lookup = F.broadcast(sizes) if n_hot <= BROADCAST_GROUPS else sizes
-    small = keyed.join(lookup, "__key", "left_anti")
-    plain = small.groupBy(*keys).agg(F.percentile("value", array).alias("__q"))
-    hot = keyed.join(lookup, "__key").drop("__key")
-    return _to_levels(plain, keys, levels).unionByName(ranked_quantiles(hot, keys, levels))
-
-
-def ranked_quantiles(df: DataFrame, keys: Sequence[str], levels: Sequence[float],
-                     size: str = "__n") -> DataFrame:
-    """Exact quantiles from positions in a distributed sort; ``size`` holds the group's row count."""
-    keys = list(keys)
-    counts = (df.where("value is not null").groupBy(*keys, size, "value")
-              .agg(F.count(F.lit(1)).alias("__c")))
-    placed = prefix_sum(counts, [*keys, size], ["value"], weight="__c", name="__before")
+    counts = df.where("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__c"))
+    placed = prefix_sum(counts, keys, ["value"], weight="__c", name="__before").withColumn("__group", key_of(keys))
+    sizes = placed.groupBy("__group").agg(F.sum("__c").alias("__n"))
     wanted = F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level")
     # Each value covers positions [before, before + c). Keep it only for the levels whose two
     # neighbouring positions it covers; at most two rows per group and level remain.
-    spot = F.col("level") * (F.col(size) - 1)
+    spot = F.col("level") * (F.col("__n") - 1)
     low, high = F.floor(spot), F.ceil(spot)
-    at = placed.select(*keys, size, "value", "__before", "__c", wanted).select(
+    at = placed.join(sizes, "__group").select(*keys, "__n", "value", "__before", "__c", wanted).select(
         *keys, "level", "value", spot.alias("__spot"), low.alias("__low"),
         ((F.col("__before") <= low) & (low < F.col("__before") + F.col("__c"))).alias("__is_low"),
         ((F.col("__before") <= high) & (high < F.col("__before") + F.col("__c"))).alias("__is_high"))
@@ -135,10 +116,13 @@ def model_metadata(tasks: DataFrame, results: DataFrame, parameters: Sequence[st
 
 
 def hub_format(quantile_rows: DataFrame, mapping: Mapping[str, str], **constants: str) -> DataFrame:
-    """Renames columns by ``mapping`` (ours → theirs), adds constant columns, keeps nothing else."""
+    """Renames columns by ``mapping`` (ours → theirs), adds constant columns, keeps nothing else.
+
+    A level is written as the shortest decimal that reads back as the same number.
+    """
     return quantile_rows.select(
         *[F.lit(v).alias(k) for k, v in constants.items()],
-        *[(F.format_string("%.3f", "level") if ours == "level" else F.col(ours)).alias(theirs)
+        *[(F.col("level").cast("string") if ours == "level" else F.col(ours)).alias(theirs)
           for ours, theirs in mapping.items()])
 
 

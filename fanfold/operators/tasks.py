@@ -13,6 +13,7 @@ from fanfold.functions import paths as P
 from fanfold.operators.ordering import dense_index, prefix_sum
 
 SEQUENCE_BLOCK = 10_000
+MAX_PARALLELISM = 100
 RESULT_ROWS = 10_000
 
 
@@ -33,12 +34,21 @@ def task_lhs(tasks: DataFrame, key: str, ranges: Mapping[str, tuple[float, float
 
     Strata are ranks of a hash of (seed, dimension, key) and the point is the middle of its
     stratum, so the same input always gives the same design. ``key`` must be unique.
+
+    All dimensions are ranked in one sort: the key is listed once per dimension, and a dimension is a group.
     """
-    n, design = tasks.count(), tasks
+    if not ranges:
+        return tasks
+    listed = tasks.select(F.col(key).alias("__lhs_key"), F.explode(F.array(*map(F.lit, ranges))).alias("__lhs_name"))
+    shuffled = F.md5(F.concat_ws("/", F.lit(str(seed)), "__lhs_name", F.col("__lhs_key").cast("string")).cast("binary"))
+    ranked = prefix_sum(listed, ["__lhs_name"], [shuffled, F.col("__lhs_key")], name="__lhs_stratum")
+    of = lambda name: F.max(F.when(F.col("__lhs_name") == name, F.col("__lhs_stratum")))
+    strata = ranked.groupBy("__lhs_key").agg(*[of(name).alias(f"{name}_stratum") for name in ranges])
+    # The number of keys is one more than the highest rank; one row.
+    n = strata.agg(F.max(f"{next(iter(ranges))}_stratum")).first()[0]
+    design = tasks.join(strata, tasks[key].eqNullSafe(strata["__lhs_key"])).drop("__lhs_key")
     for name, (low, high) in ranges.items():
-        shuffled = F.xxhash64(F.lit(seed), F.lit(name), F.col(key))
-        design = prefix_sum(design, [], [shuffled, F.col(key)], name=f"{name}_stratum")
-        share = (F.col(f"{name}_stratum") + F.lit(0.5)) / F.lit(n)
+        share = (F.col(f"{name}_stratum") + F.lit(0.5)) / F.lit((n or 0) + 1)
         design = design.withColumn(name, F.lit(low) + share * (high - low))
     return design
 
@@ -48,7 +58,7 @@ def index_tasks(df: DataFrame, order_by: Sequence[str | Column], kind: str = "in
     return dense_index(df, order_by).withColumn("task_file", P.task_file(kind, F.col("task_index")))
 
 
-def task_budget(tasks: DataFrame, keys: Sequence[str] = ("run_key",), max_parallelism: int = 100) -> DataFrame:
+def task_budget(tasks: DataFrame, keys: Sequence[str] = ("run_key",), max_parallelism: int = MAX_PARALLELISM) -> DataFrame:
     """Number of tasks, parallel slots and waves of each run."""
     slots = F.least(F.col("n_tasks"), F.lit(max_parallelism))
     return (tasks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tasks"))
@@ -66,12 +76,15 @@ def require_tasks(tasks: DataFrame) -> DataFrame:
 
 
 def run_tasks(tasks: DataFrame, fn: Callable[[dict], pd.DataFrame], schema: T.StructType | str,
-              parallelism: int | None = None) -> DataFrame:
+              parallelism: int | None = None, max_parallelism: int = MAX_PARALLELISM) -> DataFrame:
     """Calls ``fn(workload)`` once per task row and keeps going when one fails.
 
     ``tasks`` has one row per task with ``task_index``. The result holds the columns of ``schema``
     plus ``task_index, status, error_type, error_message``; a failed task gives one row with NULL
     results. Tasks are rows, not groups, so no task needs more memory than its own workload.
+
+    Tasks are dealt evenly to ``parallelism`` partitions; without it to as many as there are tasks,
+    ``max_parallelism`` at most, whatever files the task table lies in.
     """
     result = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     extra = T.StructType.fromDDL("task_index BIGINT, status STRING, error_type STRING, error_message STRING")
@@ -105,8 +118,9 @@ def run_tasks(tasks: DataFrame, fn: Callable[[dict], pd.DataFrame], schema: T.St
                     good, bad, held = [], [], 0
         yield from flush(good, bad)
 
-    spread = tasks.repartition(parallelism, "task_index") if parallelism else tasks
-    return spread.mapInPandas(run, full)
+    slots = parallelism or max(1, min(tasks.count(), max_parallelism))
+    # Ranges of the index are even in size, which hashes of it are not.
+    return tasks.repartitionByRange(slots, "task_index").mapInPandas(run, full)
 
 
 # --- gather ------------------------------------------------------------------------------------

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The statuses that mean success.
+GOOD = ("success", "ok")
 TELEMETRY_SCHEMA = "status STRING, duration DOUBLE, _bad STRING"
 _FILE = r"(builder|runner|output)(?:_([0-9]+))?_summary\.json"
 
@@ -26,10 +30,10 @@ def read_telemetry(spark: SparkSession, path: str, by_folder: bool = False) -> D
     return rows.where("stage <> '' and _bad is null").drop("_bad")
 
 
-def workflow_summary(df: DataFrame) -> DataFrame:
-    """Counts and durations per stage and in total (``stage`` = ``total``)."""
+def workflow_summary(df: DataFrame, good: Sequence[str] = GOOD) -> DataFrame:
+    """Counts and durations per stage and in total (``stage`` = ``total``); ``good`` statuses count as ok."""
     summary = df.rollup("stage").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(*good)).alias("n_ok"),
         F.sum("duration").alias("total_duration"), F.avg("duration").alias("mean_duration"),
         F.max("duration").alias("max_duration"), F.grouping("stage").alias("__total"))
     stage = F.when(F.col("__total") == 1, "total").otherwise(F.col("stage"))

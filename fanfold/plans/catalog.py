@@ -115,7 +115,7 @@ WHERE exp_id = '199501' OR starts_with(exp_id, '199501/') OR exp_id = '199602' O
   OR exp_id GLOB '*/hosp_1'
 """, "fx_artifacts")
 def c6_patterns(t: Inputs) -> DataFrame:
-    wanted = [p for raw in ("199501", "199602/", "*/hosp_1") for p in P.normalize_patterns(raw)]
+    wanted = C.expand_patterns(t.spark, ["199501", "199602/", "*/hosp_1"])
     return C.glob_filter(runs(t), "exp_id", wanted)
 
 

@@ -12,11 +12,11 @@ from fanfold.plans.registry import Inputs, query
 FIT_END = "2024-01-05"
 
 
-def long_quantiles(source: str, keys: str, tail: str = "") -> str:
+def long_quantiles(source: str, keys: str, tail: str = "", levels=R.DEFAULT_LEVELS) -> str:
     """The check of a quantile table: one exact quantile per level, stacked."""
     shown = keys.replace("date", "cast(date AS string) AS date")
     parts = [f"SELECT {shown}, {level}::double AS level, round(quantile_cont(value, {level}), 6) AS value "
-             f"FROM {source} {tail} GROUP BY {keys}" for level in R.DEFAULT_LEVELS]
+             f"FROM {source} {tail} GROUP BY {keys}" for level in levels]
     return " UNION ALL ".join(parts)
 
 
@@ -51,10 +51,10 @@ def r2_quantiles(t: Inputs) -> DataFrame:
     return rounded(R.quantiles(trajectories(t)))
 
 
-# The same result by the distributed ranking that large groups take.
+# Fewer and larger groups.
 @query("r2_ranked", long_quantiles("fx_trajectories", "population, variable"), "fx_trajectories")
 def r2_ranked(t: Inputs) -> DataFrame:
-    return rounded(R.quantiles(trajectories(t), ["population", "variable"], hot_rows=1000))
+    return rounded(R.quantiles(trajectories(t), ["population", "variable"]))
 
 
 @query("r2_approx")
@@ -62,6 +62,21 @@ def r2_approx(t: Inputs) -> DataFrame:
     return R.quantiles(trajectories(t), exact=False)
 
 
+@query("r2_bound", """
+SELECT population, cast(date AS string) AS date, variable, level, true AS within
+FROM (SELECT population, date, variable FROM fx_trajectories GROUP BY ALL), (SELECT unnest([0.025::double, 0.5, 0.975]) AS level)
+""", "fx_trajectories")
+def r2_bound(t: Inputs) -> DataFrame:
+    """The rank of each sketched quantile is within the sketch's accuracy, and one row, of its level."""
+    rows, sketch = trajectories(t), R.quantiles(trajectories(t), exact=False, accuracy=1000).withColumnRenamed("value", "q")
+    ranks = rows.join(sketch, list(R.UNIT)).groupBy(*R.UNIT, "level").agg(
+        F.count_if(F.col("value") < F.col("q")).alias("below"), F.count_if(F.col("value") <= F.col("q")).alias("upto"),
+        F.count("value").alias("n"))
+    wanted, slack = F.col("level") * F.col("n"), F.col("n") / 1000 + 1
+    return ranks.select("population", F.col("date").cast("string").alias("date"), "variable", "level",
+                        ((F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within"))
+
+
 @query("r3_national", "WITH total AS (SELECT traj_id, date, variable, sum(value) AS value FROM fx_trajectories "
        f"GROUP BY ALL) SELECT 'all' AS population, * FROM ({long_quantiles('total', 'date, variable')})",
        "fx_trajectories")
@@ -169,14 +184,15 @@ def r9_metadata(t: Inputs) -> DataFrame:
     return R.model_metadata(tasks, results, ["beta", "gamma"])
 
 
+HUB_LEVELS = (0.0125, 0.0129, 0.5, 0.975)
 HUB = {"population": "location", "date": "target_end_date", "level": "output_type_id", "value": "value"}
 
 
 @query("r10_hub", "SELECT 'inc case' AS target, 'quantile' AS output_type, population AS location, "
-       "date AS target_end_date, printf('%.3f', level) AS output_type_id, value FROM ("
-       + long_quantiles("fx_trajectories", "population, date, variable") + ")", "fx_trajectories")
+       "date AS target_end_date, cast(level AS string) AS output_type_id, value FROM ("
+       + long_quantiles("fx_trajectories", "population, date, variable", levels=HUB_LEVELS) + ")", "fx_trajectories")
 def r10_hub(t: Inputs) -> DataFrame:
-    return rounded(R.hub_format(R.quantiles(trajectories(t)), HUB, target="inc case", output_type="quantile"))
+    return rounded(R.hub_format(R.quantiles(trajectories(t), levels=HUB_LEVELS), HUB, target="inc case", output_type="quantile"))
 
 
 @query("r11_envelope", """

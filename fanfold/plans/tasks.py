@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from fanfold.operators import tasks as K
 from fanfold.operators import telemetry as M
 from fanfold.plans.registry import Inputs, query
+from fanfold.session import shared_dir
 
 GRID = {"beta": [0.2, 0.3, 0.4], "gamma": [0.1, 0.2]}
 LHS = {"beta": (0.1, 0.5), "gamma": (0.05, 0.25)}
@@ -39,12 +42,15 @@ def t1_grid(t: Inputs) -> DataFrame:
     return K.task_grid(t.customer.select("c_custkey", "c_nationkey"), **GRID)
 
 
-@query("t2_lhs")
+@query("t2_lhs", "WITH ranked AS (SELECT c_custkey, count(*) OVER () AS n, " + ", ".join(
+    f"row_number() OVER (ORDER BY md5('7/{d}/' || c_custkey), c_custkey) - 1 AS {d}_stratum" for d in LHS)
+    + " FROM customer) SELECT c_custkey, " + ", ".join(
+    f"{d}_stratum, {low} + ({d}_stratum + 0.5::double) / n * ({high} - {low}) AS {d}" for d, (low, high) in LHS.items()) + " FROM ranked")
 def t2_lhs(t: Inputs) -> DataFrame:
     return K.task_lhs(t.customer.select("c_custkey"), "c_custkey", LHS, seed=7)
 
 
-# The design itself depends on the hash; each range must be cut into strata that are used once each.
+# Each range must be cut into strata that are used once each.
 @query("t2_strata", """
 SELECT 'beta' AS dimension, count(*) AS n, count(*) AS n_strata, 0::bigint AS low, count(*) - 1 AS high FROM customer
 UNION ALL SELECT 'gamma', count(*), count(*), 0, count(*) - 1 FROM customer
@@ -92,7 +98,7 @@ UNION ALL SELECT c_custkey, 'failed', 'ValueError', 'negative rate', -1, -1 FROM
 def t6_run(t: Inputs) -> DataFrame:
     tasks = t.customer.select(F.col("c_custkey").alias("task_index"), (F.col("c_custkey") % 100 + 1).alias("start"),
                               (F.col("c_acctbal") / 100000).alias("rate"))
-    ran = K.run_tasks(tasks, growth, "step BIGINT, value DOUBLE", parallelism=8)
+    ran = K.run_tasks(tasks, growth, "step BIGINT, value DOUBLE")
     return (ran.withColumn("value", F.round("value", 8)).na.fill("", ["error_type", "error_message"])
             .na.fill(-1, ["step", "value"]))
 
@@ -151,10 +157,27 @@ def m2_summary(t: Inputs) -> DataFrame:
 
 
 @query("m3_text", f"""
-SELECT stage, stage || ': ' || count(*) FILTER (status = 'ok') || ' of ' || count(*) || ' ok' AS head
-FROM (SELECT {STAGE} AS stage, status FROM fx_results) GROUP BY stage
+SELECT coalesce(stage, 'total') AS stage, printf('%s: %d of %d ok, %.1f s in total, longest %.1f s', coalesce(stage, 'total'),
+  count(*) FILTER (status = 'success'), count(*), sum(duration), max(duration)) AS value
+FROM (SELECT {STAGE} AS stage, CASE status WHEN 'ok' THEN 'success' ELSE status END AS status, duration FROM fx_results)
+GROUP BY ROLLUP (stage)
 """, "fx_results")
 def m3_text(t: Inputs) -> DataFrame:
-    summary = M.workflow_summary(t.fx("fx_results").select(F.expr(STAGE).alias("stage"), "status", "duration"))
-    return M.summary_text(summary).where("stage <> 'total'").select(
-        "stage", F.substring_index("value", ",", 1).alias("head"))
+    summary = M.workflow_summary(t.fx("fx_results").select(F.expr(STAGE).alias("stage"), F.replace("status", F.lit("ok"), F.lit("success")).alias("status"), "duration"))
+    return M.summary_text(summary)
+
+
+@query("m3_twins", f"""
+SELECT unnest(['json', 'txt']) AS kind, count(*) + 1 AS n, sum(n) AS n_tasks FROM (
+  SELECT {STAGE} AS stage, count(*) AS n FROM fx_results GROUP BY ALL)
+""", "fx_results")
+def m3_twins(t: Inputs) -> DataFrame:
+    """The summary is written as JSON and as text; both are read back and hold every stage and the total."""
+    root = f"{shared_dir(t.spark)}/stored-{uuid.uuid4().hex}"
+    M.write_summary(M.workflow_summary(t.fx("fx_results").select(F.expr(STAGE).alias("stage"), "status", "duration")), root, "all")
+    stages = t.spark.read.schema("stage STRING, n BIGINT").json(f"{root}/json/all").select(F.lit("json").alias("kind"), "stage", "n")
+    lines = t.spark.read.text(f"{root}/txt/all").select(
+        F.lit("txt").alias("kind"), F.substring_index("value", ":", 1).alias("stage"),
+        F.regexp_extract("value", " of ([0-9]+) ok", 1).cast("bigint").alias("n"))
+    return stages.unionByName(lines).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("stage") != "total", F.col("n"))).alias("n_tasks"))

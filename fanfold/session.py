@@ -41,7 +41,8 @@ def build_session(app: str = "fanfold", master: str | None = None, input_bytes:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) is a fresh temporary folder made.
+    Only on a single machine (a local master, as in tests) may it be absent; a fresh temporary
+    folder is made then. A name without a scheme belongs to the default file system.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -51,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fanfold-"))
         current = context.getCheckpointDir()
     return os.path.dirname(current.rstrip("/"))

@@ -85,6 +85,8 @@ def write_outputs(spark: SparkSession, tables: Mapping[str, object], root: str,
     saved. An existing directory is never written over.
     """
     target, report = output_dir(root, stamp, meta_id), []
+    if not list_artifacts(spark, target).isEmpty():
+        raise FileExistsError(f"already written: {target}")
     for name, entry in tables.items():
         df, fmt = entry if isinstance(entry, tuple) else (entry, default_format)
         saved = isinstance(df, DataFrame) and fmt in FORMATS

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fanfold.functions import paths as P
 from fanfold.functions import rules as Q
 from fanfold.functions import scalars as S
+from fanfold.operators.catalog import expand_patterns
 
 
 def values(spark, texts, make, kind="STRING"):
@@ -41,24 +42,32 @@ def test_glob_regex_property(pattern, name):
     assert bool(re.match(P.glob_regex(pattern).replace(r"\z", r"\Z"), name)) == expected
 
 
-def test_normalize_and_literal_parts():
-    assert P.normalize_patterns("foo/") == ["foo/*", "foo"]
-    assert P.normalize_patterns("foo") == ["foo", "foo/*"]
-    assert P.normalize_patterns("fo*") == ["fo*"]
-    assert [P.literal_dir(p) for p in ("202605/*", "test/reff", "*", "te*", "a/b[c]/d")] == ["202605", "test/reff", "", "", "a"]
+def test_names_and_folders_mean_what_lies_below_too(spark):
+    given = ["wave7", "wave7/", "wave7/west//", "w*ve", "w?ve/", "[w]ave7"]
+    assert values(spark, given, P.meanings) == [
+        ["wave7", "wave7/*"], ["wave7", "wave7/*"], ["wave7/west", "wave7/west/*"], ["w*ve"], ["w?ve", "w?ve/*"], ["[w]ave7"]]
+    assert expand_patterns(spark, ["b/", "a*"]) == ["a*", "b", "b/*"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab-[]!?*/.^", max_size=8), st.text("ab-[]!?*/.^", max_size=8))
+def test_matches_begin_with_the_literal_part(pattern, name):
+    if fnmatch.fnmatchcase(name, pattern):
+        assert name.startswith(P.literal_part(pattern))
 
 
 def test_scan_starts_cover_unrelated_patterns(spark):
-    """Two patterns without a common start both keep their directory."""
+    """Two patterns without a common start both keep what stands before their wildcard."""
     got = values(spark, ["p/a/x", "p/bc/x", "p/b/x", "q/a/x"], lambda c: P.glob_starts(c, ["a/*", "bc/*"], "p/"))
     assert got == [True, True, False, False]
+    assert values(spark, ["p/year9/x", "p/year8/x"], lambda c: P.glob_starts(c, ["year9*/*"], "p/")) == [True, False]
 
 
 # --- paths -------------------------------------------------------------------------------------
 
 
 def test_run_head_takes_the_first_run_after_the_leading_component(spark):
-    run, other = "20260218-143052-a1b2c3d4", "20260219-143052-a1b2c3d4"
+    run, other = "20310704-081530-0f1e2d3c", "20310705-081530-0f1e2d3c"
     texts = [f"e/{run}/f", f"a/b/{run}/{other}/f", f"{run}/f", f"{run}/x/{other}", f"e/{run}x/f", f"e/x{run}/f", f"/{run}/f", "e/f"]
     assert values(spark, texts, lambda c: P.run_head(c)) == [
         f"e/{run}", f"a/b/{run}", "", f"{run}/x/{other}", "", "", f"/{run}", ""]
@@ -67,8 +76,8 @@ def test_run_head_takes_the_first_run_after_the_leading_component(spark):
 
 
 def test_run_time_and_rule_on_impossible_dates(spark):
-    ids = ["20260218-143052-a1b2c3d4", "20260230-143052-a1b2c3d4", "20260218-143052-A1B2C3D4", "free"]
-    assert values(spark, ids, lambda c: P.run_ts(c).cast("string")) == ["2026-02-18 14:30:52", None, None, None]
+    ids = ["20310704-081530-0f1e2d3c", "20310231-081530-0f1e2d3c", "20310704-081530-0F1E2D3C", "free"]
+    assert values(spark, ids, lambda c: P.run_ts(c).cast("string")) == ["2031-07-04 08:15:30", None, None, None]
     assert values(spark, ids, lambda c: Q.check_run_id(c)["valid"]) == [True, True, True, True]
 
 
@@ -87,10 +96,10 @@ def test_names(spark):
 
 
 def test_times_keep_their_wall_clock_and_fall_back(spark):
-    texts = ["2025-11-07T10:30:00Z", "2025-11-07T10:30:00.123456+02:00", "2025-11-07", "2025-99-07T10:30:00Z!", "2025", None]
-    assert values(spark, texts, S.fmt_full) == ["2025-11-07 10:30:00", "2025-11-07 10:30:00", "2025-11-07 00:00:00",
-                                                "2025-99-07T10:30:00", "2025", None]
-    assert values(spark, texts[:4], S.fmt_time) == ["10:30:00", "10:30:00", "00:00:00", "10:30:00"]
+    texts = ["2031-03-09T16:45:20Z", "2031-03-09T16:45:20.654321+02:00", "2031-03-09", "2031-77-09T16:45:20Z!", "2031", None]
+    assert values(spark, texts, S.fmt_full) == ["2031-03-09 16:45:20", "2031-03-09 16:45:20", "2031-03-09 00:00:00",
+                                                "2031-77-09T16:45:20", "2031", None]
+    assert values(spark, texts[:4], S.fmt_time) == ["16:45:20", "16:45:20", "00:00:00", "16:45:20"]
 
 
 def test_local_time_follows_summer_time(spark):
@@ -99,9 +108,9 @@ def test_local_time_follows_summer_time(spark):
 
 
 def test_duration_text(spark):
-    seconds = [0, 45, 60, 61, 3600, 9000, 86400, 97200, -5, None]
+    seconds = [0, 17, 120, 134, 7200, 15000, 172800, 190800, -3, None]
     assert values(spark, seconds, S.duration_text, "BIGINT") == [
-        "0s", "45s", "1m", "1m 1s", "1h", "2h 30m", "1d", "1d 3h", "0s", "unknown"]
+        "0s", "17s", "2m", "2m 14s", "2h", "4h 10m", "2d", "2d 5h", "0s", "unknown"]
 
 
 def test_since_argument():
@@ -132,7 +141,7 @@ def test_rules(spark):
     assert values(spark, ["a/b-c_1", " a ", "", "\t", "a/../b", "a\\b", "a b", "x" * 201, None], reason(Q.check_exp_id)) == [
         None, None, "empty", "empty", "path traversal", "path traversal", "invalid characters", "too long", "empty"]
     runs = ["20191107-143052-a1b2c3d4", "20251307-143052-a1b2c3d4", "20251132-143052-a1b2c3d4", "20251107-243052-a1b2c3d4",
-            "20251107-146052-a1b2c3d4", "20251107-143060-a1b2c3d4", "2025-11-07", "a.b"]
+            "20251107-146052-a1b2c3d4", "20251107-143060-a1b2c3d4", "2031-03-09", "a.b"]
     assert values(spark, runs, reason(Q.check_run_id)) == ["year", "month", "day", "hour", "minute", "second", None, "format"]
     assert values(spark, ["n2-standard-4", "N2-standard", "n2"], reason(Q.check_machine)) == [None, "format", "format"]
 

@@ -170,6 +170,15 @@ def test_one_failing_task_does_not_stop_the_others(spark, rows):
     assert (3, "ok", None, None, 3.0, "a") in got
 
 
+def test_tasks_are_spread_whatever_their_files(spark):
+    def model(workload):
+        return pd.DataFrame({"x": [1.0]})
+
+    tasks = spark.range(1500).coalesce(1).withColumnRenamed("id", "task_index")
+    ran = T.run_tasks(tasks, model, "x DOUBLE").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(ran) == T.MAX_PARALLELISM and max(r["count"] for r in ran) < 60
+
+
 def test_mixed_and_unknown_types(spark, rows):
     df = spark.createDataFrame([(1, "SimulationOutput"), (1, "CalibrationOutput"), (2, "CalibrationOutput"), (3, "Other")],
                                "run_key INT, type_name STRING")
@@ -190,13 +199,12 @@ def test_lhs_uses_every_stratum_once_and_is_repeatable(spark):
 # --- results -----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 100, 0])
-def test_quantiles_equal_numpy_for_small_and_hot_groups(spark, hot_rows):
+def test_quantiles_equal_numpy_for_small_and_hot_groups(spark):
     rng = np.random.default_rng(4)
     data = [("hot", float(v)) for v in np.round(rng.normal(size=900), 1)] + [("small", float(v)) for v in rng.normal(size=37)] + [("one", 2.5)]
     df = spark.createDataFrame(data + [("hot", None), ("none", None)], "g STRING, value DOUBLE")
     levels = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
-    got = {(r.g, r.level): r.value for r in R.quantiles(df, ["g"], levels, hot_rows=hot_rows).collect()}
+    got = {(r.g, r.level): r.value for r in R.quantiles(df, ["g"], levels).collect()}
     for group in ("hot", "small", "one"):
         expected = np.quantile([v for g, v in data if g == group], levels)
         assert [got[group, x] for x in levels] == pytest.approx(list(expected))

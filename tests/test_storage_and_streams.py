@@ -49,8 +49,10 @@ def test_outputs_are_zipped_counted_and_never_replaced(spark, tmp_path):
     assert {tuple(r) for r in report.collect()} == {("t", "csv.gz", True), ("p", "parquet", True), ("fig", None, False)}
     parts = list((tmp_path / "outputs" / "20240101-000000_m" / "t.csv.gz").glob("*.csv.gz"))
     assert gzip.decompress(parts[0].read_bytes()).startswith(b"k,v")
+    with pytest.raises(FileExistsError):
+        files.write_outputs(spark, {"other": table}, str(tmp_path), "20240101-000000", "m")
     with pytest.raises(AnalysisException):
-        files.write_outputs(spark, {"t": table}, str(tmp_path), "20240101-000000", "m")
+        files.write_table(table, str(tmp_path / "outputs" / "20240101-000000_m" / "t.csv.gz"), "csv.gz")
     with pytest.raises(ValueError):
         files.output_dir("x", "today")
 
@@ -80,7 +82,7 @@ def test_fresh_logs_open_only_recent_days(spark, tmp_path):
 def test_telemetry_skips_bad_files_and_names_its_stage(spark, tmp_path):
     folder = tmp_path / "summaries" / "json"
     folder.mkdir(parents=True)
-    for name, text in {"builder_summary.json": '{"duration": 2.0, "status": "ok"}', "runner_00000_summary.json": '{"duration": 4.0, "status": "ok"}',
+    for name, text in {"builder_summary.json": '{"duration": 2.0, "status": "ok"}', "runner_00000_summary.json": '{"duration": 4.0, "status": "success"}',
                        "runner_00001_summary.json": "{broken", "runner_00002_summary.json": '{"duration": 6.0, "status": "failed"}',
                        "other.json": "{}"}.items():
         (folder / name).write_text(text)
