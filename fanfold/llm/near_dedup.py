@@ -3,8 +3,9 @@
 1. Texts with the same set of shingles are one class; its first row stands for it. Copies need no signature of their own.
 2. A class's signature has 128 MinHash values of 16 bits; four make the key of a band. Classes that share a band are
    candidates: first each class of a bucket with the bucket's smallest (a star). After those links are known, buckets that
-   still hold several components are compared in blocks, across components, so no candidate is left out and no bucket has to
-   list the pairs of a group that is one component already.
+   still hold several components are compared in blocks, across components. That is done in steps, the likeliest
+   pairs first; each pair belongs to one step, and is left out only if its texts are in one component by then. So no link
+   between components is missed, and no bucket has to list the pairs of a group that is one component already.
 3. A candidate pair's signatures are compared in batches. After each, the pair is dropped when the posterior probability
    of a similarity of at least the threshold is below ``MISS``.
 4. The survivors' full sets decide: 100 * intersection >= percent * union.
@@ -40,6 +41,7 @@ WORDS = 5
 PERCENT = 75
 ROWS, BANDS = 4, 32
 BATCH = 32  # signature values compared at once
+STEPS = (2, -6)  # matches above those expected at the threshold, at which a step of the comparison across components ends
 MISS = 1e-6  # posterior probability of a link at which a pair is dropped
 PART_BYTES = 1 << 20
 BLOCK = 256  # classes of a bucket in a block
@@ -118,14 +120,14 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray, least: list[int], batch: int = BATCH) -> np.ndarray:
-    """Places of the pairs of rows of ``a`` and ``b`` (16-bit values) that no batch drops."""
+def survivors(a: np.ndarray, b: np.ndarray, least: list[int], batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of rows of ``a`` and ``b`` (16-bit values) that no batch drops, and their matches."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, m in enumerate(least):
         part = slice(i * batch, (i + 1) * batch)
         matches[alive] += (a[alive, part] == b[alive, part]).sum(1)
         alive = alive[matches[alive] >= m]
-    return alive
+    return alive, matches[alive]
 
 
 def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -141,7 +143,7 @@ def prune(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                alive = pa.array(survivors(_values(batch["sig_a"]), _values(batch["sig_b"]), least))
+                alive = pa.array(survivors(_values(batch["sig_a"]), _values(batch["sig_b"]), least)[0])
                 yield batch.select(["a", "b"]).take(alive)
 
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(
@@ -149,13 +151,10 @@ def prune(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataF
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def exact_links(pairs: DataFrame, keys: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. ``keys`` has node and set_key; ``docs`` doc_id and text."""
-    needed = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-                         .join(keys, "node"))
+def sets_of(nodes: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and shingles of ``nodes``, made again from the texts and written once. ``keys`` has node and set_key."""
+    needed = materialize(nodes.join(keys, "node"))
     bits = min(BITMAP, 1 << (16 * needed.count() + 1023).bit_length())
-    # At most one row for every bit, whatever the input's size.
-    bitmap = np.zeros(bits // 8, np.uint8)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 8, np.uint8)
@@ -166,10 +165,12 @@ def exact_links(pairs: DataFrame, keys: DataFrame, docs: DataFrame, percent: int
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some].astype(np.int32))], names=["at", "byte"])
 
+    # At most one row for every byte of the bitmap, whatever the input's size.
     found = needed.select("set_key").mapInArrow(marks, "at long, byte int").groupBy("at").agg(
         F.bit_or("byte").alias("byte")).toArrow()
+    bitmap = np.zeros(bits // 8, np.uint8)
     bitmap[found["at"].to_numpy()] = found["byte"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, seen = shared.value, set()
@@ -185,15 +186,19 @@ def exact_links(pairs: DataFrame, keys: DataFrame, docs: DataFrame, percent: int
                         found.append(shingles.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["set_key", "shingles"])
 
-    made = docs.select("text").mapInArrow(sets, "set_key binary, shingles binary").groupBy("set_key").agg(
+    made = texts.select("text").mapInArrow(sets, "set_key binary, shingles binary").groupBy("set_key").agg(
         F.first("shingles").alias("shingles"))
-    made = materialize(needed.join(made, "set_key").select("node", "shingles"))
+    return materialize(needed.join(made, "set_key").select("node", "shingles"))
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, written once."""
     # A pivot's members are dealt to groups of bounded size; the pivot's set goes to each.
     groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups"))
-    left = pairs.join(groups, "b").join(made.select(F.col("node").alias("a"), F.col("shingles").alias("member_set")), "a").select(
+    left = pairs.join(groups, "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("member_set")), "a").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("salt"), "member_set")
     right = groups.select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).join(
-        made.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot")
+        sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot")
 
     def compare(members: pa.Table, pivot: pa.Table) -> pa.Table:
         own = np.frombuffer(pivot["pivot_set"][0].as_py(), np.uint64) if pivot.num_rows else None
@@ -204,15 +209,19 @@ def exact_links(pairs: DataFrame, keys: DataFrame, docs: DataFrame, percent: int
             alike.append(100 * common >= percent * (len(own) + len(other) - common))
         return members.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return left.groupBy("b", "salt").cogroup(right.groupBy("pivot", "part")).applyInArrow(compare, "a long, b long")
+    return materialize(left.groupBy("b", "salt").cogroup(right.groupBy("pivot", "part")).applyInArrow(compare, "a long, b long"))
 
 
-def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of different components in buckets that hold several, which verification does not drop.
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, least: list[int], low: int, high: int) -> DataFrame:
+    """Pairs of different components in buckets that hold several, which verification does not drop, with at least ``low``
+    and less than ``high`` matches.
 
     ``members``: band, key, node; ``known``: node, component of the nodes that have links.
     """
-    least = least_matches(percent / 100, miss)
     labelled = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_buckets = labelled.groupBy("band", "key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
@@ -240,7 +249,8 @@ def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, percen
             # The first band a pair shares is the one that compares it.
             js = js[~(keys[js, :band] == keys[i, :band]).any(1)]
             if len(js):
-                js = js[survivors(np.broadcast_to(values[i], (len(js), values.shape[1])), values[js], least)]
+                alive, matches = survivors(np.broadcast_to(values[i], (len(js), values.shape[1])), values[js], least)
+                js = js[alive[(matches >= low) & (matches < high)]]
                 out_a += np.maximum(nodes[js], nodes[i]).tolist()
                 out_b += np.minimum(nodes[js], nodes[i]).tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -263,12 +273,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     members = materialize(bands.join(buckets, ["band", "key"]))
     keys = classes.select("node", "set_key")
     stars = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = materialize(exact_links(materialize(prune(stars, sigs, percent, miss)), keys, texts, percent))
-    known = materialize(components(first))
-    rest = materialize(leftover_pairs(members.select("band", "key", "node"), sigs, known, percent, miss).join(
-        first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        known = materialize(components(first.unionByName(exact_links(rest, keys, texts, percent))))
+    pairs = materialize(prune(stars, sigs, percent, miss))
+    sets = sets_of(both_ends(pairs), keys, texts)
+    links = exact_links(pairs, sets, percent)
+    known = materialize(components(links))
+    members = members.select("band", "key", "node")
+    least, total = least_matches(percent / 100, miss), ROWS * BANDS
+    lows = [min(total, max(least[-1], total * percent // 100 + step)) for step in STEPS] + [least[-1]]
+    for high, low in zip([total + 1, *lows], lows):
+        rest = materialize(leftover_pairs(members, sigs, known, least, low, high).join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            new = materialize(both_ends(rest).join(sets, "node", "left_anti"))
+            if not new.isEmpty():
+                sets = sets.unionByName(sets_of(new, keys, texts))
+            links = links.unionByName(exact_links(rest, sets, percent))
+            known = materialize(components(links))
     labelled = classes.select("set_key", "node", "first").join(known, "node", "left").select(
         "set_key", "first", F.coalesce("component", "node").alias("component"))
     firsts = labelled.groupBy("component").agg(F.min("first").alias("first"))

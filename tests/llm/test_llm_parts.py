@@ -131,7 +131,8 @@ def test_survivors_drop_only_below_the_bound():
     b = a.copy()
     b[1, :] = 1
     b[2, ::4] = 1  # three quarters match
-    assert near_dedup.survivors(a, b, least).tolist() == [0, 2]
+    alive, matches = near_dedup.survivors(a, b, least)
+    assert alive.tolist() == [0, 2] and matches.tolist() == [128, 96]
 
 
 def test_components_of_paths_stars_and_cycles(spark):
