@@ -33,13 +33,13 @@ from fanfold.llm.token_counts import MARK, read_vocabulary
 from fanfold.session import materialize
 
 FREQUENT = 150_000  # words that are broadcast, at most
-ROUNDS = 4  # of expectation maximisation
+ROUNDS = 2  # of expectation maximisation
 CLASSES = 8  # at most; the rarer ones share the last
 DISCOUNT = 0.6  # of the count of a word with an arc of its own, for words that have none
 ESCAPE = 0.5  # words without an arc that every class is given
 SMOOTHING = 0.1  # expected uses that every piece is given
 COUNTED = 300_000  # distinct words a task counts before it hands them on
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 BLOCK_CELLS = 600_000  # letters times classes worked on at once
 END = ""  # the end token, which no word equals
 
@@ -122,9 +122,11 @@ class Lattice:
         """Weights of the arcs of length ``k`` that end at these characters."""
         if k > 1:
             return None if arcs[k - 1] is None else weights[arcs[k - 1][at]]
-        cost = weights[arcs[0][at]] if arcs[0] is not None else np.full((len(at), weights.shape[1]), -np.inf)
+        cost = weights[arcs[0][at]] if arcs[0] is not None else np.full((len(at), weights.shape[1]), -np.inf, weights.dtype)
         bytes_here = spelled[at]
-        return np.where(bytes_here[:, None] > 0, bytes_here[:, None] * weights[self.n], cost)
+        if bytes_here.any():
+            cost = np.where(bytes_here[:, None] > 0, bytes_here[:, None].astype(weights.dtype) * weights[self.n], cost)
+        return cost
 
     def sums(self, words: list[str], weights: np.ndarray, counts: np.ndarray | None = None):
         """Log probability of every word in every class; with ``counts``, for one class, the expected uses instead."""
@@ -144,7 +146,7 @@ class Lattice:
 
     def _block(self, words: list[str], weights: np.ndarray, counts: np.ndarray | None, uses: np.ndarray) -> np.ndarray:
         begins, lengths, spelled, arcs = self._arcs(words)
-        ends, none = begins + lengths - 1, np.full((len(spelled), weights.shape[1]), -np.inf)
+        ends, none = begins + lengths - 1, np.full((len(spelled), weights.shape[1]), -np.inf, weights.dtype)
         forward = none.copy()  # up to and with a character
         for place in range(int(lengths[-1])):  # words are ascending in length
             live = begins[np.searchsorted(lengths, place, "right"):] + place
@@ -188,7 +190,7 @@ def log_sum(ways: list[np.ndarray]) -> np.ndarray:
     top = ways[0]
     for way in ways[1:]:
         top = np.maximum(top, way)
-    safe = np.where(np.isfinite(top), top, 0.0)
+    safe = np.where(np.isfinite(top), top, top.dtype.type(0))
     total = np.zeros_like(safe)
     for way in ways:
         total += np.exp(way - safe)
@@ -196,15 +198,16 @@ def log_sum(ways: list[np.ndarray]) -> np.ndarray:
         return safe + np.log(total)
 
 
-def classes_of(docs: DataFrame, class_col: str | None, most: int = CLASSES) -> Column:
-    """The number of a text's class, from 0: classes by size, the rarest together."""
+def classes_of(docs: DataFrame, class_col: str | None, most: int = CLASSES) -> tuple[Column, int]:
+    """The number of a text's class, from 0, and how many there are: classes by size, the rarest together."""
     if class_col is None:
-        return F.lit(0)
-    found = docs.groupBy(F.col(class_col).cast("string").alias("c")).count().orderBy(F.desc("count"), "c").limit(most - 1).collect()
-    number = F.lit(len(found))
-    for i, r in enumerate(found):
+        return F.lit(0), 1
+    found = docs.groupBy(F.col(class_col).cast("string").alias("c")).count().orderBy(F.desc("count"), "c").limit(most + 1).collect()
+    own = found if len(found) <= most else found[:most - 1]
+    number = F.lit(min(len(own), most - 1))
+    for i, r in enumerate(own):
         number = F.when(F.col(class_col).cast("string").eqNullSafe(F.lit(r.c)), i).otherwise(number)
-    return number
+    return number, max(1, min(len(found), most))
 
 
 def word_counts(docs: DataFrame, number: Column, classes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +245,7 @@ class Model:
 
     def __init__(self, lattice: Lattice, uses: np.ndarray, arcs: dict[bytes, np.ndarray], total: np.ndarray, ends: np.ndarray):
         """``total``: training tokens by class, ``ends`` of them ends; ``arcs``: counts of frequent words by class."""
-        self.lattice, self.pieces = lattice, lattice.weights(uses)
+        self.lattice, self.pieces = lattice, lattice.weights(uses).astype(np.float32)  # sums of few terms
         self.ends = np.log((ends + 0.5) / (total + 1))
         self.classes = np.log((ends + 0.5) / (ends + 0.5).sum())
         words = total - ends
@@ -251,15 +254,38 @@ class Model:
         rare = words - own + ESCAPE
         self.inside = np.log1p(-np.exp(self.ends))  # a token that is no end
         self.rare = np.log(rare / (own + rare))
-        self.arcs = {w: c / (own + rare) for w, c in arcs.items()}
+        self.arcs = {w: i for i, w in enumerate(arcs)}
+        with np.errstate(divide="ignore"):
+            self.arc_logs = np.log(np.array([*(c / (own + rare) for c in arcs.values()), np.zeros_like(total)]))
+        self._place: dict[bytes, int] = {}
+        self._table = np.zeros((0, len(total)))
 
     def word_logs(self, words: list[bytes]) -> np.ndarray:
         """Log probability of every word by class: its own arc, if it has one, and all segmentations."""
         logs = self.lattice.sums([w.decode().replace(MARK, " ") for w in words], self.pieces) + self.rare
-        none = np.zeros_like(self.rare)
-        with np.errstate(divide="ignore"):
-            logs = np.logaddexp(logs, np.log(np.array([self.arcs.get(w, none) for w in words])))
-        return logs + self.inside
+        return np.logaddexp(logs, self.arc_logs[[self.arcs.get(w, -1) for w in words]]) + self.inside
+
+    def text_logs(self, split: list[list[bytes]]) -> np.ndarray:
+        """Log probability of each text's words, summed over classes. Words' logs are kept while the Python worker lives:
+        those with arcs always, others until there are many."""
+        arcs = len(self.arcs)
+        if len(self._table) < arcs + CACHED_WORDS:
+            self._place, self._table = dict(self.arcs), np.zeros((arcs + CACHED_WORDS, len(self.rare)))
+            if arcs:
+                self._table[:arcs] = self.word_logs(list(self.arcs))
+        new = set().union(*split).difference(self._place)
+        if len(self._place) + len(new) > len(self._table):
+            self._place = dict(self.arcs)
+            new = set().union(*split).difference(self._place)
+            if arcs + len(new) > len(self._table):
+                self._table = np.concatenate((self._table[:arcs], np.zeros((len(new), len(self.rare)))))
+        place = self._place
+        if new:
+            words, at = list(new), len(place)
+            self._table[at:at + len(words)] = self.word_logs(words)
+            place.update(zip(words, range(at, at + len(words))))
+        sums = np.array([self._table[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(0) for w in split])
+        return np.logaddexp.reduce(sums + self.ends + self.classes, axis=1)
 
 
 def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tuple[int, ...]], least: int,
@@ -274,7 +300,7 @@ def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tu
     rare = counts.where(F.col("word") != END).select("word", *[
         F.when(F.col("n") < least, F.col(n)).otherwise(F.least(F.col(n), F.lit(DISCOUNT))).cast("double").alias(n) for n in names])
     for _ in range(rounds if total.sum() else 0):
-        shared = counts.sparkSession.sparkContext.broadcast((lattice, lattice.weights(uses)))
+        shared = counts.sparkSession.sparkContext.broadcast((lattice, lattice.weights(uses).astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, now = shared.value
@@ -320,7 +346,7 @@ def score(docs: DataFrame, training: Column, vocabulary: str, class_col: str | N
     ``training`` tells the documents to learn from; ``base_score`` is a smoothed unigram over words, in log10.
     """
     learned = docs.where(training)
-    number, classes = classes_of(learned, class_col), CLASSES if class_col else 1
+    number, classes = classes_of(learned, class_col)
     counts = word_counts(learned, number, classes, id_col, text_col)
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     end = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -332,24 +358,12 @@ def score(docs: DataFrame, training: Column, vocabulary: str, class_col: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = shared.value
-        place: dict[bytes, int] = {}
-        table = np.zeros((CACHED_WORDS, len(own.rare)))
         for batch in batches:
             texts = as_bytes(batch["text"])
             for begin in range(0, len(texts), 200):
                 split = [tokens(t) for t in texts[begin:begin + 200]]
-                new = list(set().union(*split).difference(place))
-                if len(place) + len(new) > len(table):
-                    place.clear()
-                    new = list(set().union(*split))
-                    if len(new) > len(table):
-                        table = np.zeros((len(new), len(own.rare)))
-                if new:
-                    table[len(place):len(place) + len(new)] = own.word_logs(new)
-                    place.update(zip(new, range(len(place), len(place) + len(new))))
                 rest = [Counter(filterfalse(base.__contains__, words)) for words in split]
-                sums = np.array([table[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(0) for w in split])
-                found = np.logaddexp.reduce(sums + own.ends + own.classes, axis=1) / math.log(10)
+                found = own.text_logs(split) / math.log(10)
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rest])))
                 pairs = pa.StructArray.from_arrays(
                     [pa.array([w for r in rest for w in r], pa.binary()).cast(pa.string()),
