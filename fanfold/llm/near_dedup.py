@@ -44,6 +44,7 @@ BATCH = 32  # signature values compared at once
 STEPS = (2, -6)  # matches above those expected at the threshold, at which a step of the comparison across components ends
 MISS = 1e-6  # posterior probability of a link at which a pair is dropped
 PART_BYTES = 1 << 20
+BATCH_ROWS = 500  # documents whose sets a task holds at once
 BLOCK = 256  # classes of a bucket in a block
 MEMBERS = 200  # sets compared with a pivot in one group
 BITMAP = 1 << 26  # bits, at most: 8 MB
@@ -84,11 +85,18 @@ def bit_of(key: bytes, bits: int) -> int:
     return int.from_bytes(key[:8], "little") % bits
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: sets take more room than their texts."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document: doc_id, text_key, n_shingles, set_key and sig (NULL without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sizes, keys, sigs = [], [], []
             for shingles in shingle_sets(as_bytes(batch["text"])):
                 sizes.append(len(shingles))
@@ -174,7 +182,7 @@ def sets_of(nodes: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, seen = shared.value, set()
-        for batch in batches:
+        for batch in small_batches(batches):
             keys, found = [], []
             for shingles in shingle_sets(as_bytes(batch["text"])):
                 if len(shingles):
