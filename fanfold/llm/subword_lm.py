@@ -4,13 +4,15 @@ A text is its words, each with the word mark before it, and an end. A word is a
 which hold the mark only at their beginning; its probability is the sum over all its segmentations, by a forward
 recursion in log space over the lattice of pieces. The vocabulary's own scores (ranks) are the first weights, and a few
 rounds of expectation maximisation over the distinct words of the training texts, weighted by their counts, adapt them.
-Characters that no piece covers are spelled in bytes. Frequent training words are arcs of the lattice as a whole as well.
+Characters that no piece covers are spelled in bytes. Every training word is an arc of the lattice as a whole as well.
 
 Weights are kept per class of training texts (their language); a text's probability sums over classes too, so no class is
 needed to score it. All this is one proper distribution over texts as sequences of words.
 
-Word counts are added up in every task, then by word. The most frequent words (at most ``FREQUENT``) are broadcast; the
-baseline's counts of the others are joined. Piece weights have the vocabulary's size times the number of classes.
+Word counts are added up in every task, then by word. ``FREQUENT`` decides only how a word's counts reach the texts: the
+most frequent words are broadcast, and what its own arc adds to any other word is joined, by class, to the texts that hold
+it. Scores do not depend on it. Piece weights have the vocabulary's size times the number of classes; classes only say
+which texts share weights, so classes beyond ``CLASSES`` lose no text and no count: they are counted and scored as one.
 
 Defined cases: NULL text is empty, and an empty text is its end alone. A NULL class is a class. Rows that repeat are
 scored each. Without training texts N and V are 0 and every piece keeps its first weight. Other columns are not read.
@@ -32,10 +34,10 @@ from fanfold.llm.common import as_bytes
 from fanfold.llm.token_counts import MARK, read_vocabulary
 from fanfold.session import materialize
 
-FREQUENT = 150_000  # words that are broadcast, at most
+FREQUENT = 150_000  # words that are broadcast, at most; the others are joined
 ROUNDS = 2  # of expectation maximisation
 CLASSES = 8  # at most; the rarer ones share the last
-DISCOUNT = 0.6  # of the count of a word with an arc of its own, for words that have none
+DISCOUNT = 0.6  # of the count of a training word by class, for its segmentations and words that have no arc
 ESCAPE = 0.5  # words without an arc that every class is given
 SMOOTHING = 0.1  # expected uses that every piece is given
 COUNTED = 300_000  # distinct words a task counts before it hands them on
@@ -243,17 +245,19 @@ def word_counts(docs: DataFrame, number: Column, classes: int, id_col: str = "do
 class Model:
     """Lattice, piece weights by class, arcs of frequent words, and the shares of ends, words with arcs, and classes."""
 
-    def __init__(self, lattice: Lattice, uses: np.ndarray, arcs: dict[bytes, np.ndarray], total: np.ndarray, ends: np.ndarray):
-        """``total``: training tokens by class, ``ends`` of them ends; ``arcs``: counts of frequent words by class."""
+    def __init__(self, lattice: Lattice, uses: np.ndarray, arcs: dict[bytes, np.ndarray], own: np.ndarray, total: np.ndarray,
+                 ends: np.ndarray):
+        """``total``: training tokens by class, ``ends`` of them ends; ``arcs``: counts of frequent words by class; ``own``:
+        discounted counts of all training words, frequent or not."""
         self.lattice, self.pieces = lattice, lattice.weights(uses).astype(np.float32)  # sums of few terms
         self.ends = np.log((ends + 0.5) / (total + 1))
         self.classes = np.log((ends + 0.5) / (ends + 0.5).sum())
         words = total - ends
         arcs = {w: np.maximum(c - DISCOUNT, 0) for w, c in arcs.items()}
-        own = np.sum(list(arcs.values()), 0) if arcs else np.zeros_like(total)
         rare = words - own + ESCAPE
         self.inside = np.log1p(-np.exp(self.ends))  # a token that is no end
         self.rare = np.log(rare / (own + rare))
+        self.mass = np.log(own + rare)
         self.arcs = {w: i for i, w in enumerate(arcs)}
         with np.errstate(divide="ignore"):
             self.arc_logs = np.log(np.array([*(c / (own + rare) for c in arcs.values()), np.zeros_like(total)]))
@@ -265,9 +269,19 @@ class Model:
         logs = self.lattice.sums([w.decode().replace(MARK, " ") for w in words], self.pieces) + self.rare
         return np.logaddexp(logs, self.arc_logs[[self.arcs.get(w, -1) for w in words]]) + self.inside
 
+    def gains(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """What its own arc adds to the log of every word by class; ``counts``: of words that ``arcs`` does not hold."""
+        out = np.zeros(counts.shape)
+        for k in range(counts.shape[1]):
+            some = np.flatnonzero(counts[:, k] > DISCOUNT)
+            if len(some):
+                plain = self.lattice.sums([words[i].replace(MARK, " ") for i in some], self.pieces[:, [k]])[:, 0] + self.rare[k]
+                out[some, k] = np.logaddexp(plain, np.log(counts[some, k] - DISCOUNT) - self.mass[k]) - plain
+        return out
+
     def text_logs(self, split: list[list[bytes]]) -> np.ndarray:
-        """Log probability of each text's words, summed over classes. Words' logs are kept while the Python worker lives:
-        those with arcs always, others until there are many."""
+        """Log probability of each text's words and class, by class, without the gains of words that ``arcs`` does not hold.
+        Words' logs are kept while the Python worker lives: those with arcs always, others until there are many."""
         arcs = len(self.arcs)
         if len(self._table) < arcs + CACHED_WORDS:
             self._place, self._table = dict(self.arcs), np.zeros((arcs + CACHED_WORDS, len(self.rare)))
@@ -285,20 +299,20 @@ class Model:
             self._table[at:at + len(words)] = self.word_logs(words)
             place.update(zip(words, range(at, at + len(words))))
         sums = np.array([self._table[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(0) for w in split])
-        return np.logaddexp.reduce(sums + self.ends + self.classes, axis=1)
+        return sums + self.ends + self.classes
 
 
-def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tuple[int, ...]], least: int,
-        rounds: int = ROUNDS) -> Model:
-    """Adapts the piece weights to the words that have no arc of their own, and to what the others are discounted."""
+def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tuple[int, ...]], rounds: int = ROUNDS) -> Model:
+    """Adapts the piece weights to what the training words are discounted."""
     scores = read_vocabulary(vocabulary)
     lattice = Lattice(list(scores))
     uses = np.repeat(lattice.first_uses(list(scores.values()))[:, None], classes, 1)
     names = [f"n{i}" for i in range(classes)]
     total = np.array([float(x or 0) for x in counts.agg(*[F.sum(n) for n in names]).first()])
     ends = np.array([float(x or 0) for x in counts.where(F.col("word") == END).agg(*[F.sum(n) for n in names]).first()])
-    rare = counts.where(F.col("word") != END).select("word", *[
-        F.when(F.col("n") < least, F.col(n)).otherwise(F.least(F.col(n), F.lit(DISCOUNT))).cast("double").alias(n) for n in names])
+    words = counts.where(F.col("word") != END)
+    own = np.array([float(x or 0) for x in words.agg(*[F.sum(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))) for n in names]).first()])
+    rest = words.select("word", *[F.least(F.col(n).cast("double"), F.lit(DISCOUNT)).alias(n) for n in names])
     for _ in range(rounds if total.sum() else 0):
         shared = counts.sparkSession.sparkContext.broadcast((lattice, lattice.weights(uses).astype(np.float32)))
 
@@ -316,7 +330,7 @@ def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tu
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(k.astype(np.int32)),
                                               pa.array(sums[piece, k])], names=["piece", "class", "uses"])
 
-        found = rare.mapInArrow(run, "piece int, class int, uses double").groupBy("piece", "class").agg(
+        found = rest.mapInArrow(run, "piece int, class int, uses double").groupBy("piece", "class").agg(
             F.sum("uses").alias("uses")).toArrow()
         # Classes lend each other little: pieces that a class does not use keep a share of their use elsewhere.
         new = np.zeros((lattice.n + 1, classes))
@@ -324,7 +338,7 @@ def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tu
         uses = new + SMOOTHING * (new.sum(1, keepdims=True) > 0) + SMOOTHING / 10
         shared.unpersist()
     arcs = {w.encode(): np.array(c, float) for w, c in frequent.items() if w != END}
-    return Model(lattice, uses, arcs, total, ends)
+    return Model(lattice, uses, arcs, own, total, ends)
 
 
 def frequent_words(counts: DataFrame, classes: int, most: int = FREQUENT) -> tuple[dict[str, tuple[int, ...]], int]:
@@ -351,11 +365,13 @@ def score(docs: DataFrame, training: Column, vocabulary: str, class_col: str | N
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     end = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent, least = frequent_words(counts, classes)
-    model = fit(counts, classes, vocabulary, frequent, least)
+    model = fit(counts, classes, vocabulary, frequent)
     total = n + 0.5 * (v + 1)
     shared = docs.sparkSession.sparkContext.broadcast(
         (model, {w.encode(): math.log10((sum(c) + 0.5) / total) for w, c in frequent.items()}))
 
+    logs, gains = [f"log{i}" for i in range(classes)], [f"gain{i}" for i in range(classes)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = shared.value
         for batch in batches:
@@ -363,7 +379,7 @@ def score(docs: DataFrame, training: Column, vocabulary: str, class_col: str | N
             for begin in range(0, len(texts), 200):
                 split = [tokens(t) for t in texts[begin:begin + 200]]
                 rest = [Counter(filterfalse(base.__contains__, words)) for words in split]
-                found = own.text_logs(split) / math.log(10)
+                found = own.text_logs(split)
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rest])))
                 pairs = pa.StructArray.from_arrays(
                     [pa.array([w for r in rest for w in r], pa.binary()).cast(pa.string()),
@@ -372,22 +388,35 @@ def score(docs: DataFrame, training: Column, vocabulary: str, class_col: str | N
                 yield pa.RecordBatch.from_arrays([
                     part["doc_id"], part["held_out"], pa.array([len(w) + 1 for w in split], pa.int64()),
                     pa.array([len(w) - r.total() for w, r in zip(split, rest)], pa.int64()),
-                    pa.array([sum(map(base.get, w, repeat(0.0))) for w in split], pa.float64()), pa.array(found),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+                    pa.array([sum(map(base.get, w, repeat(0.0))) for w in split], pa.float64()), 
+                    *map(pa.array, found.T), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", *logs, "rest"])
+
+    def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value[0]
+        for batch in batches:
+            by_class = np.stack([batch[f"n{i}"].to_numpy() for i in range(classes)], 1)
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], *map(pa.array, own.gains(batch["word"].to_pylist(), by_class).T)],
+                                             names=["word", "n", *gains])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         (~F.coalesce(training, F.lit(False))).alias("held_out"))
     rows = materialize(texts.mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
+        run, f"doc_id long, held_out boolean, n_tokens long, known long, base double, {' double, '.join(logs)} double, "
              "rest array<struct<word:string,k:long>>").withColumn("row", F.monotonically_increasing_id()))
     # Words beyond the broadcast ones are rarer than its bound, so no word is hot here.
-    rare = rows.select("row", F.inline("rest")).join(counts.where(F.col("n") < least).select("word", "n"), "word", "left")
-    logs = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(total)))
+    beyond = counts.where((F.col("n") < least) & (F.col("word") != END)).mapInArrow(
+        gain, f"word string, n long, {' double, '.join(gains)} double")
+    rare = rows.select("row", F.inline("rest")).join(beyond, "word", "left")
+    base_logs = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(total)))
     added = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"),
-                                    F.sum(F.col("k") * logs).alias("more_base"))
-    return rows.join(added, "row", "left").select(
+                                    F.sum(F.col("k") * base_logs).alias("more_base"),
+                                    *[F.sum(F.col("k") * F.coalesce(g, F.lit(0.0))).alias(g) for g in gains])
+    joint = F.array(*[F.col(a) + F.coalesce(g, F.lit(0.0)) for a, g in zip(logs, gains)])
+    summed = F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("joint")))
+    return rows.join(added, "row", "left").withColumn("joint", joint).select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(end > 0)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + math.log10((end + 0.5) / total)).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + math.log10((end + 0.5) / total)).alias("base_score"),
+        ((F.array_max("joint") + F.log(summed)) / math.log(10)).alias("score"))
