@@ -110,6 +110,8 @@ _BARE = re.compile(rf"(?<![\w@.])[a-z0-9][a-z0-9._%+-]*(?P<at>[ \t]{{1,3}}at[ \t
                    rf"(?P<rest>(?:(?:[ \t]{{1,3}}dot[ \t]{{1,3}}|\.){_HOST}){{0,3}}?[ \t]{{1,3}}dot[ \t]{{1,3}}(?:{_TOP}))(?![\w@])", re.I)
 _WORD_DOT = re.compile(r"[ \t]{1,3}dot[ \t]{1,3}", re.I)
 _HINT = re.compile(r"[\[({<][ \t]{0,2}(?:at|dot|@|\.|arroba|ät|punkt|punto|point)[ \t]{0,2}[\])}>]|[ \t]dot[ \t]", re.I)
+# What the steps of normalise look for after homoglyphs; the hint holds for brackets and for bare words.
+_GATES = (_HINT, _NUMERALS, _PLUS)
 
 
 class Mapped:
@@ -163,7 +165,7 @@ def normalise(text: str) -> Mapped:
 
 def is_disguised(text: str) -> bool:
     """Whether rewriting could change anything."""
-    return bool((not text.isascii() and _HOMOGLYPH.search(text)) or _HINT.search(text) or _NUMERALS.search(text))
+    return bool((not text.isascii() and _HOMOGLYPH.search(text)) or any(gate.search(text) for gate in _GATES))
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
