@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanfold.llm import (decontamination, exact_dedup, language_id, near_dedup, packing, pii, subword_lm,
-                         substring_dedup, token_counts, toxicity)
+from fanfold.llm import (decontamination, exact_dedup, fill_in_middle, importance, language_id, license_scan, near_dedup,
+                         packing, pii, subword_lm, substring_dedup, token_counts, toxicity)
 from fanfold.llm.common import in_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.train(docs, labels.where(~held_out))
     return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score",
                                                 (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op11_license_scan", license_scan.ORACLE)
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.report(license_scan.scan(docs, license_scan.build_index(docs)))
+
+
+@query("op12_importance", importance.ORACLE)
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_fill_in_middle", fill_in_middle.ORACLE)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.infill(fill_in_middle.store(table(spark, sf_dir, "documents"))))
