@@ -78,7 +78,7 @@ def words_of(text: Column) -> Column:
     ``lower`` changes other letters too, which leaves the words' borders as they are; the one sign that it would turn
     into an ASCII letter, the Kelvin sign, is replaced first.
     """
-    folded = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")))
+    folded = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return F.array_remove(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
