@@ -17,7 +17,7 @@ from fanfold.plans.registry import Inputs, query
 from fanfold.plans.tasks import STAGE
 from fanfold.session import shared_dir
 from fanfold.sources import files, records
-from fanfold.streaming import follow, watch
+from fanfold.streaming import follow, landing, watch
 
 PAGE_ROWS = 100
 FILES_PER_BATCH = 1000  # only a matter of speed: results do not depend on it
@@ -222,7 +222,7 @@ def w4_arrivals(t: Inputs) -> DataFrame:
     arrived = stream(t, ["user_id AS run_key", "event_id % 8 AS task_index", "'ok' AS status"])
     watch.watch_arrivals(arrived, f"{root}/out", f"{root}/state", once=True).awaitTermination()
     runs = t.events.groupBy(F.col("user_id").alias("run_key")).agg(F.max(F.col("ts").cast("timestamp")).alias("deadline"))
-    results = t.spark.read.parquet(f"{root}/out").select("run_key", "task_index", "status")
+    results = landing.landed(t.spark, f"{root}/out").select("run_key", "task_index", "status")
     return watch.arrival_status(results, runs.withColumn("n_expected", F.lit(7)), "2030-01-01T00:00:00Z")
 
 

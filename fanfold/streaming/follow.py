@@ -20,7 +20,7 @@ def once_each(logs: DataFrame) -> DataFrame:
 
 def follow_logs(stream: DataFrame, path: str, checkpoint: str, once: bool = False, **terms) -> StreamingQuery:
     """Lands the entries that pass :func:`filter_logs`; read them with :func:`followed_logs`."""
-    return land(filter_logs(stream, **terms), path, checkpoint, once_each, once)
+    return land(filter_logs(stream, **terms), path, checkpoint, once_each, once, merge=once_each)
 
 
 def followed_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +41,7 @@ def added(sums: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
 def follow_metrics(stream: DataFrame, path: str, checkpoint: str, seconds: int = BUCKET_SECONDS,
                    series: Sequence[str] = SERIES, once: bool = False) -> StreamingQuery:
     """Lands each batch's share of every bucket it touches; read the means with :func:`followed_metrics`."""
-    return land(stream, path, checkpoint, lambda b: bucket_sums(b, seconds, series), once)
+    return land(stream, path, checkpoint, lambda b: bucket_sums(b, seconds, series), once, merge=lambda sums: added(sums, series))
 
 
 def followed_metrics(spark: SparkSession, path: str, series: Sequence[str] = SERIES) -> DataFrame:

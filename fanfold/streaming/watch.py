@@ -32,10 +32,14 @@ def latest_states(events: DataFrame) -> DataFrame:
                        F.col("s.state").isin(TERMINAL).alias("terminal"))
 
 
+def last_reports(events: DataFrame) -> DataFrame:
+    return latest_states(events).select("job_id", "state", "ts")
+
+
 def watch_status(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
                  every: str = "10 seconds") -> StreamingQuery:
     """Lands the last state of each job in each batch; read with :func:`read_status`."""
-    return land(stream, path, checkpoint, lambda b: latest_states(b).select("job_id", "state", "ts"), once, every)
+    return land(stream, path, checkpoint, last_reports, once, every, merge=last_reports)
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +49,8 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 def watch_arrivals(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
                    every: str = "10 seconds") -> StreamingQuery:
     """Lands the arrived results ``(run_key, task_index, status)`` of each batch."""
-    return land(stream, path, checkpoint, lambda b: b.select("run_key", "task_index", "status").distinct(), once, every)
+    distinct = lambda rows: rows.select("run_key", "task_index", "status").distinct()
+    return land(stream, path, checkpoint, distinct, once, every, merge=distinct)
 
 
 def arrival_status(results: DataFrame, runs: DataFrame, now: str) -> DataFrame:
@@ -71,7 +76,8 @@ def state_steps(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFr
 def watch_steps(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
                 every: str = "10 seconds") -> StreamingQuery:
     """Lands the distinct reports of each batch; :func:`read_steps` puts them in order."""
-    return land(stream, path, checkpoint, lambda b: b.select("job_id", "state", "ts").distinct(), once, every)
+    distinct = lambda rows: rows.select("job_id", "state", "ts").distinct()
+    return land(stream, path, checkpoint, distinct, once, every, merge=distinct)
 
 
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
