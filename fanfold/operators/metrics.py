@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fanfold.operators.ordering import previous_in_time
+from fanfold.operators.ordering import previous_row
 
 BUCKET_SECONDS = 60
 SERIES = ("metric", "instance_name")
@@ -25,9 +25,9 @@ def align_mean(df: DataFrame, seconds: int = BUCKET_SECONDS, series: Sequence[st
     return means.select(F.col("w.start").alias("window_start"), *series, "value")
 
 
-def counter_steps(df: DataFrame, seconds: int, series: Sequence[str] = SERIES) -> DataFrame:
+def counter_steps(df: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
     """Replaces the reading of a running counter by its growth; a fall means it began again at 0."""
-    steps = previous_in_time(df, series, "ts", ["value"], seconds, ties=["value"])
+    steps = previous_row(df, series, ["ts", "value"], ["value"])
     growth = (F.when(F.col("prev_value").isNull(), 0.0)
               .when(F.col("value") < F.col("prev_value"), F.col("value"))
               .otherwise(F.col("value") - F.col("prev_value")))
@@ -39,7 +39,7 @@ def align_rate(df: DataFrame, seconds: int = BUCKET_SECONDS, kind: str = "delta"
     """Per-second rate: of increments (``delta``) or of a running counter (``cumulative``)."""
     if kind not in ("delta", "cumulative"):
         raise ValueError(f"unknown counter kind: {kind!r}")
-    points = counter_steps(df, seconds, series) if kind == "cumulative" else df
+    points = counter_steps(df, series) if kind == "cumulative" else df
     sums = points.groupBy(bucket(seconds).alias("w"), *series).agg((F.sum("value") / seconds).alias("value"))
     return sums.select(F.col("w.start").alias("window_start"), *series, "value")
 
@@ -127,7 +127,7 @@ def dashboard(df: DataFrame, tiles: Sequence[Tile], seconds: int = BUCKET_SECOND
     points = df.where(F.col("metric").isin(sorted(wanted)))
     if counters:
         running = F.col("metric").isin(list(counters))
-        points = counter_steps(points.where(running), seconds).unionByName(points.where(~running))
+        points = counter_steps(points.where(running)).unionByName(points.where(~running))
     aligned = points.groupBy(bucket(seconds).alias("w"), *SERIES).agg(
         F.avg("value").alias("mean"), F.sum("value").alias("sum"))
 

@@ -5,7 +5,7 @@ round it are used here:
 
 * :func:`prefix_sum` range-sorts the whole frame, so a large group spans many partitions, and adds
   up per (partition, group) chunk totals;
-* :func:`previous_in_time` cuts each group by time and carries the last row of a slice over.
+* :func:`previous_row` sorts in the same way and carries the last row of a partition over its edge.
 """
 
 from __future__ import annotations
@@ -72,28 +72,22 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "ta
     return prefix_sum(df, [], order_by, name=name)
 
 
-def previous_in_time(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
-                     slice_seconds: int, ties: Sequence[str] = ()) -> DataFrame:
-    """Adds ``prev_<value>`` of the row before, per ``keys`` in the order of ``ts`` (then ``ties``).
+def previous_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Adds ``prev_<value>`` of the row before, per ``keys`` in the order of ``order_by``.
 
-    The lag runs per (keys, time slice). Only one row per slice enters the second window, so its
-    size follows the calendar, not the number of rows.
+    The frame is range-sorted, so one key's rows span as many partitions as they fill, however close they lie in time. The
+    lag runs per (key, partition); the last row of each (key, partition) enters one small window, which carries it over
+    the partition's edge. The sorted frame is written once to the shared folder, as for :func:`prefix_sum`.
     """
-    values, ties = list(values), list(ties)
-    sliced = df.withColumns({_KEY: key_of(list(keys)), "__slice": F.floor(_epoch(ts) / slice_seconds)})
-    in_slice = W.partitionBy(_KEY, "__slice").orderBy(ts, *ties)
-    rows = sliced.select("*", F.row_number().over(in_slice).alias("__nth"),
-                         *[F.lag(v).over(in_slice).alias(f"__lag_{v}") for v in values])
-    last = F.max_by(F.struct(*values), F.struct(ts, *ties))
-    ends = sliced.groupBy(_KEY, "__slice").agg(last.alias("__last"))
-    across = W.partitionBy(_KEY).orderBy("__slice")
-    carried = ends.select(_KEY, "__slice", F.lag("__last").over(across).alias("__carry"))
-    joined = rows.join(carried, [_KEY, "__slice"], "left")
-    previous = [F.when(F.col("__nth") == 1, F.col("__carry")[v]).otherwise(F.col(f"__lag_{v}"))
-                .alias(f"prev_{v}") for v in values]
-    return joined.select(*df.columns, *previous)
-
-
-def _epoch(ts: str) -> Column:
-    """Seconds since the epoch of a timestamp column with or without zone."""
-    return F.unix_timestamp(F.col(ts).cast("timestamp"))
+    keys, values = list(keys), list(values)
+    ordered = materialize(df.orderBy(*keys, *order_by).withColumn(_ROW, F.monotonically_increasing_id()))
+    rows = ordered.withColumns({_PART: F.shiftrightunsigned(_ROW, 33), _KEY: key_of(keys)})
+    local = W.partitionBy(_KEY, _PART).orderBy(_ROW)
+    lagged = rows.select("*", F.row_number().over(local).alias("__nth"),
+                         *[F.lag(v).over(local).alias(f"__lag_{v}") for v in values])
+    # At most one row per (key, partition).
+    ends = rows.groupBy(_KEY, _PART).agg(F.max_by(F.struct(*values), _ROW).alias("__last"))
+    carried = ends.select(_KEY, _PART, F.lag("__last").over(W.partitionBy(_KEY).orderBy(_PART)).alias("__carry"))
+    previous = [F.when(F.col("__nth") == 1, F.col("__carry")[v]).otherwise(F.col(f"__lag_{v}")).alias(f"prev_{v}")
+                for v in values]
+    return lagged.join(carried, [_KEY, _PART]).select(*df.columns, *previous)

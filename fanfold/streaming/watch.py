@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fanfold.operators.ordering import previous_in_time
+from fanfold.operators.ordering import previous_row
 from fanfold.operators.tasks import gather
 from fanfold.streaming.landing import land, landed
 
 # States after which a job does not change any more.
 TERMINAL = ["SUCCEEDED", "FAILED"]
-SLICE_SECONDS = 60
 
 
 def _standing(state: Column, ts: Column) -> Column:
@@ -65,9 +64,9 @@ def arrival_status(results: DataFrame, runs: DataFrame, now: str) -> DataFrame:
 # --- progression -------------------------------------------------------------------------------
 
 
-def state_steps(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def state_steps(events: DataFrame) -> DataFrame:
     """Changes of state of each job in time order; the first report is a change from NULL."""
-    before = previous_in_time(events, ["job_id"], "ts", ["state"], slice_seconds, ties=["state"])
+    before = previous_row(events, ["job_id"], ["ts", "state"], ["state"])
     changed = ~F.col("prev_state").eqNullSafe(F.col("state"))
     return before.where(changed).select("job_id", F.col("prev_state").alias("from_state"),
                                         F.col("state").alias("to_state"), "ts")
