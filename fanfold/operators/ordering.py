@@ -77,10 +77,12 @@ def previous_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], va
 
     The frame is range-sorted, so one key's rows span as many partitions as they fill, however close they lie in time. The
     lag runs per (key, partition); the last row of each (key, partition) enters one small window, which carries it over
-    the partition's edge. The sorted frame is written once to the shared folder, as for :func:`prefix_sum`.
+    the partition's edge. The sorted frame is written once to the shared folder, as for :func:`prefix_sum`. Rows that
+    are equal in all these columns are told apart by their place, so that they can be spread as well.
     """
     keys, values = list(keys), list(values)
-    ordered = materialize(df.orderBy(*keys, *order_by).withColumn(_ROW, F.monotonically_increasing_id()))
+    placed = df.withColumn("__place", F.monotonically_increasing_id()).orderBy(*keys, *order_by, "__place")
+    ordered = materialize(placed.drop("__place").withColumn(_ROW, F.monotonically_increasing_id()))
     rows = ordered.withColumns({_PART: F.shiftrightunsigned(_ROW, 33), _KEY: key_of(keys)})
     local = W.partitionBy(_KEY, _PART).orderBy(_ROW)
     lagged = rows.select("*", F.row_number().over(local).alias("__nth"),
