@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from fanfold.functions import paths as P
 from fanfold.operators.ordering import dense_index, prefix_sum
+from fanfold.session import materialize
 
 SEQUENCE_BLOCK = 10_000
+WORD = 64
 MAX_PARALLELISM = 100
 RESULT_ROWS = 10_000
 
@@ -119,27 +121,67 @@ def run_tasks(tasks: DataFrame, fn: Callable[[dict], pd.DataFrame], schema: T.St
         yield from flush(good, bad)
 
     slots = parallelism or max(1, min(tasks.count(), max_parallelism))
-    # Ranges of the index are even in size, which hashes of it are not.
-    return tasks.repartitionByRange(slots, "task_index").mapInPandas(run, full)
+    # Rows are dealt in turn: as even as ranges of the index, without sampling the tasks first.
+    return tasks.repartition(slots).mapInPandas(run, full)
 
 
 # --- gather ------------------------------------------------------------------------------------
 
 
+def arrived_words(results: DataFrame) -> DataFrame:
+    """Arrived and good task numbers as bits: one row ``(run_key, word, seen, good)`` per 64 numbers of a run.
+
+    The words are put together inside the tasks by ``bit_or``, so a run of n results leaves a task as n / 64 rows at most.
+    Words of 64 bits keep small runs small, where a bitmap of fixed size would take kilobytes for a few tasks.
+    """
+    index = F.col("task_index").cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), index.bitwiseAND(F.lit(WORD - 1)).cast("int"))
+    ok = F.when(F.col("status") == "ok", bit).otherwise(F.lit(0).cast("bigint"))
+    return results.where("task_index >= 0").groupBy("run_key", F.shiftright(index, 6).alias("word")).agg(
+        F.bit_or(bit).alias("seen"), F.bit_or(ok).alias("good"))
+
+
+def _inside(words: DataFrame) -> DataFrame:
+    """Words with ``n_expected`` as bits ``ok``, ``failed`` and ``missing`` of the ``n_bits`` expected tasks in each."""
+    n_bits = F.least(F.col("n_expected").cast("bigint") - F.col("word") * WORD, F.lit(WORD).cast("bigint")).cast("int")
+    ones = F.lit(-1).cast("bigint")
+    expected = F.when(F.col("n_bits") == WORD, ones).otherwise(
+        F.bitwise_not(F.call_function("shiftleft", ones, F.col("n_bits"))))
+    e, seen, good = F.col("expected"), F.col("seen"), F.col("good")
+    return words.withColumn("n_bits", n_bits).where("n_bits > 0").withColumn("expected", expected).select(
+        "run_key", "word", "n_bits", good.bitwiseAND(e).alias("ok"),
+        seen.bitwiseAND(F.bitwise_not(good)).bitwiseAND(e).alias("failed"), F.bitwise_not(seen).bitwiseAND(e).alias("missing"))
+
+
+def _of_runs(words: DataFrame, runs: DataFrame) -> DataFrame:
+    return _inside(words.join(runs.select("run_key", "n_expected"), "run_key"))
+
+
+def _statuses(words: DataFrame, *kinds: str) -> DataFrame:
+    """One row per set bit of the named columns."""
+
+    def listed(kind: str) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.col("n_bits") - 1),
+                          lambda i: F.call_function("shiftright", F.col(kind), i).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+        return F.transform(places, lambda i: F.struct((F.col("word") * WORD + i).alias("task_index"), F.lit(kind).alias("status")))
+
+    some = " OR ".join(f"{k} <> 0" for k in kinds)
+    return words.where(some).select("run_key", F.inline(F.concat(*map(listed, kinds))))
+
+
 def task_status(results: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per result inside ``0 … n_expected-1``; a task with any good copy is ok."""
-    known = results.select("run_key", "task_index", "status").join(
-        runs.select("run_key", "n_expected"), "run_key")
-    inside = known.where((F.col("task_index") >= 0) & (F.col("task_index") < F.col("n_expected")))
-    ok = F.bool_or(F.col("status") == "ok")
-    return inside.groupBy("run_key", "task_index").agg(F.when(ok, "ok").otherwise("failed").alias("status"))
+    return _statuses(_of_runs(arrived_words(results), runs), "ok", "failed")
 
 
 def gather(results: DataFrame, runs: DataFrame) -> DataFrame:
     """Expected, ok, failed and missing tasks of every run, runs without any result included."""
-    seen = task_status(results, runs).groupBy("run_key").agg(
-        F.count_if(F.col("status") == "ok").alias("n_ok"),
-        F.count_if(F.col("status") == "failed").alias("n_failed"))
+    return _gathered(arrived_words(results), runs)
+
+
+def _gathered(words: DataFrame, runs: DataFrame) -> DataFrame:
+    seen = _of_runs(words, runs).groupBy("run_key").agg(
+        F.sum(F.bit_count("ok")).alias("n_ok"), F.sum(F.bit_count("failed")).alias("n_failed"))
     counts = runs.select("run_key", "n_expected").join(seen, "run_key", "left").na.fill(0, ["n_ok", "n_failed"])
     return counts.withColumn("n_missing", F.col("n_expected") - F.col("n_ok") - F.col("n_failed"))
 
@@ -152,12 +194,19 @@ def expected_tasks(runs: DataFrame) -> DataFrame:
     return blocks.select("run_key", F.explode(F.sequence("__from", last)).alias("task_index"))
 
 
+def expected_words(runs: DataFrame) -> DataFrame:
+    """One row ``(run_key, n_expected, word)`` per 64 expected tasks, made block by block as :func:`expected_tasks`."""
+    blocks = runs.where("n_expected > 0").select("run_key", "n_expected", F.shiftright(F.col("n_expected").cast("bigint") - 1, 6).alias("__last"))
+    blocks = blocks.select("run_key", "n_expected", "__last", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.col("__last"), F.lit(SEQUENCE_BLOCK).cast("bigint"))).alias("__from"))
+    last = F.least(F.col("__from") + (SEQUENCE_BLOCK - 1), F.col("__last"))
+    return blocks.select("run_key", "n_expected", F.explode(F.sequence("__from", last)).alias("word"))
+
+
 def gap_tasks(results: DataFrame, runs: DataFrame) -> DataFrame:
-    """The failed and the missing tasks as rows (never as a list inside one row)."""
-    status = task_status(results, runs)
-    absent = expected_tasks(runs).join(status, ["run_key", "task_index"], "left_anti")
-    return (status.where("status = 'failed'")
-            .unionByName(absent.withColumn("status", F.lit("missing"))))
+    """The failed and the missing tasks as rows (never as a list inside one row); the results are read once."""
+    words = expected_words(runs).join(arrived_words(results), ["run_key", "word"], "left").na.fill(0, ["seen", "good"])
+    return _statuses(_inside(words), "failed", "missing")
 
 
 def completeness(results: DataFrame, runs: DataFrame) -> DataFrame:
@@ -177,9 +226,10 @@ def policy(counts: DataFrame, allow_partial: bool = True) -> DataFrame:
 def require_complete(results: DataFrame, runs: DataFrame, allow_partial: bool = True) -> DataFrame:
     """The ok tasks, after a check that raises when the policy is broken.
 
-    Only one summary row reaches the driver.
+    Only one summary row reaches the driver. The results are read once; their bits are written for both uses.
     """
-    broken = policy(gather(results, runs), allow_partial).agg(
+    words = materialize(arrived_words(results))
+    broken = policy(_gathered(words, runs), allow_partial).agg(
         F.count_if(F.col("verdict") == "empty").alias("empty"),
         F.count_if(F.col("verdict") == "incomplete").alias("incomplete"),
         F.sum("n_ok").alias("ok"), F.sum("n_expected").alias("n")).first()
@@ -188,7 +238,7 @@ def require_complete(results: DataFrame, runs: DataFrame, allow_partial: bool =
     if broken["empty"] or broken["incomplete"]:
         raise ValueError(f"{broken['empty']} run(s) without results, {broken['incomplete']} incomplete; "
                          f"{broken['ok']}/{broken['n']} tasks ok")
-    return task_status(results, runs).where("status = 'ok'")
+    return _statuses(_of_runs(words, runs), "ok")
 
 
 def result_type(results: DataFrame, column: str = "type_name") -> DataFrame:

@@ -140,6 +140,31 @@ def gathered(spark):
     return results, runs
 
 
+def test_gather_equals_counting(spark, rows):
+    rng = random.Random(4)
+    data = [(f"r{rng.randrange(6)}", rng.randrange(-70, 200), rng.choice(["ok", "failed", None])) for _ in range(900)]
+    sizes = {"r0": 0, "r1": 1, "r2": 63, "r3": 64, "r4": 65, "r5": 150, "r6": 128}
+    results = spark.createDataFrame(data, "run_key STRING, task_index INT, status STRING").repartition(4)
+    runs = spark.createDataFrame(list(sizes.items()), "run_key STRING, n_expected INT")
+    state = {}
+    for k, i, s in data:
+        if 0 <= i < sizes[k]:
+            state[k, i] = "ok" if s == "ok" or state.get((k, i)) == "ok" else "failed"
+    assert rows(T.task_status(results, runs)) == sorted(((*k, v) for k, v in state.items()), key=repr)
+    gaps = [(k, i, state.get((k, i), "missing")) for k, n in sizes.items() for i in range(n) if state.get((k, i)) != "ok"]
+    assert rows(T.gap_tasks(results, runs)) == sorted(gaps, key=repr)
+    count = lambda k, s: sum(v == s for (a, _), v in state.items() if a == k)
+    assert rows(T.gather(results, runs)) == [
+        (k, n, count(k, "ok"), count(k, "failed"), n - count(k, "ok") - count(k, "failed")) for k, n in sorted(sizes.items())]
+
+
+def test_gaps_scan_results_once(spark, tmp_path):
+    spark.createDataFrame([("r", 0, "ok")], "run_key STRING, task_index INT, status STRING").write.parquet(str(tmp_path / "results"))
+    runs = spark.createDataFrame([("r", 3)], "run_key STRING, n_expected INT")
+    plan = T.gap_tasks(spark.read.parquet(str(tmp_path / "results")), runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "hashpartitioning(run_key#" in plan and "word#" in plan
+
+
 def test_gather_counts_and_gaps(gathered, rows):
     results, runs = gathered
     assert rows(T.gather(results, runs)) == [("r", 5, 2, 1, 2), ("s", 1, 0, 1, 0), ("t", 2, 0, 0, 2)]
@@ -225,6 +250,31 @@ def test_quantiles_equal_numpy_for_small_and_hot_groups(spark):
     assert len(got) == 18
 
 
+def test_ranks_of_any_spread(spark):
+    rng = random.Random(8)
+    spreads = {
+        "equal": [3.5] * 500, "signs": [rng.uniform(-1, 1) for _ in range(700)], "close": [1 + i * 2.0 ** -52 for i in range(300)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(300)], "one": [7.0],
+        "tiny": [rng.randrange(-50, 50) * 5e-324 for _ in range(200)], "zeros": [0.0, -0.0] * 50 + [1.0],
+        "clustered": [1.0 + rng.choice([0, 1e-9]) + rng.randrange(40) * 2.0 ** -50 for _ in range(900)],
+    }
+    data = [(k, v) for k, values in spreads.items() for v in values] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(data, "g STRING, value DOUBLE").repartition(5)
+    levels = [0.0, 0.013, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.level): r.value for r in R.quantiles(df, ["g"], levels).collect()}
+    assert len(got) == len(spreads) * len(levels)
+    for g, values in spreads.items():
+        values = sorted(v + 0.0 for v in values)
+        for level in levels:
+            spot = level * (len(values) - 1)
+            low, share = int(np.floor(spot)), spot - np.floor(spot)
+            expected = values[low] if share == 0 else (1 - share) * values[low] + share * values[low + 1]
+            assert got[g, level] == expected, (g, level)
+    ends = spark.createDataFrame([(1, v) for v in (float("nan"), float("-inf"), 2.0, float("inf"))], "g INT, value DOUBLE")
+    low, two, high, nan = [r.value for r in R.quantiles(ends, ["g"], [0.0, 1 / 3, 2 / 3, 1.0]).orderBy("level").collect()]
+    assert (low, two, high) == (float("-inf"), 2.0, float("inf")) and np.isnan(nan)
+
+
 def test_quantile_of_sums_not_sum_of_quantiles(spark, rows):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 9.0), ("b", 1, 9.0), ("b", 2, 1.0)], "population STRING, traj_id INT, value DOUBLE")
     df = df.select("*", F.lit("2024-01-01").cast("date").alias("date"), F.lit("v").alias("variable"))
