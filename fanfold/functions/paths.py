@@ -187,3 +187,48 @@ def glob_starts(path: Column, patterns: Iterable[str], prefix: str = "") -> Colu
     ``startswith`` on a stored column into the Parquet scan, which a regex is not.
     """
     return any_of(path.startswith(prefix + start) for start in sorted({literal_part(p) for p in patterns}))
+
+
+# --- patterns in a column ----------------------------------------------------------------------
+
+# Lengths by which the literal starts of patterns are filed; a start counts by its first so many characters.
+START_CLASSES = (0, 1, 2, 4, 8, 16, 32, 64, 128)
+
+
+def _literal(char: Column) -> Column:
+    """One character as a regex that matches it alone, inside and outside of brackets."""
+    plain = (char >= "\u0080") | char.rlike("[A-Za-z0-9]")
+    return F.when(plain, char).otherwise(F.concat(F.lit("\\"), char))
+
+
+def _class_of(body: Column) -> Column:
+    """:func:`_bracket` for a column."""
+    negated = body.startswith("!")
+    items = F.regexp_extract_all(F.when(negated, F.substring(body, 2, TEXT_END)).otherwise(body), F.lit("(?s).-.|."), F.lit(0))
+
+    def item(text: Column) -> Column:
+        low, high = F.substring(text, 1, 1), F.substring(text, 3, 1)
+        ranged = F.when(low <= high, F.concat(_literal(low), F.lit("-"), _literal(high))).otherwise("")
+        return F.when(F.length(text) == 3, ranged).otherwise(_literal(text))
+
+    inside = F.array_join(F.transform(items, item), "")
+    return F.when(inside == "", F.when(negated, ".").otherwise("(?!)")).otherwise(
+        F.concat(F.lit("["), F.when(negated, "^").otherwise(""), inside, F.lit("]")))
+
+
+def glob_regex_of(pattern: Column) -> Column:
+    """:func:`glob_regex` for patterns in a column."""
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\*+|\?|\[(?:!?+\]?+[^\]]*)\]|."), F.lit(0))
+
+    def part(token: Column) -> Column:
+        bracket = (F.length(token) > 2) & token.startswith("[")
+        return (F.when(token.startswith("*"), ".*").when(token == "?", ".")
+                .when(bracket, _class_of(F.substring(token, F.lit(2), F.length(token) - 2)))
+                .otherwise(_literal(token)))
+
+    return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(tokens, part), ""), F.lit(r")\z"))
+
+
+def start_class(length: Column) -> Column:
+    """The greatest of :data:`START_CLASSES` that is not above a length."""
+    return F.array_max(F.filter(F.array(*map(F.lit, START_CLASSES)), lambda c: c <= length))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
+from functools import cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -50,20 +51,39 @@ def fmt_time(iso: Column) -> Column:
     return F.coalesce(F.date_format(wall_clock(iso), "HH:mm:ss"), cut)
 
 
-def _zone_names(zone: str) -> Column:
-    """Offset in seconds → abbreviation, read from the zone's rules of the years 1970 to 2050."""
-    rules = ZoneInfo(zone)
-    days = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(days=15 * i) for i in range(1950))
-    names = {int(t.utcoffset().total_seconds()): t.tzname() for t in (d.astimezone(rules) for d in days)}
-    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+@cache
+def zone_changes(zone: str) -> list[tuple[int, str]]:
+    """Instants (seconds) from which a zone goes by another name, with the name, from 1900 to 2100 in order.
+
+    Read from the zone's own rules: a change is looked for between neighbouring days and then halved down to its second.
+    """
+    rules, day = ZoneInfo(zone), 86_400
+    at = lambda s: (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)).astimezone(rules).tzname()
+    first = (datetime(1900, 1, 1) - datetime(1970, 1, 1)).days * day
+    changes = [(first, at(first))]
+    for begin in range(first, first + 200 * 366 * day, day):
+        low, high = begin, begin + day
+        if at(high) == changes[-1][1]:
+            continue
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if at(middle) == changes[-1][1] else (low, middle)
+        changes.append((high, at(high)))
+    return changes
+
+
+def zone_name(utc: Column, zone: str) -> Column:
+    """The name that holds in a zone at an instant: that of the last change before it."""
+    changes = F.array(*[F.struct(F.lit(s).cast("bigint").alias("at"), F.lit(n).alias("name")) for s, n in zone_changes(zone)])
+    seconds = F.unix_timestamp(utc)
+    past = F.filter(changes, lambda c: c["at"] <= seconds)
+    return F.coalesce(F.try_element_at(past, F.lit(-1))["name"], F.lit(zone_changes(zone)[0][1]))
 
 
 def fmt_local(iso: Column, zone: str) -> Column:
     utc = instant(iso)
     local = F.from_utc_timestamp(utc, zone)
-    offset = (F.unix_timestamp(local) - F.unix_timestamp(utc)).cast("int")
-    text = F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd HH:mm:ss"),
-                       F.try_element_at(_zone_names(zone), offset))
+    text = F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd HH:mm:ss"), zone_name(utc, zone))
     return F.when(utc.isNotNull(), text).otherwise(F.substring(iso, 1, 19))
 
 

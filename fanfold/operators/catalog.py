@@ -91,6 +91,24 @@ def glob_filter(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFram
     return df.where(P.glob_match(F.col(column), patterns))
 
 
+def match_patterns(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """Every row with every pattern of a table that matches it: the columns of both.
+
+    A pattern is filed by the beginning of the text before its first wildcard, at one of nine lengths. A row is looked up by
+    its own beginnings of these lengths, an equi-join; the regex only sees the patterns found so. Patterns that begin
+    with a wildcard are tried on every row, as they must.
+    """
+    start = F.regexp_extract(pattern, r"(?s)^[^*?\[]*", 0)
+    filed = patterns.withColumn("__class", P.start_class(F.length(start)))
+    filed = filed.withColumns({"__start": F.left(start, F.col("__class")), "__regex": P.glob_regex_of(F.col(pattern))})
+    beginnings = F.array(*[F.struct(F.lit(c).alias("c"), F.substring(column, 1, c).alias("s")) for c in P.START_CLASSES])
+    # A beginning that is the whole text again would be looked up in vain.
+    useful = F.filter(beginnings, lambda b: F.length(b["s"]) == b["c"])
+    rows = df.select("*", F.inline(F.transform(useful, lambda b: F.struct(b["c"].alias("__class"), b["s"].alias("__start")))))
+    found = rows.join(filed, ["__class", "__start"]).where(F.expr(f"`{column}` rlike __regex"))
+    return found.select(*df.columns, *patterns.columns)
+
+
 def scan_below(df: DataFrame, prefix: str, patterns: Sequence[str]) -> DataFrame:
     """Artifacts that can belong to a matching experiment, by pushed-down path starts."""
     return df.where(P.glob_starts(F.col("path"), patterns, prefix))
@@ -203,9 +221,10 @@ def copy_counts(plan: DataFrame, existing: DataFrame) -> DataFrame:
 
 def storage_usage(parsed: DataFrame, levels: Sequence[str] = ("exp_id", "run_id")) -> DataFrame:
     """Bytes and objects per level with subtotals; ``level`` counts the levels still told apart."""
-    usage = parsed.rollup(*levels).agg(
-        F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("objects"),
-        F.grouping_id().alias("__gid"))
+    # Grouped by all levels first: the rollup then repeats one row per group, not one per artifact.
+    full = parsed.groupBy(*levels).agg(F.sum("length").alias("__bytes"), F.count(F.lit(1)).alias("__objects"))
+    usage = full.rollup(*levels).agg(
+        F.sum("__bytes").alias("bytes"), F.sum("__objects").alias("objects"), F.grouping_id().alias("__gid"))
     depth = F.lit(len(levels)) - F.length(F.replace(F.bin("__gid"), F.lit("0"), F.lit("")))
     return usage.select(*levels, depth.cast("int").alias("level"), "bytes", "objects")
 

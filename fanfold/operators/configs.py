@@ -9,43 +9,48 @@ from pyspark.sql import functions as F
 
 from fanfold.functions import paths as P
 from fanfold.operators.ordering import prefix_sum
+from fanfold.session import materialize
 
 # Document types by the JSON path that marks them, and preferred output files.
 DOC_MARKS = {"basemodel": "$.model", "sampling": "$.modelset.sampling",
              "calibration": "$.modelset.calibration", "output": "$.output"}
 OUTPUT_FILES = ["output.yaml", "output.yml"]
 PLACEHOLDER = "your-"
-SALTS = 16
+CHILDREN_PER_SALT = 100_000
 ROLES = {"basemodel": "basemodel", "sampling": "modelset", "calibration": "modelset", "output": "output"}
 
 
 # --- settings ----------------------------------------------------------------------------------
 
 
-def merge_layers(df: DataFrame) -> DataFrame:
+def merge_layers(df: DataFrame, children_per_salt: int = CHILDREN_PER_SALT) -> DataFrame:
     """``(scope, key_path, value, layer)`` rows to the value that holds per scope and key.
 
     A later layer wins. A key also goes when a later layer set something above it (a value in
     place of the subtree) or below it (a subtree in place of the value). Both tests compare with
     one greatest layer per path, so no join multiplies rows.
     """
-    held = df.groupBy("scope", "key_path").agg(
-        F.max_by("value", "layer").alias("value"), F.max("layer").alias("layer"))
+    held = materialize(df.groupBy("scope", "key_path").agg(
+        F.max_by("value", "layer").alias("value"), F.max("layer").alias("layer")))
     parts = F.split("key_path", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
                           lambda i: F.array_join(F.slice(parts, 1, i), "."))
     links = (held.where(F.size(parts) > 1)
              .select("scope", "key_path", "layer", F.explode(parents).alias("parent")))
-    below = links.groupBy("scope", F.col("parent").alias("key_path")).agg(F.max("layer").alias("__below"))
-    # Only paths that are both a key and a parent can replace a subtree. Their few rows are repeated
-    # per salt, so a parent of very many keys does not meet all of them in one task.
-    spread = F.pmod(F.xxhash64("key_path"), F.lit(SALTS)).cast("int")
-    owners = held.join(below.select("scope", "key_path"), ["scope", "key_path"], "left_semi").select(
+    # One small row per parent, used for both tests and for the salts.
+    below = materialize(links.groupBy("scope", F.col("parent").alias("key_path")).agg(
+        F.max("layer").alias("__below"), F.ceil(F.count(F.lit(1)) / children_per_salt).alias("__salts")))
+    # Only paths that are both a key and a parent can replace a subtree. A parent's row is repeated once per
+    # ``children_per_salt`` keys below it, so however many there are, no task meets more. Parents of so many keys are few.
+    many = below.where("__salts > 1").select("scope", F.col("key_path").alias("parent"), "__salts")
+    owners = held.join(below.select("scope", "key_path", "__salts"), ["scope", "key_path"]).select(
         "scope", F.col("key_path").alias("parent"), F.col("layer").alias("__layer"),
-        F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
-    above = (links.withColumn("__salt", spread).join(owners, ["scope", "parent", "__salt"])
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__salts") - 1)).alias("__salt"))
+    salt = F.pmod(F.xxhash64("key_path"), F.coalesce("__salts", F.lit(1).cast("bigint"))).alias("__salt")
+    salted = links.join(many, ["scope", "parent"], "left").select("scope", "key_path", "parent", salt)
+    above = (salted.join(owners, ["scope", "parent", "__salt"])
              .groupBy("scope", "key_path").agg(F.max("__layer").alias("__above")))
-    kept = held.join(below, ["scope", "key_path"], "left").join(above, ["scope", "key_path"], "left")
+    kept = held.join(below.drop("__salts"), ["scope", "key_path"], "left").join(above, ["scope", "key_path"], "left")
     later = F.greatest(F.coalesce("__below", "layer"), F.coalesce("__above", "layer"))
     return kept.where(later <= F.col("layer")).select("scope", "key_path", "value", "layer")
 

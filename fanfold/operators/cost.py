@@ -99,3 +99,25 @@ def run_class(hours: Column) -> Column:
     for bound, name, seconds in RUN_CLASSES:
         chain = chain.when(hours < bound, F.struct(F.lit(name).alias("size_class"), F.lit(seconds).alias("timeout")))
     return chain.otherwise(F.struct(F.lit("very long").alias("size_class"), F.lit(LONGEST_RUN).alias("timeout")))
+
+
+BINS = 1024  # powers of two; a class without an upper bound reaches to the last
+
+
+def _bin(value: Column) -> Column:
+    """The number of the doubling a size lies in; 0 below 1."""
+    return F.when(value < 1, 0).otherwise(F.least(F.lit(BINS), F.floor(F.log2(value)) + 1)).cast("int")
+
+
+def in_classes(df: DataFrame, size: str, classes: DataFrame) -> DataFrame:
+    """Every row with every class of a table ``(class, low, high)`` that its size lies in: ``low <= size < high``.
+
+    A comparison alone would be a nested loop. Sizes (0 and above) and classes meet by the power of two they lie in or touch, an
+    equi-join; the bounds are compared for the pairs found so. A NULL ``high`` has no end.
+    """
+    last = F.when(F.col("high").isNull(), BINS).otherwise(_bin(F.col("high").cast("double")))
+    touched = classes.where("high IS NULL OR high > low").select("class", "low", "high", F.explode(
+        F.sequence(_bin(F.greatest(F.col("low").cast("double"), F.lit(0.0))), last)).alias("__bin"))
+    met = df.withColumn("__bin", _bin(F.col(size).cast("double"))).join(touched, "__bin")
+    inside = (F.col(size) >= F.col("low")) & (F.col("high").isNull() | (F.col(size) < F.col("high")))
+    return met.where(inside).select(*df.columns, "class")

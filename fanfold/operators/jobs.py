@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from fanfold.functions import rules as Q
 from fanfold.functions import scalars as S
+from fanfold.operators.ordering import number_rows
 
 # States of executions and jobs.
 ACTIVE_EXECUTION = ["ACTIVE"]
@@ -68,6 +69,16 @@ def recent_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc(S.instant(F.col("end_time"))), "name")
 
 
+def newest_jobs(df: DataFrame) -> DataFrame:
+    """Jobs by create time, newest first."""
+    return df.orderBy(F.desc(S.instant(F.col("create_time"))), "job_id")
+
+
+def ranked(df: DataFrame, order: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows with their place (from 1) in one of the orders above, so that the order outlives further steps."""
+    return number_rows(order(df), "rank")
+
+
 def enrich(listed: DataFrame, details: DataFrame) -> DataFrame:
     """Adds the argument by name; a listed row without details stays."""
     looked_up = details.select("name", F.col("argument").alias("__argument"))

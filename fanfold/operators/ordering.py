@@ -67,6 +67,16 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order_by: Sequence[str | Col
     return joined.withColumn(name, F.col(_BEFORE) + inside).select(*df.columns, name)
 
 
+def number_rows(ordered: DataFrame, name: str) -> DataFrame:
+    """1, 2, 3, … over a frame that has just been ordered as a whole."""
+    rows = materialize(ordered.withColumn(_ROW, F.monotonically_increasing_id())).withColumn(_PART, F.shiftrightunsigned(_ROW, 33))
+    # One row per partition enters the window.
+    sizes = rows.groupBy(_PART).agg(F.count(F.lit(1)).alias(_TOTAL), F.min(_ROW).alias(_FIRST))
+    earlier = W.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(_PART, _FIRST, F.coalesce(F.sum(_TOTAL).over(earlier), F.lit(0)).alias(_BEFORE))
+    return rows.join(before, _PART).select(*ordered.columns, (F.col(_BEFORE) + F.col(_ROW) - F.col(_FIRST) + 1).alias(name))
+
+
 def dense_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "task_index") -> DataFrame:
     """0, 1, 2, … over the whole frame in a total order."""
     return prefix_sum(df, [], order_by, name=name)

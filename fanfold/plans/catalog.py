@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanfold.functions import paths as P
 from fanfold.operators import catalog as C
 from fanfold.plans.registry import Inputs, query
+from fanfold.session import materialize, shared_dir
+from fanfold.sources.catalogue import read_catalogue, write_catalogue
 
 PREFIX = "pipeline/flu/"
 GLOBS = ["1995*/hosp_*", "199[67]??/ed_1*", "199804/ed_[!0-8]"]
@@ -37,6 +41,11 @@ def runs(t: Inputs) -> DataFrame:
     return C.experiment_runs(artifacts(t), PREFIX)
 
 
+def runs_below(t: Inputs, patterns: list[str]) -> DataFrame:
+    """Runs of artifacts that can match one of the patterns."""
+    return C.experiment_runs(C.scan_below(artifacts(t), PREFIX, patterns), PREFIX)
+
+
 def matched(t: Inputs) -> DataFrame:
     parsed = C.parse_artifacts(artifacts(t), PREFIX)
     return C.match_outputs(parsed, C.latest_runs(runs(t))).select("exp_id", "run_id", "path")
@@ -106,7 +115,24 @@ def c4_run_dirs(t: Inputs) -> DataFrame:
 
 @query("c5_glob", f"WITH {RUNS_SQL} SELECT exp_id, run_id FROM runs WHERE {GLOB_SQL}", "fx_artifacts")
 def c5_glob(t: Inputs) -> DataFrame:
-    return C.glob_filter(runs(t), "exp_id", GLOBS)
+    return C.glob_filter(runs_below(t, GLOBS), "exp_id", GLOBS)
+
+
+PATTERN_SQL = """patterns AS (
+  SELECT DISTINCT CASE c_custkey % 11 WHEN 0 THEN '*_' || substr(place, 6, 1) ELSE place || CASE c_custkey % 4 WHEN 0 THEN '/hosp_1*'
+    WHEN 1 THEN '/ed_[!1-8]' WHEN 2 THEN '/*_?' ELSE '/ed_' || cast(c_custkey % 20 AS string) END END AS pattern
+  FROM (SELECT c_custkey, cast(199201 + c_custkey % 7 * 100 + c_custkey % 12 AS string) AS place FROM {customer}) p)"""
+
+
+@query("c5_table", f"""
+WITH {RUNS_SQL}, {PATTERN_SQL.format(customer="customer")}
+SELECT pattern, count(*) AS n_runs, count(DISTINCT exp_id) AS n_exps FROM runs JOIN patterns ON exp_id GLOB pattern GROUP BY pattern
+""", "fx_artifacts")
+def c5_table(t: Inputs) -> DataFrame:
+    """Some hundred patterns in a table, each with the runs that it matches."""
+    patterns = t.sql(f"WITH {PATTERN_SQL} SELECT pattern FROM patterns")
+    return C.match_patterns(runs(t), "exp_id", patterns).groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_distinct("exp_id").alias("n_exps"))
 
 
 @query("c6_patterns", f"""
@@ -116,15 +142,17 @@ WHERE exp_id = '199501' OR starts_with(exp_id, '199501/') OR exp_id = '199602' O
 """, "fx_artifacts")
 def c6_patterns(t: Inputs) -> DataFrame:
     wanted = C.expand_patterns(t.spark, ["199501", "199602/", "*/hosp_1"])
-    return C.glob_filter(runs(t), "exp_id", wanted)
+    return C.glob_filter(runs_below(t, wanted), "exp_id", wanted)
 
 
 @query("c7_pruned", f"""
 WITH {RUNS_SQL} SELECT exp_id, run_id FROM runs WHERE exp_id GLOB '1995*/hosp_*' OR exp_id GLOB '199804/ed_[1-4]'
 """, "fx_artifacts")
 def c7_pruned(t: Inputs) -> DataFrame:
-    patterns = ["1995*/hosp_*", "199804/ed_[1-4]"]
-    near = C.scan_below(artifacts(t), PREFIX, patterns)
+    """A catalogue stored in stretches of paths, of which only those with the patterns' starts are opened."""
+    patterns, root = ["1995*/hosp_*", "199804/ed_[1-4]"], f"{shared_dir(t.spark)}/stored-{uuid.uuid4().hex}"
+    write_catalogue(artifacts(t), root, 16)
+    near = read_catalogue(t.spark, root, PREFIX, patterns)
     return C.glob_filter(C.experiment_runs(near, PREFIX), "exp_id", patterns)
 
 
@@ -166,10 +194,11 @@ def c12_newest(t: Inputs) -> DataFrame:
 
 @query("c13_uris", f"""
 WITH {RUNS_SQL} SELECT exp_id, run_id, 'gs://bucket/pipeline/flu/' || exp_id || '/' || run_id || '/' AS uri,
-  '--exp-id ' || exp_id || ' --run-id ' || run_id AS args FROM runs
+  '--exp-id ' || exp_id || ' --run-id ' || run_id AS args,
+  strftime(strptime(substr(run_id, 1, 15), '%Y%m%d-%H%M%S'), '%Y-%m-%d %H:%M:%S') AS run_ts FROM runs
 """, "fx_artifacts")
 def c13_uris(t: Inputs) -> DataFrame:
-    return C.run_uris(runs(t), "bucket", PREFIX).drop("run_ts")
+    return C.run_uris(runs(t), "bucket", PREFIX).withColumn("run_ts", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("c14_targets", f"""
@@ -272,17 +301,18 @@ def c20_stem(t: Inputs) -> DataFrame:
 @query("flagship", f"""
 WITH {RUNS_SQL}, present AS (SELECT run_key, task_index FROM fx_results WHERE status = 'ok'),
 latest AS (SELECT exp_id, max(run_id) AS run_id, count(*) AS n_runs FROM runs WHERE {GLOB_SQL} GROUP BY exp_id),
-ok AS (SELECT lpad(lower(hex(run_key)), 8, '0') AS key, count(*) AS n_ok FROM present GROUP BY 1)
+ok AS (SELECT lpad(lower(hex(run_key)), greatest(8, length(hex(run_key)))::integer, '0') AS key, count(*) AS n_ok FROM present GROUP BY 1)
 SELECT exp_id, run_id, n_runs, cast(coalesce(n_ok, 0) AS string) || '/7' AS completeness
 FROM latest LEFT JOIN ok ON ok.key = substr(run_id, 17)
 ORDER BY run_id DESC, exp_id LIMIT 50
 """, "fx_artifacts", "fx_results")
 def flagship(t: Inputs) -> DataFrame:
-    """Latest run of every experiment matching a glob, its number of runs and its completeness."""
+    """Latest run of every experiment matching a glob, its number of runs and its completeness; only the newest are gathered."""
     from fanfold.operators import tasks as K
 
-    done = K.completeness(t.fx("fx_results"), t.fx("fx_runs")).select(
-        F.lpad(F.lower(F.hex("run_key")), 8, "0").alias("key"), "completeness")
-    latest = C.latest_runs(C.glob_filter(runs(t), "exp_id", GLOBS))
-    return C.newest(latest.withColumn("key", F.substring("run_id", 17, 8)).join(done, "key", "left")
-                    .select("exp_id", "run_id", "n_runs", "completeness"), 50)
+    latest = C.newest(C.latest_runs(C.glob_filter(runs_below(t, GLOBS), "exp_id", GLOBS)), 50)
+    shown = materialize(latest.withColumn("run_key", F.conv(F.substring("run_id", 17, P.TEXT_END), 16, 10).cast("bigint")))
+    # A run id may be of several experiments; the few keys are listed once.
+    wanted = shown.select("run_key").distinct()
+    done = K.completeness(t.fx("fx_results").join(wanted, "run_key", "left_semi"), t.fx("fx_runs").join(wanted, "run_key", "left_semi"))
+    return shown.join(done.select("run_key", "completeness"), "run_key", "left").select("exp_id", "run_id", "n_runs", "completeness")

@@ -102,13 +102,31 @@ def k5_parts(t: Inputs) -> DataFrame:
 SELECT c_custkey, CASE WHEN n < 100 THEN 'small' WHEN n < 1000 THEN 'medium' WHEN n < 10000 THEN 'large' ELSE 'very large' END AS size_class,
   CASE WHEN n < 100 THEN 1800 WHEN n < 1000 THEN 7200 ELSE 14400 END AS timeout,
   CASE WHEN n < 100 THEN '8' WHEN n < 1000 THEN '8-15' ELSE '16-32' END AS memory_gb,
-  CASE WHEN n < 1000 THEN 'short' WHEN n < 5000 THEN 'medium' WHEN n < 10000 THEN 'long' ELSE 'very long' END AS run_class
+  CASE WHEN n < 1000 THEN 'short' WHEN n < 5000 THEN 'medium' WHEN n < 10000 THEN 'long' ELSE 'very long' END AS run_class,
+  CASE WHEN n < 1000 THEN 3600 WHEN n < 5000 THEN 18000 WHEN n < 10000 THEN 36000 ELSE 604800 END AS run_timeout
 FROM (SELECT c_custkey, abs(c_acctbal) * 1.2 AS n FROM customer)
 """)
 def k6_class(t: Inputs) -> DataFrame:
     n = F.abs("c_acctbal") * 1.2
     return t.customer.select("c_custkey", C.gather_class(n).alias("g"), C.run_class(n / 1000).alias("r")).select(
-        "c_custkey", "g.*", F.col("r.size_class").alias("run_class"))
+        "c_custkey", "g.*", F.col("r.size_class").alias("run_class"), F.col("r.timeout").alias("run_timeout"))
+
+
+# Classes as rows: neighbouring ones by nation, and wide ones that overlap them.
+CLASS_ROWS = """SELECT n_name AS class, n_nationkey * 400.0 AS low, (n_nationkey + 1) * 400.0 AS high FROM {nation}
+UNION ALL SELECT r_name, r_regionkey * 1000.0, CASE WHEN r_regionkey = 4 THEN NULL ELSE r_regionkey * 5000.0 END FROM {region}"""
+
+
+@query("k6_table", f"""
+SELECT class, count(*) AS n, round(sum(size), 2) AS total
+FROM (SELECT abs(c_acctbal) AS size FROM customer) JOIN ({CLASS_ROWS.format(nation="nation", region="region")})
+  ON size >= low AND (size < high OR high IS NULL) GROUP BY class
+""")
+def k6_table(t: Inputs) -> DataFrame:
+    """Size classes from tables, met through bins."""
+    sized = t.customer.select(F.abs("c_acctbal").alias("size"))
+    classed = C.in_classes(sized, "size", t.sql(CLASS_ROWS))
+    return classed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("size"), 2).alias("total"))
 
 
 @query("k7_override", """

@@ -18,7 +18,7 @@ SQL = {
             cast(o_custkey % 20 AS string) || '/' ||
             substr(replace(cast(o_orderdate AS string), '-', ''), 1, 8) || '-' ||
             lpad(cast(o_orderkey % 24 AS string), 2, '0') || lpad(cast(o_orderkey % 60 AS string), 2, '0') ||
-            '00-' || lpad(lower(hex(o_orderkey)), 8, '0') || '/' AS run_path
+            '00-' || lpad(lower(hex(o_orderkey)), cast(greatest(8, length(hex(o_orderkey))) AS int), '0') || '/' AS run_path
           FROM {orders}) o
         JOIN (
           SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'builder-artifacts/input_00000.pkl.gz'
@@ -41,7 +41,7 @@ SQL = {
           sum(value) AS value
         FROM {events} GROUP BY event_type, user_id, cast(ts AS date)""",
     "fx_executions": """
-        SELECT 'projects/p/locations/l/workflows/w/executions/' || lpad(lower(hex(o_orderkey)), 8, '0') || '-0000' AS name,
+        SELECT 'projects/p/locations/l/workflows/w/executions/' || lpad(lower(hex(o_orderkey)), cast(greatest(8, length(hex(o_orderkey))) AS int), '0') || '-0000' AS name,
           CASE WHEN o_orderstatus = 'O' THEN 'ACTIVE' WHEN o_orderstatus = 'F' THEN 'SUCCEEDED' ELSE 'FAILED' END AS state,
           substr(cast(o_orderdate AS string), 1, 10) || 'T00:00:00Z' AS start_time,
           CASE WHEN o_orderstatus = 'O' THEN NULL ELSE substr(cast(o_orderdate AS string), 1, 10) || 'T' ||
@@ -51,7 +51,7 @@ SQL = {
             ELSE '{{"exp_id": "flu/' || cast(o_custkey AS string) || '"}}' END AS argument
         FROM {orders}""",
     "fx_jobs": """
-        SELECT 'stage-b-' || lpad(lower(hex(l_orderkey)), 8, '0') AS job_id, 'runner' AS stage,
+        SELECT 'stage-b-' || lpad(lower(hex(l_orderkey)), cast(greatest(8, length(hex(l_orderkey))) AS int), '0') AS job_id, 'runner' AS stage,
           cast(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS bigint) AS succeeded,
           cast(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS bigint) AS failed,
           cast(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS bigint) AS running, 0 AS pending

@@ -65,12 +65,31 @@ def j5_exp_id(t: Inputs) -> DataFrame:
     return J.with_experiment(executions(t)).select("name", "exp_id")
 
 
-@query("j6_sorted", """
-SELECT name, end_time FROM fx_executions WHERE state IN ('SUCCEEDED', 'FAILED', 'CANCELLED') ORDER BY end_time DESC, name LIMIT 25
-""", "fx_executions")
+def order_sql(order: str, columns: str, source: str) -> str:
+    return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS rank FROM {source}"
+
+
+# The three orders of lists, each whole and with its places.
+@query("j6_sorted", order_sql("end_time DESC, name", "name, end_time", "fx_executions WHERE state IN ('SUCCEEDED', 'FAILED', 'CANCELLED')"),
+       "fx_executions")
 def j6_sorted(t: Inputs) -> DataFrame:
-    recent = J.with_state(executions(t), J.RECENT_EXECUTION)
-    return J.recent_order(recent).select("name", "end_time").limit(25)
+    return J.ranked(J.with_state(executions(t), J.RECENT_EXECUTION), J.recent_order).select("name", "end_time", "rank")
+
+
+@query("j6_active", order_sql("exp_id, name", "name, exp_id", """(SELECT name, CASE WHEN json_valid(argument)
+  THEN coalesce(argument->>'$.exp_id', 'unknown') ELSE 'unknown' END AS exp_id FROM fx_executions WHERE state = 'ACTIVE')"""), "fx_executions")
+def j6_active(t: Inputs) -> DataFrame:
+    active = J.with_experiment(J.with_state(executions(t), J.ACTIVE_EXECUTION))
+    return J.ranked(active, J.active_order).select("name", "exp_id", "rank")
+
+
+CREATED = """SELECT 'stage-b-' || cast(l_orderkey AS string) AS job_id, cast(max(cast(l_shipdate AS date)) AS string) || 'T00:00:00Z' AS create_time
+FROM {lineitem} GROUP BY l_orderkey"""
+
+
+@query("j6_jobs", order_sql("create_time DESC, job_id", "job_id, create_time", f"({CREATED.format(lineitem='lineitem')})"))
+def j6_jobs(t: Inputs) -> DataFrame:
+    return J.ranked(t.sql(CREATED), J.newest_jobs).select("job_id", "create_time", "rank")
 
 
 @query("j7_enrich", """
@@ -99,13 +118,28 @@ TEXT = """CASE WHEN s < 0 THEN '0s' WHEN s < 60 THEN s || 's'
   ELSE (s // 86400) || 'd' || CASE WHEN s % 86400 // 3600 > 0 THEN ' ' || (s % 86400 // 3600) || 'h' ELSE '' END END"""
 
 
+# What one execution shows, in words of both engines: argument, result and error as the service hands them out.
+DETAIL = {
+    "argument": """CASE WHEN argument = 'not json' THEN argument ELSE replace(argument, '}', ', "profile": "p' || substr(start_time, 4, 1) ||
+      CASE WHEN substr(start_time, 7, 1) = '1' THEN '' ELSE '", "billingProject": "b' || substr(start_time, 7, 1) END || '"}') END""",
+    "result": """CASE state WHEN 'SUCCEEDED' THEN '{"month": ' || substr(start_time, 7, 1) || '}' END""",
+    "error": "CASE state WHEN 'FAILED' THEN 'failed at ' || end_time END",
+}
+
+
+def argument_sql(field: str) -> str:
+    return f"CASE WHEN json_valid(argument) THEN coalesce(argument->>'$.{field}', '') ELSE '' END"
+
+
 @query("j9_detail", f"""
 SELECT string_split(name, '/')[-1] AS execution_id, state, start_time, end_time, {TEXT} AS duration,
-  CASE WHEN json_valid(argument) THEN coalesce(argument->>'$.exp_id', '') ELSE '' END AS exp_id, argument
-FROM (SELECT *, {SECONDS} AS s FROM fx_executions)
+  {argument_sql("exp_id")} AS exp_id, {argument_sql("profile")} AS profile, {argument_sql("billingProject")} AS billing_project,
+  argument, result, error
+FROM (SELECT name, state, start_time, end_time, {SECONDS} AS s, {", ".join(f"{e} AS {c}" for c, e in DETAIL.items())} FROM fx_executions)
 """, "fx_executions")
 def j9_detail(t: Inputs) -> DataFrame:
-    detail = J.execution_detail(executions(t), NOW).drop("profile", "billing_project")
+    shown = executions(t).selectExpr("name", "state", "start_time", "end_time", *[f"{e} AS {c}" for c, e in DETAIL.items()])
+    detail = J.execution_detail(shown, NOW)
     return detail.withColumn("exp_id", F.coalesce(F.get_json_object("argument", "$.exp_id"), F.lit("")))
 
 

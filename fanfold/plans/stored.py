@@ -71,6 +71,24 @@ def s4_roundtrip(t: Inputs) -> DataFrame:
     return back
 
 
+@query("s6_documents", """
+SELECT c_mktsegment AS segment, count(*) AS n_documents, sum(c_custkey) AS keys, count(*) FILTER (c_acctbal < 0) AS n_negative
+FROM customer GROUP BY 1
+""")
+def s6_documents(t: Inputs) -> DataFrame:
+    """One folder per segment with JSON documents over several lines, objects and arrays of objects, read back as rows."""
+    root, row = fresh(t), F.struct("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    one = t.customer.where("c_custkey % 100 = 0").select("c_mktsegment", "c_custkey", F.array(row).alias("rows"))
+    many = t.customer.where("c_custkey % 100 <> 0").groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 100).alias("c_custkey")).agg(
+        F.collect_list(row).alias("rows"))
+    texts = one.unionByName(many).select("c_mktsegment", F.to_json("rows", {"pretty": "true"}).alias("value"))
+    # A text file holds one document each, so files are dealt by their own key.
+    texts.withColumn("file", F.monotonically_increasing_id()).write.partitionBy("c_mktsegment", "file").text(root)
+    read = files.read_json_documents(t.spark, root, "c_custkey BIGINT, c_acctbal DOUBLE, c_mktsegment STRING")
+    return read.groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum("c_custkey").alias("keys"), F.count_if(F.col("c_acctbal") < 0).alias("n_negative"))
+
+
 @query("s8_outputs", """
 SELECT 'results' AS "table", 'parquet' AS format, true AS saved, count(*) AS n FROM fx_results
 UNION ALL SELECT 'runs', 'csv.gz', true, count(*) FROM fx_runs UNION ALL SELECT 'figure', '', false, 0
