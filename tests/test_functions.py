@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import random
 import re
 from datetime import datetime, timezone
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from fanfold.functions import paths as P
 from fanfold.functions import rules as Q
 from fanfold.functions import scalars as S
-from fanfold.operators.catalog import expand_patterns
+from fanfold.operators.catalog import expand_patterns, match_patterns
 
 
 def values(spark, texts, make, kind="STRING"):
@@ -49,6 +50,28 @@ def test_names_and_folders_mean_what_lies_below_too(spark):
     assert expand_patterns(spark, ["b/", "a*"]) == ["a*", "b", "b/*"]
 
 
+def test_patterns_in_a_column_mean_the_same(spark):
+    rng = random.Random(3)
+    patterns = ["".join(rng.choice("ab-[]!?*/.^\\é") for _ in range(rng.randrange(9))) for _ in range(600)]
+    names = ["".join(rng.choice("ab-[]!/.^\\é") for _ in range(rng.randrange(6))) for _ in range(60)]
+    df = spark.createDataFrame([(p,) for p in patterns], "p STRING").withColumn("r", P.glob_regex_of(F.col("p")))
+    for row in df.collect():
+        regex = re.compile(row.r.replace(r"\z", r"\Z"))
+        assert [n for n in names if regex.match(n)] == [n for n in names if fnmatch.fnmatchcase(n, row.p)], row
+
+
+def test_tables_of_patterns(spark):
+    rng = random.Random(9)
+    names = sorted({f"{rng.choice(['flu', 'rsv', 'f'])}/{rng.choice(['y2030', 'y2031'])}/{'n' * rng.randrange(40)}{rng.randrange(9)}" for _ in range(200)})
+    patterns = ["*", "", "flu/*", "rsv/y203[!1]/*", "f/y2030/nnnn?", "*/n*3", "flu/y2030/" + "n" * 20 + "*", names[0], names[5] + "*", "?su/*", "zzz"]
+    df = spark.createDataFrame([(n, 1) for n in names], "name STRING, one INT")
+    table = spark.createDataFrame(list(enumerate(patterns)), "number INT, pattern STRING")
+    found = match_patterns(df, "name", table)
+    assert found.columns == ["name", "one", "number", "pattern"]
+    assert sorted((r.name, r.number) for r in found.collect()) == sorted(
+        (n, i) for n in names for i, p in enumerate(patterns) if fnmatch.fnmatchcase(n, p))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab-[]!?*/.^", max_size=8), st.text("ab-[]!?*/.^", max_size=8))
 def test_matches_begin_with_the_literal_part(pattern, name):
@@ -107,6 +130,23 @@ def test_local_time_follows_summer_time(spark):
     assert got == ["2025-01-07 05:30:00 EST", "2025-07-07 06:30:00 EDT", "bad"]
 
 
+# Instants and what clocks showed there.
+CLOCKS = [
+    ("Europe/Moscow", "2005-07-01T00:00:00Z", "2005-07-01 04:00:00 MSD"), ("Europe/Moscow", "2005-12-01T00:00:00Z", "2005-12-01 03:00:00 MSK"),
+    ("Europe/Moscow", "2012-07-01T00:00:00Z", "2012-07-01 04:00:00 MSK"), ("Europe/Moscow", "2020-07-01T00:00:00Z", "2020-07-01 03:00:00 MSK"),
+    ("Europe/Istanbul", "2015-07-01T12:00:00Z", "2015-07-01 15:00:00 EEST"), ("Europe/Istanbul", "2020-07-01T12:00:00Z", "2020-07-01 15:00:00 +03"),
+    ("Europe/London", "1970-01-01T00:00:00Z", "1970-01-01 01:00:00 BST"), ("Europe/London", "2026-01-01T00:00:00Z", "2026-01-01 00:00:00 GMT"),
+    ("America/New_York", "2026-03-08T06:59:59Z", "2026-03-08 01:59:59 EST"), ("America/New_York", "2026-03-08T07:00:00Z", "2026-03-08 03:00:00 EDT"),
+    ("America/New_York", "1944-07-01T00:00:00Z", "1944-06-30 20:00:00 EWT"), ("UTC", "2026-03-08T07:00:00Z", "2026-03-08 07:00:00 UTC"),
+]
+
+
+def test_zone_names_are_those_of_the_instant(spark):
+    for zone in sorted({c[0] for c in CLOCKS}):
+        mine = [c for c in CLOCKS if c[0] == zone]
+        assert values(spark, [c[1] for c in mine], lambda c, z=zone: S.fmt_local(c, z)) == [c[2] for c in mine]
+
+
 def test_duration_text(spark):
     seconds = [0, 17, 120, 134, 7200, 15000, 172800, 190800, -3, None]
     assert values(spark, seconds, S.duration_text, "BIGINT") == [
@@ -140,12 +180,22 @@ def test_rules(spark):
     reason = lambda rule: lambda c: rule(c)["reason"]
     assert values(spark, ["a/b-c_1", " a ", "", "\t", "a/../b", "a\\b", "a b", "x" * 201, None], reason(Q.check_exp_id)) == [
         None, None, "empty", "empty", "path traversal", "path traversal", "invalid characters", "too long", "empty"]
-    runs = ["20191107-143052-a1b2c3d4", "20251307-143052-a1b2c3d4", "20251132-143052-a1b2c3d4", "20251107-243052-a1b2c3d4",
-            "20251107-146052-a1b2c3d4", "20251107-143060-a1b2c3d4", "2031-03-09", "a.b"]
-    assert values(spark, runs, reason(Q.check_run_id)) == ["year", "month", "day", "hour", "minute", "second", None, "format"]
     assert values(spark, ["n2-standard-4", "N2-standard", "n2"], reason(Q.check_machine)) == [None, "format", "format"]
 
 
+def test_run_id_fields_are_checked_in_turn(spark):
+    """Ids made from their fields; the first field outside its range is the reason."""
+    ranges = {"year": (2020, 2100), "month": (1, 12), "day": (1, 31), "hour": (0, 23), "minute": (0, 59), "second": (0, 59)}
+    rng, ids, expected = random.Random(6), [], []
+    for _ in range(300):
+        fields = [rng.choice([low - (low > 0), low, rng.randint(low, high), high, high + 1]) if rng.random() < 0.4 else rng.randint(low, high)
+                  for low, high in ranges.values()]
+        ids.append("{:04}{:02}{:02}-{:02}{:02}{:02}-".format(*fields) + f"{rng.randrange(16 ** 8):08x}")
+        expected.append(next((n for n, f in zip(ranges, fields) if not ranges[n][0] <= f <= ranges[n][1]), None))
+    got = values(spark, [*ids, "2044-05-06", "x.y"], lambda c: Q.check_run_id(c)["reason"])
+    assert got == [*expected, None, "format"] and len(set(expected)) == 7
+
+
 def test_labels_are_cut_before_they_are_stripped(spark):
     texts = ["test/Flu 1", "--a__", "é/x", "x" * 62 + "-y", "a.b"]
     assert values(spark, texts, Q.sanitize_label) == ["test-flu-1", "a", "é-x", "x" * 62, "a-b"]

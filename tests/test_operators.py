@@ -325,6 +325,32 @@ def test_layers_merge_like_nested_dictionaries(spark, rows):
     assert rows(G.merge_layers(merged)) == rows(merged)
 
 
+def test_a_parent_of_very_many_keys_is_salted_by_their_number(spark, rows):
+    data = [("s", f"a.k{i}", str(i), i % 2 * 2) for i in range(500)] + [("s", "a", "whole", 1), ("t", "a", "whole", 2), ("t", "a.b", "x", 1)]
+    df = spark.createDataFrame(data, "scope STRING, key_path STRING, value STRING, layer INT")
+    kept = rows(G.merge_layers(df, children_per_salt=7), "scope", "key_path", "value")
+    # Layer 1 put a value in the subtree's place; layer 2 set keys below it again.
+    assert kept == sorted([("s", f"a.k{i}", str(i)) for i in range(500) if i % 2] + [("t", "a", "whole")], key=repr)
+    assert kept == rows(G.merge_layers(df), "scope", "key_path", "value")
+
+
+def test_classes_of_sizes(spark):
+    rng = random.Random(7)
+    bounds = [(f"c{i}", round(rng.uniform(0, 50) ** 2, 2)) for i in range(30)]
+    classes = [(c, low, None if i % 7 == 0 else low + rng.choice([0.0, 0.5, 3.0, 1e6])) for i, (c, low) in enumerate(bounds)]
+    sizes = [round(rng.uniform(0, 55) ** 2, 2) for _ in range(300)] + [0.0, 1.0, 2.0, 1024.0] + [low for _, low in bounds]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(sizes)], "k INT, v DOUBLE")
+    table = spark.createDataFrame(classes, "class STRING, low DOUBLE, high DOUBLE")
+    got = sorted((r.k, r["class"]) for r in K.in_classes(df, "v", table).collect())
+    assert got == sorted((i, c) for i, v in enumerate(sizes) for c, low, high in classes if low <= v and (high is None or v < high))
+
+
+def test_usage_is_grouped_before_it_is_rolled_up(spark):
+    df = spark.createDataFrame([("e", "r", 5)], "exp_id STRING, run_id STRING, length BIGINT")
+    plan = C.storage_usage(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.rindex("Aggregate")
+
+
 def test_required_fields(spark, rows):
     df = spark.createDataFrame([("s", "a", "x"), ("s", "b", "your-b"), ("s", "c", "")], "scope STRING, key_path STRING, value STRING")
     got = rows(G.required_fields(df, df.select("scope").distinct(), ["a", "b", "c", "d"]), "key_path", "ok")
@@ -391,10 +417,10 @@ def test_log_terms_are_not_read_as_patterns(spark):
 
 
 def test_console_and_json_lines(spark):
-    lines = ["2025-11-07 10:30:00 runner INFO [Task 3] done: a\nb", "2025-11-07 10:30:00 output ERROR failed", "garbage"]
+    lines = ["2031-02-03 04:05:06 builder WARNING [Task 12] wrote: x\ny", "2031-02-03 04:05:07 runner DEBUG idle", "no line of ours"]
     df = spark.createDataFrame([(x,) for x in lines], "line STRING").select(L.parse_console_line(F.col("line")).alias("p"))
-    assert [tuple(r.p) for r in df.collect()] == [("2025-11-07 10:30:00", "runner", "INFO", 3, "done: a\nb"),
-                                                  ("2025-11-07 10:30:00", "output", "ERROR", None, "failed"), (None,) * 5]
+    assert [tuple(r.p) for r in df.collect()] == [("2031-02-03 04:05:06", "builder", "WARNING", 12, "wrote: x\ny"),
+                                                  ("2031-02-03 04:05:07", "runner", "DEBUG", None, "idle"), (None,) * 5]
     one = spark.range(1).select(L.parse_json_line(F.lit('{"stage": "runner", "task_index": 4, "extra": {"a": 1}}')).alias("p")).first().p
     assert (one.stage, one.task_index, one.extras) == ("runner", 4, {"extra": '{"a":1}'})
 

@@ -16,6 +16,7 @@ from fanfold.operators.logs import fresh
 from fanfold.operators.metrics import align_mean
 from fanfold.session import materialize, shared_dir
 from fanfold.sources import files, records
+from fanfold.sources.catalogue import files_below, read_catalogue, write_catalogue
 from fanfold.streaming import follow, landing, watch
 
 
@@ -43,6 +44,21 @@ def test_manifest_prefixes_reach_the_scan(spark, tmp_path):
     assert [r.path for r in df.collect()] == ["p/a/x"]
 
 
+def test_a_catalogue_opens_only_files_that_can_match(spark, tmp_path, rows):
+    names = [f"p/y{2000 + i % 40}/exp{i % 7}/f{i}" for i in range(4000)] + ["p/y2004/odd name", "p/z", "q/y2004/exp1/f"]
+    listing = spark.createDataFrame([(n, len(n)) for n in names], "path STRING, length BIGINT")
+    root = str(tmp_path / "catalogue")
+    write_catalogue(listing, root, 10)
+    for patterns in (["y2004/*"], ["y2004/exp1/*", "y203[0-3]*"], ["z"], ["nothing*"], ["*"]):
+        starts = ["p/" + p.split("*")[0].split("[")[0] for p in patterns]
+        found = read_catalogue(spark, root, "p/", patterns)
+        assert rows(found) == sorted(((n, len(n)) for n in names if n.startswith(tuple(starts))), key=repr)
+    stored = len(list((tmp_path / "catalogue" / "data").glob("*.parquet")))
+    narrow = read_catalogue(spark, root, "p/", ["y2004/exp1/*"])
+    assert stored == 10 and len(narrow.inputFiles()) == 1 and len(files_below(spark, root, ["p/y2004/exp1/", "p/y2031/"])) <= 4
+    assert "PushedFilters: [StringStartsWith(path,p/y2004/exp1/)" in narrow._jdf.queryExecution().executedPlan().toString().replace("IsNotNull(path), ", "")
+
+
 def test_outputs_are_zipped_counted_and_never_replaced(spark, tmp_path):
     table = spark.createDataFrame([(1, "a"), (2, None)], "k INT, v STRING")
     report = files.write_outputs(spark, {"t": table, "p": (table, "parquet"), "fig": object()}, str(tmp_path), "20240101-000000", "m")
