@@ -163,6 +163,12 @@ def literal_part(pattern: str) -> str:
     return re.split(r"[*?\[]", pattern, maxsplit=1)[0]
 
 
+def folder_part(pattern: str) -> str:
+    """The folder in which a scan for a pattern begins; a pattern without wildcard is its own."""
+    literal = literal_part(pattern)
+    return pattern.rstrip("/") if literal == pattern else literal.rpartition("/")[0]
+
+
 def meanings(pattern: Column) -> Column:
     """The patterns a given one stands for, as an array. A name or folder (``name``, ``name/``) stands for itself
     and for all that lies below; a pattern with a wildcard only for itself."""

@@ -48,13 +48,16 @@ def experiment_runs(df: DataFrame, prefix: str) -> DataFrame:
         P.head_exp(F.col("__head")).alias("exp_id"), P.head_run(F.col("__head")).alias("run_id"))
 
 
-def visible(exps: DataFrame, max_depth: int = 10) -> DataFrame:
+def visible(exps: DataFrame, max_depth: int = 10, patterns: Sequence[str] = ("*",)) -> DataFrame:
     """Rows of experiments (``exp_id`` unique) that are not too deep and not below another one.
 
-    ``exps`` is read three times, so pass a stored or materialized frame.
+    Depth counts from the folder a scan for one of the patterns begins in. ``exps`` is read three times, so pass a stored or
+    materialized frame.
     """
     parts = F.split("exp_id", "/")
-    shallow = exps.where((F.col("exp_id") != "") & (F.size(parts) < max_depth))
+    near = [F.concat(F.col("exp_id"), F.lit("/")).startswith(f"{start}/" if start else "")
+            & (F.size(parts) - len(start.split("/") if start else []) < max_depth) for start in sorted({P.folder_part(p) for p in patterns})]
+    shallow = exps.where((F.col("exp_id") != "") & P.any_of(near))
     parents = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
                           lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     above = (shallow.where(F.size(parts) > 1)
@@ -169,13 +172,13 @@ def match_outputs(artifacts: DataFrame, runs: DataFrame, patterns: Sequence[str]
 
 
 def retrieval_plan(df: DataFrame, prefix: str, patterns: Sequence[str],
-                   files: Sequence[str] | None = None) -> DataFrame:
-    """Per matching experiment: latest run, number of runs, wanted files.
+                   files: Sequence[str] | None = None, max_depth: int = 10) -> DataFrame:
+    """Per matching experiment, at most ``max_depth`` deep in its pattern's folder: latest run, number of runs, wanted files.
 
     One scan gives one row per experiment; that short table is written once and the rest works on it.
     """
     found = materialize(latest_runs(experiment_runs(scan_below(df, prefix, patterns), prefix)))
-    kept = glob_filter(visible(found), "exp_id", patterns)
+    kept = glob_filter(visible(found, max_depth, patterns), "exp_id", patterns)
     return kept.select("exp_id", "run_id", "n_runs", _targets(files).alias("targets"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanfold.operators import results as R
@@ -116,58 +116,42 @@ def r5_projections(t: Inputs) -> DataFrame:
     return rounded(R.explode_projections(scenarios(t)))
 
 
-def posterior_input(t: Inputs, particles: int | None = None) -> DataFrame:
-    """Per task two generations; the vector's halves, or ``particles`` values each of its beginning, are the two parameters."""
-    n = F.floor(F.size("embedding") / 2).cast("int") if particles is None else F.lit(particles)
+def posterior_input(t: Inputs) -> DataFrame:
+    """Per task two generations; the vector's halves are the two parameters."""
+    n = F.floor(F.size("embedding") / 2).cast("int")
 
     def generation(number: int, factor: int):
         particle = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.create_map(
             F.lit("beta"), F.get("embedding", i) * factor, F.lit("gamma"), F.get("embedding", i + n) * factor))
         return F.struct(F.lit(number).alias("generation"), particle.alias("particles"))
 
-    vectors = t.embeddings.where(F.size("embedding") >= 2) if particles is None else t.embeddings
-    return vectors.select(F.col("vec_id").alias("task_index"),
+    return t.embeddings.where(F.size("embedding") >= 2).select(F.col("vec_id").alias("task_index"),
                           F.array(generation(0, 1), generation(1, 2)).alias("generations"))
 
 
 def posterior_sql(generations: str) -> str:
     return f"""
-SELECT vec_id AS task_index, g.generation, p.particle_id::integer AS particle_id, unnest(['beta', 'gamma']) AS parameter,
-  unnest([round(embedding[p.particle_id + 1]::double * (g.generation + 1), 5),
-          round(embedding[p.particle_id + 5]::double * (g.generation + 1), 5)]) AS value
-FROM embeddings, (SELECT unnest({generations}) AS generation) g, (SELECT unnest(range(4)) AS particle_id) p"""
+SELECT vec_id AS task_index, generation, i::integer AS particle_id, unnest(['beta', 'gamma']) AS parameter,
+  unnest([round(embedding[i + 1]::double * (generation + 1), 5) + 0.0::double,
+          round(embedding[i + 1 + len(embedding) // 2]::double * (generation + 1), 5) + 0.0::double]) AS value
+FROM (SELECT *, unnest(range(len(embedding) // 2)) AS i FROM embeddings), (SELECT unnest({generations}) AS generation)"""
 
 
 def five(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+# As many particles as half a vector's elements. Adding 0.0 makes DuckDB's rounded -0.0 Spark's 0.0. Both names of each
+# query read whole vectors.
+@query("r6_whole", posterior_sql("[0, 1]"))
 @query("r6_posteriors", posterior_sql("[0, 1]"))
 def r6_posteriors(t: Inputs) -> DataFrame:
-    return five(R.posteriors(posterior_input(t, 4)))
+    return five(R.posteriors(posterior_input(t)))
 
 
+@query("r6_whole_final", posterior_sql("[1]"))
 @query("r6_final", posterior_sql("[1]"))
 def r6_final(t: Inputs) -> DataFrame:
-    return five(R.posteriors(posterior_input(t, 4), last_only=True))
-
-
-def whole_posterior_sql(generations: str) -> str:
-    return f"""
-SELECT vec_id AS task_index, generation, i::integer AS particle_id, unnest(['beta', 'gamma']) AS parameter,
-  unnest([round(embedding[i + 1]::double * (generation + 1), 5) + 0.0::double,
-          round(embedding[i + 1 + len(embedding) // 2]::double * (generation + 1), 5) + 0.0::double]) AS value
-FROM (SELECT *, unnest(range(len(embedding) // 2)) AS i FROM embeddings), (SELECT unnest({generations}) AS generation)"""
-
-
-# Whole vectors: as many particles as half their elements. Adding 0.0 makes DuckDB's rounded -0.0 Spark's 0.0.
-@query("r6_whole", whole_posterior_sql("[0, 1]"))
-def r6_whole(t: Inputs) -> DataFrame:
-    return five(R.posteriors(posterior_input(t)))
-
-
-@query("r6_whole_final", whole_posterior_sql("[1]"))
-def r6_whole_final(t: Inputs) -> DataFrame:
     return five(R.posteriors(posterior_input(t), last_only=True))
 
 
@@ -181,26 +165,18 @@ def r7_dates(t: Inputs) -> DataFrame:
                              .cast("string").alias("start_date"))
 
 
-@query("r8_particles", """
-SELECT vec_id AS task_index, label AS generation, cast(unnest(range(8)) AS integer) AS particle_id,
-  unnest(list_transform(embedding[1:8], lambda x: round(abs(x)::double, 5))) AS distance,
-  unnest(list_transform(embedding[9:16], lambda x: round(x::double, 5))) AS weight FROM embeddings
-""")
-def r8_particles(t: Inputs) -> DataFrame:
-    return halves(t, F.lit(8))
-
-
-@query("r8_whole", """
+PARTICLE_SQL = """
 SELECT vec_id AS task_index, label AS generation, i::integer AS particle_id, round(abs(embedding[i + 1])::double, 5) AS distance,
   round(embedding[i + 1 + len(embedding) // 2]::double, 5) + 0.0::double AS weight
 FROM (SELECT *, unnest(range(len(embedding) // 2)) AS i FROM embeddings)
-""")
-def r8_whole(t: Inputs) -> DataFrame:
-    return halves(t, F.floor(F.size("embedding") / 2).cast("int"))
+"""
 
 
-def halves(t: Inputs, n: Column) -> DataFrame:
-    """``n`` particles of each vector: distances, then weights."""
+@query("r8_whole", PARTICLE_SQL)
+@query("r8_particles", PARTICLE_SQL)
+def r8_particles(t: Inputs) -> DataFrame:
+    """As many particles as half a vector's elements: distances, then weights."""
+    n = F.floor(F.size("embedding") / 2).cast("int")
     source = t.embeddings.select(F.col("vec_id").alias("task_index"), F.col("label").alias("generation"),
                                  F.transform(F.slice("embedding", 1, n), F.abs).alias("distances"),
                                  F.slice("embedding", n + 1, n).alias("weights"))

@@ -17,6 +17,7 @@ from fanfold.plans.registry import Inputs, query
 from fanfold.plans.tasks import STAGE
 from fanfold.session import shared_dir
 from fanfold.sources import files, records
+from fanfold.sources.walk import walk_store
 from fanfold.streaming import follow, landing, watch
 
 PAGE_ROWS = 100
@@ -49,6 +50,19 @@ def s1_listing(t: Inputs) -> DataFrame:
     return found.groupBy(index.alias("task_index")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
+@query("s1_walk", """
+SELECT task_index::integer AS task_index, status, count(DISTINCT (task_index, status)) AS n_files FROM fx_results GROUP BY ALL
+""", "fx_results")
+def s1_walk(t: Inputs) -> DataFrame:
+    """The same store, listed folder by folder in tasks."""
+    root = fresh(t)
+    t.fx("fx_results").repartition("task_index", "status").write.partitionBy("task_index", "status").parquet(root)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1)
+    found = walk_store(t.spark, root).where(F.col("path").endswith(".parquet") & (F.col("length") > 0))
+    return found.groupBy(part("task_index").cast("int").alias("task_index"), part("status").alias("status")).agg(
+        F.count(F.lit(1)).alias("n_files"))
+
+
 @query("s1_manifest", f"""
 SELECT path, length FROM fx_artifacts WHERE starts_with(path, '{PREFIX}1995') OR starts_with(path, '{PREFIX}199702/')
 """, "fx_artifacts")

@@ -17,6 +17,7 @@ from fanfold.operators.metrics import align_mean
 from fanfold.session import materialize, shared_dir
 from fanfold.sources import files, records
 from fanfold.sources.catalogue import files_below, read_catalogue, write_catalogue
+from fanfold.sources.walk import walk_store
 from fanfold.streaming import follow, landing, watch
 
 
@@ -31,6 +32,17 @@ def test_listing_is_recursive_sorted_and_empty_for_absent_folders(spark, tmp_pat
     assert files.list_artifacts(spark, str(tmp_path / "absent")).count() == 0
 
 
+def test_walking_equals_listing(spark, tmp_path, rows):
+    for name in ("top", "a/b/c/d/e/deep.gz", "a/b/x", "a/_SUCCESS", ".hidden/x", "_temporary/y", "k=_v/_n=1/z", "empty folder/"):
+        target = tmp_path / "root" / name
+        (target if name.endswith("/") else target.parent).mkdir(parents=True, exist_ok=True)
+        if not name.endswith("/"):
+            target.write_bytes(b"x" * len(name))
+    for root in (str(tmp_path / "root"), f"file://{tmp_path}/root/"):
+        assert rows(walk_store(spark, root, folders_per_task=1)) == rows(files.list_artifacts(spark, root))
+    assert walk_store(spark, str(tmp_path / "root")).count() == 4 and walk_store(spark, str(tmp_path / "none")).isEmpty()
+
+
 def test_listing_never_reads_contents(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"1")
     plan = files.list_artifacts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
