@@ -13,10 +13,12 @@ longer than a bin give full pieces and a shorter last one. An empty table gives
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,13 @@ TARGETS = 64  # underfull bins that one step of the search looks at
 CACHED_WORDS = 500_000
 CLOSING_ID = 0
 
+# Letters below U+0600 that stay single letters in every normal form and case.
+_LETTERS = "".join(re.escape(c) for c in map(chr, range(0x80, 0x600))
+                   if c.isalpha() and c.lower().isalpha() and len(c.lower()) == 1 and normalize("NFC", c) == c)
+# Words of these signs fall into units by the tokenizer's own rule: contractions, letters, single digits, other signs.
+SIMPLE = re.compile(f"[!-~{_LETTERS}]+")
+UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{_LETTERS}]+|[0-9]|[^a-zA-Z0-9{_LETTERS}]+")
+
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,6 +62,7 @@ def word_coder(path: str):
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
     cache: dict[bytes, bytes] = {}
 
     def one_by_one(words: list[bytes]) -> None:
@@ -61,7 +71,8 @@ def word_coder(path: str):
 
     def together(words: list[bytes]) -> None:
         """Words of letters only, as one text; each is one unit, whose last token bears the word-end mark."""
-        ids = np.array(tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        text = b" ".join(words).decode()
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(ends[ids]) + 1
         if len(stops) != len(words):  # the tokenizer divides a word that looks whole here
             return one_by_one(words)
@@ -70,21 +81,35 @@ def word_coder(path: str):
             cache[word] = packed[begin:stop]
             begin = stop
 
+    def has_added(word: bytes) -> bool:
+        lower = word.lower()
+        return any(token in lower for token in added)
+
     def learn(new: set[bytes]) -> None:
-        # After an ASCII letter or digit, a last full stop or comma is a unit of its own.
-        stopped = [w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
-        plain = new.difference(stopped)
-        plain.update(w[:-1] for w in stopped if w[:-1] not in cache)
-        plain.update(w[-1:] for w in stopped if w[-1:] not in cache)
-        whole = [w for w in plain if w.isalpha() or w.decode().isalpha()]
-        for at in range(0, len(whole), 1000):
-            together(whole[at:at + 1000])
-        one_by_one([w for w in plain if w not in cache])
-        for w in stopped:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
+        units, whole = {}, []
+        for word in new:
+            text = word.decode()
+            if SIMPLE.fullmatch(text) and not (b"<|" in word and has_added(word)):
+                units[word] = [u.encode() for u in UNIT.findall(text)]
+            else:
+                whole.append(word)
+        plain = set().union(*units.values()).difference(cache)
+        letters = [w for w in plain if w.decode().isalpha()] + [w for w in whole if w.decode().isalpha()]
+        for at in range(0, len(letters), 1000):
+            together(letters[at:at + 1000])
+        one_by_one([w for w in (*plain, *whole) if w not in cache])
+        for word, parts in units.items():
+            if len(parts) > 1:
+                cache[word] = b"".join(map(cache.__getitem__, parts))
+
+    def words_of(text: bytes) -> list[bytes]:
+        # Added tokens are matched before anything is lower-cased, so words that hold one in any case stay as they are.
+        if b"<|" in text and has_added(text):
+            return [w if has_added(w) else w.lower() for w in text.split()]
+        return text.lower().split()
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
+        split = [words_of(t) for t in texts]
         if len(cache) > CACHED_WORDS:
             cache.clear()
         learn(set().union(*split).difference(cache))

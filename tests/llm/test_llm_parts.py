@@ -53,6 +53,30 @@ def test_words_are_coded_as_in_the_whole_text(texts):
     assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+ADDED = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|end", "oftext|>", "<|"]
+PIECES = [*ADDED, "don't", "'S", "we're", "'", "''s", "$$", "A", "x1", "42", ".", ",", "İ", "ǅ", "É", "é", "e\u0301", "ſ", "中", "文字", "\u00a0", "\x85",
+          "²", "\u0345", "Σ", "ς", "ı", "ß", "ﬁ", "\u0130", "١", "-", "\u2019s", " ", " ", " ", "\n", "\x1c"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=3))
+def test_word_codes_with_added_tokens_and_odd_letters(texts):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    plain, coded = Tokenizer.from_file(path), packing.word_coder(path)([t.encode() for t in texts])
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_simple_letter_is_one():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    texts = [f"a{chr(c)}b$ {chr(c)} x{chr(c)}" for c in range(0x21, 0x600) if not 0xd800 <= c < 0xe000]
+    plain, coded = Tokenizer.from_file(path), packing.word_coder(path)([t.encode() for t in texts])
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("low, high, n", [(1, 2047, 500), (300, 1200, 400), (1, 60, 800), (1025, 2047, 50), (2047, 2047, 3)])
 def test_local_search_keeps_documents_and_never_adds_bins(low, high, n):
     lengths = sorted((random.Random(n).randint(low, high) for _ in range(n)), reverse=True)
