@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.llm.common import as_bytes, bounded_cache, id_and_text
+from fanfold.llm.common import WORD_GAPS, as_bytes, bounded_cache, id_and_text
 from fanfold.session import materialize
 
 CAPACITY = 2048
@@ -42,6 +42,10 @@ _LETTERS = "".join(re.escape(c) for c in map(chr, range(0x80, 0x600))
 SIMPLE = re.compile(f"[!-~{_LETTERS}]+")
 UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{_LETTERS}]+|[0-9]|[^a-zA-Z0-9{_LETTERS}]+")
 
+# In a text of these signs all bytes above ASCII belong to letters, so its units are found in its bytes.
+PLAIN = frozenset(WORD_GAPS + "".join(map(chr, range(0x21, 0x7F))) + _LETTERS.replace("\\", ""))
+UNIT_BYTES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+").findall
+
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -86,30 +90,32 @@ def word_coder(path: str):
         return any(token in lower for token in added)
 
     def learn(new: set[bytes]) -> None:
-        units, whole = {}, []
+        letters, others, units = [], [], {}
         for word in new:
+            (letters if word.isalpha() or word.decode().isalpha() else others).append(word)
+        for word in others:
             text = word.decode()
             if SIMPLE.fullmatch(text) and not (b"<|" in word and has_added(word)):
                 units[word] = [u.encode() for u in UNIT.findall(text)]
-            else:
-                whole.append(word)
-        plain = set().union(*units.values()).difference(cache)
-        letters = [w for w in plain if w.decode().isalpha()] + [w for w in whole if w.decode().isalpha()]
+        letters += [u for u in set().union(*units.values()).difference(cache) if u.decode().isalpha()]
         for at in range(0, len(letters), 1000):
             together(letters[at:at + 1000])
-        one_by_one([w for w in (*plain, *whole) if w not in cache])
+        one_by_one([u for u in {*others, *(u for parts in units.values() for u in parts)} if u not in cache
+                    and (u not in units or len(units[u]) == 1)])
         for word, parts in units.items():
             if len(parts) > 1:
                 cache[word] = b"".join(map(cache.__getitem__, parts))
 
-    def words_of(text: bytes) -> list[bytes]:
+    def units_of(text: bytes) -> list[bytes]:
+        """Units of a text of plain signs, words of any other."""
         # Added tokens are matched before anything is lower-cased, so words that hold one in any case stay as they are.
         if b"<|" in text and has_added(text):
             return [w if has_added(w) else w.lower() for w in text.split()]
-        return text.lower().split()
+        lower = text.lower()
+        return UNIT_BYTES(lower) if PLAIN.issuperset(lower.decode()) else lower.split()
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [words_of(t) for t in texts]
+        split = [units_of(t) for t in texts]
         if len(cache) > CACHED_WORDS:
             cache.clear()
         learn(set().union(*split).difference(cache))
