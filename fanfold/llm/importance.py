@@ -139,13 +139,26 @@ def find_head(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS, w
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "a binary, b binary, n long")
     counts = materialize(counts.groupBy("a", "b").agg(F.sum("n").alias("n")))
 
-    def most(rows: DataFrame, n: int):
-        return rows.orderBy(F.desc("n"), "a", "b").limit(n).collect()
-
     return Head([bytes(r.a) for r in most(counts.where("b IS NULL"), words)],
                 [(bytes(r.a), bytes(r.b)) for r in most(counts.where("b IS NOT NULL"), pairs)], buckets)
 
 
+def most(rows: DataFrame, limit: int) -> list:
+    """The most frequent rows, at most ``limit``: all whose count lies above a bound that is found from a histogram.
+
+    Sorting for the first rows would send that many from every partition to the driver.
+    """
+    # Eight steps to a doubling, so a few hundred rows at most.
+    band = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    total, least = 0, None
+    for row in sorted(rows.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
+        total += row["count"]
+        if total > limit:
+            break
+        least = row["band"]
+    return [] if least is None else rows.where(band >= least).collect()
+
+
 def bucket_totals(docs: DataFrame, head, text_col: str = "text") -> DataFrame:
     """Features per bucket, repeats counted; ``head`` is a broadcast :class:`Head`."""
 
