@@ -45,7 +45,7 @@ STEPS = (2, -6)  # matches above those expected at the threshold, at which a ste
 MISS = 1e-6  # posterior probability of a link at which a pair is dropped
 PART_BYTES = 1 << 20
 BATCH_ROWS = 500  # documents whose sets a task holds at once
-BLOCK = 256  # classes of a bucket in a block
+BLOCK = 2048  # classes of a bucket in a block: two blocks are compared in a second or so, and are 1.2 MB
 MEMBERS = 200  # sets compared with a pivot in one group
 BITMAP = 1 << 26  # bits, at most: 8 MB
 
@@ -231,16 +231,24 @@ def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, least:
     ``members``: band, key, node; ``known``: node, component of the nodes that have links.
     """
     labelled = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_buckets = labelled.groupBy("band", "key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = labelled.join(mixed_buckets.select("band", "key", blocks.alias("blocks")), ["band", "key"]).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A block meets every block of its bucket, itself included, once.
-    dealt = rows.select("node", "component", "band", "key", "block",
-                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("node", "component", "band", "key", "block", F.least("block", "other").alias("x"),
-                         F.greatest("block", "other").alias("y")).join(sigs.select("node", "sig"), "node")
+    sizes = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "component"))
+    mixed_buckets = sizes.groupBy("band", "key").agg(largest.alias("largest"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = labelled.join(mixed_buckets.select(
+        "band", "key", F.col("largest.component").alias("main"), blocks(F.col("largest.n")).alias("main_blocks"),
+        blocks(F.col("others")).alias("blocks")), ["band", "key"])
+    # The largest component of a bucket is dealt to blocks -1, -2, … and meets only the blocks 0, 1, … of the others, which
+    # meet each other too: a few strays beside many near copies are what is sent to every block, not the copies.
+    is_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int")
+    rows = rows.withColumn("block", F.when(is_main, -1 - own).otherwise(own))
+    meet = lambda n, pair: F.transform(F.sequence(F.lit(0), n - 1), pair)
+    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    block = F.col("block")
+    groups = F.when(is_main, meet(F.col("blocks"), lambda b: xy(block, b))).otherwise(F.concat(
+        meet(F.col("main_blocks"), lambda b: xy(-1 - b, block)), meet(F.col("blocks"), lambda b: xy(F.least(block, b), F.greatest(block, b)))))
+    dealt = rows.select("node", "component", "band", "key", "block", F.inline(groups)).join(sigs.select("node", "sig"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, comp = table["node"].to_numpy(), table["component"].to_numpy()

@@ -50,7 +50,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_dedup", near_dedup.ORACLE)
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_shingles", "component_id", "kept")
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query("op5_subword_lm")
