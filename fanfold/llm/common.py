@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fanfold.session import materialize
+
 # The separators of words, as bytes.split() has them: \x20 and \x09-\x0D.
 WORD_GAPS = " \t\n\x0b\x0c\r"
+BROADCAST_ROWS = 500_000  # keys of dropped rows, about fifty bytes each
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,21 +85,38 @@ def bounded_cache(limit: int, compute: Callable):
     return Cache()
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id and text are in ``kept`` (doc_id, text_key), each pair once; NULLs are equal.
+def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are not in ``dropped`` (doc_id, text_key); NULLs are equal.
 
-    ``text_key`` is :func:`text_key` of the text. Of rows that repeat id and text, which cannot be told apart by the
-    operators' decisions, any one stays.
+    ``text_key`` is :func:`text_key` of the text. The short keys of up to ``BROADCAST_ROWS`` dropped rows are broadcast, so that
+    texts are not shuffled; more are joined by a shuffle.
     """
     names = free_names(docs, "keep_id", "keep_key")
+    keys = materialize(dropped.select(*[c.alias(n) for c, n in zip(_row_key(F.col("doc_id"), F.col("text_key")), names)]).distinct())
+    n = keys.count()
+    if not n:
+        return docs
     rows = docs.withColumns(dict(zip(names, _row_key(F.col(id_col), text_key(text_col)))))
-    wanted = kept.select(*[c.alias(n) for c, n in zip(_row_key(F.col("doc_id"), F.col("text_key")), names)]).distinct()
-    found = rows.join(wanted, names, "left_semi")
-    repeated = rows.groupBy(*names).count().where("count > 1").select(*names)
-    if not repeated.isEmpty():
-        found = found.join(repeated, names, "left_anti").unionByName(
-            found.join(repeated, names, "left_semi").dropDuplicates(names))
-    return found.select(*docs.columns)
+    return rows.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, names, "left_anti").select(*docs.columns)
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept by ``decided`` (doc_id, text_key, kept; a row for every row of ``docs``), each pair of
+    id and text once; NULLs are equal.
+
+    Of rows that repeat id and text, which cannot be told apart, one stays if any is kept.
+    """
+    pairs = decided.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs.where("NOT kept OR n > 1"))
+    found = drop_rows(docs, pairs.where("NOT kept"), id_col, text_col)
+    repeated = pairs.where("kept")
+    if repeated.isEmpty():
+        return found
+    names = free_names(docs, "keep_id", "keep_key")
+    rows = found.withColumns(dict(zip(names, _row_key(F.col(id_col), text_key(text_col)))))
+    again = repeated.select(*[c.alias(n) for c, n in zip(_row_key(F.col("doc_id"), F.col("text_key")), names)])
+    return rows.join(again, names, "left_anti").unionByName(
+        rows.join(again, names, "left_semi").dropDuplicates(names)).select(*docs.columns)
 
 
 def text_key(text_col: str) -> Column:

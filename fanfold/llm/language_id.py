@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanfold.llm.common import as_texts, free_names, per_batch
+from fanfold.llm.common import as_texts, drop_rows, free_names, id_and_text, per_batch, text_key
 
 UNKNOWN = "und"
 PER_LANGUAGE = 1_000  # expected training texts of a language
@@ -185,12 +185,16 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def reject_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the texts whose language is unknown; if nothing was learned, without those that have no letter."""
+def reject_unknown(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the texts whose language is unknown; if nothing was learned, without those that have no letter.
+
+    Only ids and texts go through Python; the rejected rows are then dropped by their keys.
+    """
     if not model.languages:
         return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
-    names = free_names(docs, "lang_pred", "score")
-    return predict(docs, model, text_col, names=names).where(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_key", text_key("text"))
+    rejected = predict(rows, model, keep=["doc_id", "text_key"]).where(F.col("lang_pred") == UNKNOWN)
+    return drop_rows(docs, rejected, id_col, text_col)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

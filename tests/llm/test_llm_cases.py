@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import uuid
 
 import pytest
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fanfold.llm import decontamination, exact_dedup, language_id, near_dedup, packing, pii, subword_lm, substring_dedup
-from fanfold.llm import token_counts, toxicity
-from fanfold.llm.common import in_remainder
+from fanfold.llm import common, token_counts, toxicity
+from fanfold.llm.common import in_remainder, keep_rows, text_key
 from fanfold.llm.queries import tokenizer_file
 
 WORDS = [f"word{i}" for i in range(60)]
@@ -206,3 +207,36 @@ def test_every_operator_and_stage_takes_empty_tables(spark, docs, items, folder)
         toxicity.score(none, toxicity.train(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))),
         *[stage(spark, none, folder) for _, stage in corpus_pipeline.STAGES]]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_near_copies_beside_a_stray(spark):
+    """A large group of near copies with strays that share its buckets, over several blocks."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join([*base, f"end{i}"]) for i in range(60)]
+    texts += [" ".join(base[:k] + [f"s{k}x{i}" for i in range(90 - k)]) for k in (40, 50, 60, 66, 70, 74, 78) for i in range(3)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    block, near_dedup.BLOCK = near_dedup.BLOCK, 8
+    try:
+        found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        near_dedup.BLOCK = block
+    assert found == dict(enumerate(label)) and len(set(label)) > 5
+
+
+def test_rows_are_dropped_by_key_however_many(spark, monkeypatch):
+    rows = [(i % 7 if i % 5 else None, f"t{i % 11}" if i % 4 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    decided = docs.select("doc_id", text_key("text").alias("text_key"), (F.length("text") > 2).alias("kept")).na.fill(False, ["kept"])
+    expected = sorted({r for r in rows if r[1] is not None and len(r[1]) > 2}, key=repr)
+    for most in (1000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        assert sorted(map(tuple, keep_rows(docs, decided).collect()), key=repr) == expected
