@@ -31,11 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, exact_dedup.deduplicate(docs).where("kept"))
+    return keep_rows(docs, exact_dedup.deduplicate(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, near_dedup.near_duplicates(docs).where("kept"))
+    return keep_rows(docs, near_dedup.near_duplicates(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
