@@ -8,8 +8,9 @@ number of tokens by which the count grows. Two facts make that finite and exact:
 of a prefix, and a token sequence is an encoding if and only if each neighbouring pair is one.
 
 A text is cut into chunks of equal length anywhere. A chunk's state map sends an entry state to an exit state and a
-count: beyond its first word mark it no longer depends on the entry state, so the map is kept as the characters before
-the mark, a constant and an exit state. Maps compose associatively and are combined by a prefix scan of logarithmic depth.
+count: beyond its first word mark it no longer depends on the entry state; before that the map is worked out for the state
+that the characters ahead of the chunk leave, and for any other where composition needs it. Maps compose associatively and
+are combined by a prefix scan of logarithmic depth; each is applied to a state once, so the time is linear in the text.
 
 Defined cases: NULL text is empty; an empty text has no bytes and no tokens; characters outside the vocabulary count as
 one token per UTF-8 byte; texts of any length are counted whole; rows that repeat give rows that repeat. Other columns
@@ -28,6 +29,7 @@ from fanfold.llm.common import as_texts, bounded_cache, id_and_text, per_batch
 
 MARK = "▁"  # fixed value: the vocabulary's word mark, which stands for a space
 CHUNK = 1 << 16  # code points
+WARM_UP = 64  # characters ahead of a chunk from which its entry state is foreseen
 CACHED_WORDS = 300_000
 CACHED_STATES = 200_000
 CACHED_PAIRS = 400_000
@@ -125,34 +127,62 @@ class CountTransducer:
 _BOUNDARY = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
 
+class StateMap:
+    """Entry state -> (exit state, count) of a chunk, or of two neighbouring maps; what is known of it is kept.
+
+    A chunk's map is ``text``, up to its first word mark, and what follows whatever the entry state: ``count`` tokens and
+    ``end``, an exit state (None: the chunk has no such mark).
+    """
+
+    def __init__(self, transducer: CountTransducer, text: str = "", count: int = 0, end: int | None = None,
+                 parts: tuple[StateMap, StateMap] | None = None):
+        self.transducer, self.text, self.count, self.end, self.parts = transducer, text, count, end, parts
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        found = self.known.get(entry)
+        if found is None:
+            if self.parts:
+                state, before = self.parts[0](entry)
+                state, after = self.parts[1](state)
+                found = state, before + after
+            else:
+                state, count = self.transducer.run(entry, self.text)
+                found = (state, count) if self.end is None else (self.end, count + self.count)
+            self.known[entry] = found
+        return found
+
+
 class ChunkCounter:
-    """State maps of chunks and their composition. A map is (head, None, None) or (head, count, exit state)."""
+    """State maps of chunks and their composition."""
 
     def __init__(self, transducer: CountTransducer):
         self.transducer = transducer
         # A whole word: a mark and what follows up to the next one.
         self.words = bounded_cache(CACHED_WORDS, lambda word: transducer.run(transducer.start, MARK + word)[1])
 
-    def chunk_map(self, chunk: str) -> tuple:
+    def chunk_map(self, chunk: str, before: str = "") -> StateMap:
+        """The map of a chunk, worked out for the state that ``before``, the characters ahead of it, most likely leave: an
+        encoding soon forgets where it began. Composition asks for others where they occur."""
         first = _BOUNDARY.search(chunk)
         if first is None:
-            return chunk, None, None
-        head, rest = chunk[:first.start()], chunk[first.start() + 1:]
-        words = rest.split(MARK)
-        if "" in words:  # runs of marks belong to the word after them
-            words = [w[1:] for w in _BOUNDARY.split(MARK + rest)]
-        tail = words.pop()
-        state, count = self.transducer.run(self.transducer.start, MARK + tail)
-        return head, count + sum(map(self.words.__getitem__, words)), state
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
+            made = StateMap(self.transducer, chunk)
+        else:
+            head, rest = chunk[:first.start()], chunk[first.start() + 1:]
+            words = rest.split(MARK)
+            if "" in words:  # runs of marks belong to the word after them
+                words = [w[1:] for w in _BOUNDARY.split(MARK + rest)]
+            tail = words.pop()
+            state, count = self.transducer.run(self.transducer.start, MARK + tail)
+            made = StateMap(self.transducer, head, count + sum(map(self.words.__getitem__, words)), state)
+        made(self.transducer.run(self.transducer.start, before)[0])
+        return made
+
+    def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """First ``a``, then ``b``."""
-        if a[1] is None:
-            return a[0] + b[0], b[1], b[2]
-        state, count = self.transducer.run(a[2], b[0])
-        return (a[0], a[1] + count, state) if b[1] is None else (a[0], a[1] + count + b[1], b[2])
+        return StateMap(self.transducer, parts=(a, b))
 
-    def scan(self, maps: list[tuple]) -> list[tuple]:
+    def scan(self, maps: list[StateMap]) -> list[StateMap]:
         """All prefixes of the composition, in a logarithmic number of rounds of independent steps."""
         step = 1
         while step < len(maps):
@@ -160,18 +190,21 @@ class ChunkCounter:
             step *= 2
         return maps
 
-    def prefix_counts(self, text: str, chunk: int = CHUNK) -> list[int]:
-        """The count up to the end of each chunk, as if the text ended there; none for an empty text."""
-        if not text:
-            return []
+    def maps(self, text: str, chunk: int) -> list[StateMap]:
         self.transducer.tidy()  # the cached words keep counts, not states
         marked = MARK + text.replace(" ", MARK)
-        maps = self.scan([self.chunk_map(marked[i:i + chunk]) for i in range(0, len(marked), chunk)])
-        return [self.transducer.run(self.transducer.start, head)[1] + (count or 0) for head, count, _ in maps]
+        return [self.chunk_map(marked[i:i + chunk], marked[max(0, i - WARM_UP):i]) for i in range(0, len(marked), chunk)]
+
+    def prefix_counts(self, text: str, chunk: int = CHUNK) -> list[int]:
+        """The count up to the end of each chunk, as if the text ended there; none for an empty text."""
+        return [m(self.transducer.start)[1] for m in self.scan(self.maps(text, chunk))] if text else []
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        counts = self.prefix_counts(text, chunk)
-        return counts[-1] if counts else 0
+        """The last prefix alone: neighbouring maps are composed until one is left."""
+        maps = self.maps(text, chunk) if text else []
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0](self.transducer.start)[1] if maps else 0
 
 
 def read_vocabulary(path: str) -> dict[str, float]:
