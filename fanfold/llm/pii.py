@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -92,7 +93,7 @@ _HOMOGLYPH = re.compile("[" + "".join(re.escape(chr(c)) for c in HOMOGLYPHS) + "
 SPELLED = {w: str(d) for words in (
     "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
     "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")
-    for d, w in enumerate(words.split())}
+    for d, w in enumerate(words.split())} | {"zwo": "2"}
 _NUMERAL = r"(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9])"
 _GAP = r"[ \t,.-]{1,3}"
 # Three neighbours make words numerals: shorter runs are ordinary prose.
@@ -103,10 +104,12 @@ _PLUS = re.compile(r"(?<!\w)plus[ \t]{1,3}(?=[0-9(])", re.I)
 _OPEN, _SHUT = r"[ \t]{0,3}[\[({<][ \t]{0,2}", r"[ \t]{0,2}[\])}>][ \t]{0,3}"
 _BRACKETED = re.compile(rf"(?<=\w){_OPEN}(?:(?P<at>at|@|arroba|ät)|(?P<dot>dot|\.|punkt|punto|point)){_SHUT}(?=\w)", re.I)
 _HOST = r"[a-z0-9-]+"
-# The top-level domains that make "at … dot …" in prose an address.
-_TOP = "com|org|net|edu|gov|info|io|eu|de|at|ch|fr|be|es|mx|ar|it|nl|pt|uk|us|ca|au"
+# The top-level domains that make "at … dot …" in prose an address; countries whose code is no common word.
+_TOP = ("com|org|net|edu|gov|mil|int|info|biz|io|dev|app|eu|de|at|ch|fr|be|es|mx|ar|it|nl|pt|uk|us|ca|au|nz|ie|pl|cz|sk|hu|ro|bg|gr|"
+        "dk|se|fi|lt|lv|ee|hr|si|rs|ua|ru|tr|il|za|ke|ng|eg|br|cl|co|pe|jp|kr|cn|tw|hk|sg|th|vn|id|ph|pk")
 # Bare words count only in the full shape: name at host dot top-level domain.
-_BARE = re.compile(rf"(?<![\w@.])[a-z0-9][a-z0-9._%+-]*(?P<at>[ \t]{{1,3}}at[ \t]{{1,3}}|@){_HOST}"
+# The name is looked for backwards from its "at".
+_BARE = re.compile(rf"(?P<at>[ \t]{{1,3}}at[ \t]{{1,3}}|@){_HOST}"
                    rf"(?P<rest>(?:(?:[ \t]{{1,3}}dot[ \t]{{1,3}}|\.){_HOST}){{0,3}}?[ \t]{{1,3}}dot[ \t]{{1,3}}(?:{_TOP}))(?![\w@])", re.I)
 _WORD_DOT = re.compile(r"[ \t]{1,3}dot[ \t]{1,3}", re.I)
 _HINT = re.compile(r"[\[({<][ \t]{0,2}(?:at|dot|@|\.|arroba|ät|punkt|punto|point)[ \t]{0,2}[\])}>]|[ \t]dot[ \t]", re.I)
@@ -114,24 +117,41 @@ _HINT = re.compile(r"[\[({<][ \t]{0,2}(?:at|dot|@|\.|arroba|ät|punkt|punto|poin
 _GATES = (_HINT, _NUMERALS, _PLUS)
 
 
+_NAME_BEGIN = re.compile(r"(?<![\w@.])[a-z0-9]", re.I)
+
+
+def bare_addresses(text: str) -> Iterator[re.Match]:
+    """The _BARE matches that a name stands before; names of different matches share no character, so time is linear."""
+    least = at = 0
+    while m := _BARE.search(text, at):
+        begin = least + len(text[least:m.start()].rstrip(_LOCAL))
+        if _NAME_BEGIN.search(text, begin, m.start()):
+            yield m
+            least = at = m.end()
+        else:
+            least = at = m.start() + 1
+
+
 class Mapped:
-    """A rewritten text and, for each of its characters, where its source begins and ends."""
+    """A rewritten text and, for each of its characters, where its source begins and ends (as 32-bit numbers)."""
 
     def __init__(self, text: str):
-        self.text, self.begins, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.begins, self.ends = text, array("i", range(len(text))), array("i", range(1, len(text) + 1))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces ascending disjoint ranges; every character written stands for its whole range."""
         if not edits:
             return
-        text, begins, ends, at = [], [], [], 0
+        text, begins, ends, at = [], array("i"), array("i"), 0
         for begin, end, new in edits:
             text += [self.text[at:begin], new]
-            begins += self.begins[at:begin] + [self.begins[begin]] * len(new)
-            ends += self.ends[at:begin] + [self.ends[end - 1]] * len(new)
+            begins += self.begins[at:begin] + self.begins[begin:begin + 1] * len(new)
+            ends += self.ends[at:begin] + self.ends[end - 1:end] * len(new)
             at = end
         self.text = "".join([*text, self.text[at:]])
-        self.begins, self.ends = begins + self.begins[at:], ends + self.ends[at:]
+        begins += self.begins[at:]
+        ends += self.ends[at:]
+        self.begins, self.ends = begins, ends
 
     def source(self, begin: int, end: int) -> tuple[int, int]:
         return self.begins[begin], self.ends[end - 1]
@@ -156,7 +176,7 @@ def normalise(text: str) -> Mapped:
     mapped.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(mapped.text)])
     if _WORD_DOT.search(mapped.text):
         edits = []
-        for m in _BARE.finditer(mapped.text):
+        for m in bare_addresses(mapped.text):
             edits.append((*m.span("at"), "@"))
             edits += [(*d.span(), ".") for d in _WORD_DOT.finditer(mapped.text, *m.span("rest"))]
         mapped.rewrite(edits)
