@@ -56,12 +56,11 @@ def fold(text: str) -> str:
 
 
 def features(folded: str) -> set[str]:
-    """Candidates for entries: whole words and beginnings of words."""
+    """Candidates for entries: whole words of any length and beginnings of words."""
     out = set()
     for word in set(folded.split()):
-        if len(word) >= SHORTEST:
-            out.add(f" {word} ")
-            out.update(f" {word[:k]}" for k in range(SHORTEST, min(LONGEST, len(word)) + 1))
+        out.add(f" {word} ")
+        out.update(f" {word[:k]}" for k in range(SHORTEST, min(LONGEST, len(word)) + 1))
     return out
 
 
@@ -80,10 +79,11 @@ class Lexicon:
             import ahocorasick
 
             made = ahocorasick.Automaton()
-            for phrase in self.exceptions:
-                made.add_word(f" {' '.join(fold(phrase).split())} ", (0.0, True))
             for entry, weight in self.entries.items():
                 made.add_word(entry, (weight, len(entry), False))
+            for phrase in map(fold, self.exceptions):  # an entry that is an exception is none
+                if phrase.strip():
+                    made.add_word(phrase, (0.0, len(phrase), True))
             made.make_automaton()
             self._automaton = made
         return self._automaton
@@ -94,21 +94,25 @@ class Lexicon:
             return []
         best: dict[int, float] = {}
         excepted = []
-        for end, found in self.automaton().iter(folded):
-            if found[-1]:
-                excepted.append(end)
+        for end, (weight, length, is_exception) in self.automaton().iter(folded):
+            begin = end + 1 - length
+            if is_exception:
+                excepted.append((begin, end))
             else:
-                begin = end + 1 - found[1]
-                best[begin] = max(best.get(begin, 0.0), found[0])
-        if excepted:
-            lengths = {len(" ".join(fold(p).split())) + 2 for p in self.exceptions}
-            ranges = [(end + 1 - n, end) for end in excepted for n in lengths
-                      if " ".join(folded[end + 1 - n:end + 1].split()) in self._excepted()]
-            best = {b: w for b, w in best.items() if not any(x <= b < y for x, y in ranges)}
-        return sorted(best.items())
-
-    def _excepted(self) -> set[str]:
-        return {" ".join(fold(p).split()) for p in self.exceptions}
+                best[begin] = max(best.get(begin, 0.0), weight)
+        found = sorted(best.items())
+        if not excepted:
+            return found
+        # Both lists ascend: one pass over the phrases that begin before an entry tells how far they reach.
+        excepted.sort()
+        out, at, reach = [], 0, 0
+        for begin, weight in found:
+            while at < len(excepted) and excepted[at][0] <= begin:
+                reach = max(reach, excepted[at][1])
+                at += 1
+            if begin >= reach:
+                out.append((begin, weight))
+        return out
 
     def measures(self, text: str) -> tuple[float, float]:
         """Weight, and weight per hundred words, both damped by log(1 + x)."""
