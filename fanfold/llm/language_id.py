@@ -86,11 +86,16 @@ class Words:
         self.first_letter = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.scripts = scripts[codes[self.begins]] if len(self.begins) else np.zeros(0, np.uint8)
 
-    def buckets(self) -> np.ndarray:
-        """(orders, letters): the n-grams that end after a letter; they begin at the earliest one place before the word."""
-        padded = np.concatenate((np.zeros(max(ORDERS), np.uint64), self.codes.astype(np.uint64), np.zeros(1, np.uint64)))
-        at = self.letters + max(ORDERS)
-        room = self.letters - np.repeat(self.begins, self.lengths) + 1  # letters of the word before this one's successor
+    def buckets(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """(orders, letters): the n-grams that end after a letter, of those from number ``first`` to ``last``; they begin at the
+        earliest one place before the word."""
+        own = self.letters[first:last]
+        lead, low = max(ORDERS), int(own[0]) if len(own) else 0
+        part = self.codes[max(0, low - lead):int(own[-1]) + 2 if len(own) else 0].astype(np.uint64)
+        padded = np.concatenate((np.zeros(max(0, lead - low), np.uint64), part, np.zeros(1, np.uint64)))
+        at = own - low + lead
+        # Letters of the word before this one's successor.
+        room = own - self.begins[np.searchsorted(self.first_letter, np.arange(first, first + len(own)), "right") - 1] + 1
         out = np.empty((len(ORDERS), len(at)), np.int64)
         for i, order in enumerate(ORDERS):
             hashed = np.full(len(at), order, np.uint64)
@@ -118,13 +123,25 @@ class Model:
         # A script that no language claims leaves every language a candidate.
         self.candidates = own | ~own.any(1, keepdims=True)
 
+    def _letter_scores(self, words: Words, first: int, last: int) -> np.ndarray:
+        buckets = words.buckets(first, last)
+        letters = np.zeros((buckets.shape[1], len(self.languages)), np.float32)
+        for own in buckets:
+            letters += self.logs[own]
+        return letters
+
     def word_scores(self, words: Words) -> np.ndarray:
         if not len(words.begins):
             return np.zeros((0, len(self.languages)), np.float32)
-        letters = np.zeros((len(words.letters), len(self.languages)), np.float32)
-        for buckets in words.buckets():
-            letters += self.logs[buckets]
-        scores = np.add.reduceat(letters, words.first_letter, axis=0)
+        most = max(1000, BATCH_CELLS // len(self.languages))
+        if len(words.letters) <= most:
+            scores = np.add.reduceat(self._letter_scores(words, 0, most), words.first_letter, axis=0)
+        else:  # a long text: a block of letters at a time, so that memory by language grows with its words only
+            scores = np.zeros((len(words.begins), len(self.languages)), np.float32)
+            for at in range(0, len(words.letters), most):
+                letters = self._letter_scores(words, at, at + most)
+                a, b = np.searchsorted(words.first_letter, [at, at + len(letters) - 1], "right") - 1
+                scores[a:b + 1] += np.add.reduceat(letters, np.maximum(words.first_letter[a:b + 1] - at, 0), axis=0)
         ruled_out = ~self.candidates[words.scripts]
         return np.where(ruled_out, scores.min(1, keepdims=True) - 2 * SWITCH_PENALTY, scores)
 
