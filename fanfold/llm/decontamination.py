@@ -7,8 +7,9 @@ gives the longest suffix of what was read that occurs in any item. Where it is a
 words that are in no item cannot match and are skipped before.
 
 The automaton is broadcast in blocks of at most ``BLOCK_WORDS`` item words (long items are cut into pieces that
-overlap by a window, so no window is lost). One block is one pass over each batch; further blocks are further passes in
-the same stage, so neither memory nor the broadcast grows with the benchmark. Documents are never shuffled.
+overlap by a window, so no window is lost). One block is one pass over the documents. With several, each pass
+writes what it hits, by a digest of the text, before the next block is built, so neither memory nor a broadcast grows with the
+benchmark; short rows are joined at the end. Texts are shuffled only where spans are to be cut out with several blocks.
 
 Defined cases: NULL text has no words, hits nothing and is not contaminated; so has an empty one. A NULL item
 text gives no window; a NULL item_id is the item named "". Repeated items are one item per item_id; repeated documents
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanfold.llm.common import as_bytes, free_names, id_and_text, per_batch
+from fanfold.llm.common import BROADCAST_ROWS, as_bytes, free_names, id_and_text, per_batch
+from fanfold.session import materialize
 
 WINDOW = 10
 BLOCK_WORDS = 100_000  # item words in one automaton: at most twice as many states
@@ -192,43 +194,112 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
-             block_words: int = BLOCK_WORDS, names: Sequence[str] = ("n_words", "spans", "items")) -> DataFrame:
-    """All columns of ``docs`` and the number of words, spans (begin, end, …) and items, called ``names``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()),
-                           T.StructField(names[1], T.ArrayType(T.IntegerType())),
-                           T.StructField(names[2], T.ArrayType(T.StringType()))])
-    rows = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<int>").alias(names[1]),
-                       F.array().cast("array<string>").alias(names[2]))
-    for automaton in automata(benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        rows = per_batch(rows, schema, _pass(shared, docs.columns, list(names), text_col))
-    return rows
-
-
-def _pass(shared, carried: list[str], names: list[str], text_col: str):
+             block_words: int = BLOCK_WORDS, names: Sequence[str] = ("n_words", "spans", "items"),
+             keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` and the number of words, spans (begin, end, …) and items, called ``names``."""
+    kept = list(docs.columns if keep is None else keep)
+    n_words, spans, items = names
+    plain = docs.select(*kept).schema
+    blocks = automata(benchmark, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        schema = T.StructType([*plain.fields, T.StructField(n_words, T.LongType()), T.StructField(spans, T.ArrayType(T.IntegerType())),
+                               T.StructField(items, T.ArrayType(T.StringType()))])
+        return per_batch(docs, schema, _pass(docs.sparkSession.sparkContext.broadcast(first), kept, text_col))
+    found = [hits(docs, a, text_col) for a in (first, second)]
+    del first, second
+    for automaton in blocks:
+        found.append(hits(docs, automaton, text_col))
+    digest, = free_names(docs, "digest_of_text")
+    rows = per_batch(docs.withColumn(digest, _digest(text_col)), plain.add(digest, T.BinaryType()).add(n_words, T.LongType()),
+                     _counting([*kept, digest], text_col))
+    return rows.join(_merged(found, digest, spans, items), digest, "left").select(
+        *kept, n_words, F.coalesce(spans, F.array().cast("array<int>")).alias(spans),
+        F.coalesce(items, F.array().cast("array<string>")).alias(items))
+
+
+def _digest(text_col: str):
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+
+
+def hits(docs: DataFrame, automaton: SuffixAutomaton, text_col: str = "text") -> DataFrame:
+    """digest, spans and items of the different texts that ``automaton`` hits, written once; its broadcast is given up."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def start():
+        own = shared.value
+
+        def work(batch: pa.RecordBatch):
+            digests, spans, items = [], [], []
+            for digest, text in zip(batch["digest"].to_pylist(), as_bytes(batch["text"])):
+                found, named = own.spans(words_of(text))
+                if found:
+                    digests.append(digest)
+                    spans.append(found)
+                    items.append(sorted(named))
+            return digests, spans, items
+
+        return work
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), _digest(text_col).alias("digest"))
+    found = per_batch(rows, "digest binary, spans array<int>, items array<string>", start)
+    # Copies of a text are hit alike; one of each task is shuffled.
+    out = materialize(found.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")))
+    shared.destroy()
+    return out
+
+
+def _merged(found: list[DataFrame], digest: str, spans: str, items: str) -> DataFrame:
+    """One row per text from the hits of several blocks."""
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    # A text has one row for every block that hits it.
+    rows = rows.groupBy("digest").agg(F.collect_list("spans").alias("spans"),
+                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def start():
+        def work(batch: pa.RecordBatch):
+            return batch["digest"], [union(*lists) for lists in batch["spans"].to_pylist()], batch["items"]
+
+        return work
+
+    return per_batch(rows, f"`{digest}` binary, `{spans}` array<int>, `{items}` array<string>", start)
+
+
+def _pass(shared, kept: list[str], text_col: str):
     def start():
         automaton = shared.value
 
         def work(batch: pa.RecordBatch):
-            n_words, spans, items = [], batch[names[1]].to_pylist(), batch[names[2]].to_pylist()
-            for i, text in enumerate(as_bytes(batch[text_col])):
+            n_words, spans, items = [], [], []
+            for text in as_bytes(batch[text_col]):
                 words = words_of(text)
                 n_words.append(len(words))
                 found, named = automaton.spans(words)
-                if found:
-                    spans[i] = union(spans[i], found)
-                    items[i] = sorted(named.union(items[i]))
-            return *(batch[c] for c in carried), n_words, spans, items
+                spans.append(found)
+                items.append(sorted(named))
+            return *(batch[c] for c in kept), n_words, spans, items
+
+        return work
+
+    return start
+
+
+def _counting(kept: list[str], text_col: str):
+    def start():
+        def work(batch: pa.RecordBatch):
+            return *(batch[c] for c in kept), [len(words_of(t)) for t in as_bytes(batch[text_col])]
 
         return work
 
     return start
 
 
-def union(a: list[int], b: list[int]) -> list[int]:
-    """The union of two lists of spans."""
+def union(*lists: list[int]) -> list[int]:
+    """The union of lists of spans."""
     out: list[int] = []
-    for begin, end in sorted([*zip(a[::2], a[1::2]), *zip(b[::2], b[1::2])]):
+    for begin, end in sorted(span for own in lists for span in zip(own[::2], own[1::2])):
         if out and begin <= out[-1]:
             out[-1] = max(out[-1], end)
         else:
@@ -244,21 +315,23 @@ def covered(spans: str):
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows = annotate(id_and_text(docs, id_col, text_col), benchmark, window)
+    rows = annotate(id_and_text(docs, id_col, text_col), benchmark, window, keep=["doc_id"])
     return rows.select("doc_id", "n_words", covered("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                        (F.size("spans") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.2, min_span: int = 1,
-                  window: int = WINDOW, text_col: str = "text") -> DataFrame:
+                  window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without contaminated text, same columns.
 
     A document whose share of hit words exceeds ``max_coverage`` goes (0: any hit). From the others, hit spans of at
     least ``min_span`` words are cut out of the text, with the white space after them; the rest is unchanged.
     """
+    if max_coverage <= 0:
+        return _drop_hit(docs, benchmark, window, text_col, block_words)
     n_words, spans, items = names = free_names(docs, "n_words", "spans", "items")
-    rows = annotate(docs, benchmark, window, text_col, names=names)
+    rows = annotate(docs, benchmark, window, text_col, block_words, names)
     kept, columns = rows.where(covered(f"`{spans}`") <= max_coverage * F.col(n_words)), docs.columns
 
     def start():
@@ -269,7 +342,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
 
         return work
 
-    return kept.select(*columns) if max_coverage <= 0 else per_batch(kept, docs.schema, start)
+    return per_batch(kept, docs.schema, start)
+
+
+def _drop_hit(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, block_words: int) -> DataFrame:
+    """``docs`` without the rows that hold any window: only texts go through Python, and digests of the hit ones come back.
+
+    Digests of up to ``BROADCAST_ROWS`` texts are broadcast; more are joined by a shuffle.
+    """
+    digest, = free_names(docs, "digest_of_text")
+    found = [hits(docs, automaton, text_col).select(F.col("digest").alias(digest))
+             for automaton in automata(benchmark, window, block_words)]
+    digests = found[0]
+    for more in found[1:]:
+        digests = digests.unionByName(more)
+    digests = digests.distinct()  # a text may be hit by several blocks
+    n = digests.count()
+    if not n:
+        return docs
+    return docs.withColumn(digest, _digest(text_col)).join(
+        F.broadcast(digests) if n <= BROADCAST_ROWS else digests, digest, "left_anti").select(*docs.columns)
 
 
 def cut(text: bytes, spans: list[int], min_span: int) -> bytes:

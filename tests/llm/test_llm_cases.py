@@ -119,7 +119,12 @@ def test_benchmark(docs, items, block_words):
     assert clean.columns == docs.columns
     assert {r.text for r in clean.where("doc_id = 7").collect()} == {" ".join([*WORDS[:5], *WORDS[20:], "and a tail"])}
     assert clean.where("doc_id in (10, 11)").count() == 0 and clean.where("doc_id = 8").first().text == LONG
+    assert decontamination.decontaminate(docs, items, max_coverage=0.5, block_words=block_words).exceptAll(clean).isEmpty()
+    untouched = decontamination.decontaminate(docs, items, max_coverage=0.0, block_words=block_words)
+    assert untouched.columns == docs.columns and untouched.count() == len(ROWS) - 7
+    assert untouched.exceptAll(docs).isEmpty()
     empty = items.limit(0)
+    assert decontamination.decontaminate(docs, empty, max_coverage=0.0).count() == len(ROWS)
     assert decontamination.report(docs, empty).where("contaminated").count() == 0
 
 
