@@ -90,12 +90,15 @@ class Words:
         """(orders, letters): the n-grams that end after a letter, of those from number ``first`` to ``last``; they begin at the
         earliest one place before the word."""
         own = self.letters[first:last]
-        lead, low = max(ORDERS), int(own[0]) if len(own) else 0
-        part = self.codes[max(0, low - lead):int(own[-1]) + 2 if len(own) else 0].astype(np.uint64)
+        if not len(own):
+            return np.zeros((len(ORDERS), 0), np.int64)
+        lead, low = max(ORDERS), int(own[0])
+        part = self.codes[max(0, low - lead):int(own[-1]) + 2].astype(np.uint64)
         padded = np.concatenate((np.zeros(max(0, lead - low), np.uint64), part, np.zeros(1, np.uint64)))
         at = own - low + lead
-        # Letters of the word before this one's successor.
-        room = own - self.begins[np.searchsorted(self.first_letter, np.arange(first, first + len(own)), "right") - 1] + 1
+        a, b = np.searchsorted(self.first_letter, [first, first + len(own) - 1], "right") - 1
+        sizes = np.diff(np.concatenate(([first], self.first_letter[a + 1:b + 1], [first + len(own)])))
+        room = own - np.repeat(self.begins[a:b + 1], sizes) + 1  # letters of the word before this one's successor
         out = np.empty((len(ORDERS), len(at)), np.int64)
         for i, order in enumerate(ORDERS):
             hashed = np.full(len(at), order, np.uint64)
