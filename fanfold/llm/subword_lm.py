@@ -9,9 +9,10 @@ Characters that no piece covers are spelled in bytes. Every training word is an
 Weights are kept per class of training texts (their language); a text's probability sums over classes too, so no class is
 needed to score it. All this is one proper distribution over texts as sequences of words.
 
-Word counts are added up in every task, then by word. ``FREQUENT`` decides only how a word's counts reach the texts: the
-most frequent words are broadcast, and what its own arc adds to any other word is joined, by class, to the texts that hold
-it. Scores do not depend on it. Piece weights have the vocabulary's size times the number of classes; classes only say
+Word counts are added up in every task, then by word, over all texts; only training texts count towards the model. Every
+distinct word is scored once, in the table of words. ``FREQUENT`` decides only how a word's scores reach the texts: those of
+the most frequent words are broadcast, those of any other word are joined to the texts that hold it. Scores do not depend
+on it. Piece weights have the vocabulary's size times the number of classes; classes only say
 which texts share weights, so classes beyond ``CLASSES`` lose no text and no count: they are counted and scored as one.
 
 Defined cases: NULL text is empty, and an empty text is its end alone. A NULL class is a class. Rows that repeat are
@@ -23,7 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import filterfalse, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ DISCOUNT = 0.6  # of the count of a training word by class, for its segmentation
 ESCAPE = 0.5  # words without an arc that every class is given
 SMOOTHING = 0.1  # expected uses that every piece is given
 COUNTED = 300_000  # distinct words a task counts before it hands them on
-CACHED_WORDS = 250_000
 BLOCK_CELLS = 600_000  # letters times classes worked on at once
 END = ""  # the end token, which no word equals
 
@@ -213,10 +213,11 @@ def classes_of(docs: DataFrame, class_col: str | None, most: int = CLASSES) -> t
 
 
 def word_counts(docs: DataFrame, number: Column, classes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word, n, and n0, n1, … by class over all ``docs``, the end among the words; written once."""
+    """word, times over all ``docs``, n over those with a class, and n0, n1, … by class, the end among the words; written
+    once. ``number`` is the class of a training text, and ``classes`` for any other text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(classes)]
+        counts = [Counter() for _ in range(classes + 1)]
 
         def flush() -> pa.RecordBatch:
             words = [w for c in counts for w in c]
@@ -239,70 +240,32 @@ def word_counts(docs: DataFrame, number: Column, classes: int, id_col: str = "do
     rows = docs.select(F.col(text_col).cast("string").alias("text"), number.cast("int").alias("class")).mapInArrow(
         run, "word string, class int, k long")
     by_class = [F.sum(F.when(F.col("class") == i, F.col("k")).otherwise(0)).alias(f"n{i}") for i in range(classes)]
-    return materialize(rows.groupBy("word").agg(F.sum("k").alias("n"), *by_class))
+    learned = F.sum(F.when(F.col("class") < classes, F.col("k")).otherwise(0)).alias("n")
+    return materialize(rows.groupBy("word").agg(F.sum("k").alias("times"), learned, *by_class))
 
 
 class Model:
-    """Lattice, piece weights by class, arcs of frequent words, and the shares of ends, words with arcs, and classes."""
+    """Lattice, piece weights by class, and the shares of ends, of words' own arcs, and of classes."""
 
-    def __init__(self, lattice: Lattice, uses: np.ndarray, arcs: dict[bytes, np.ndarray], own: np.ndarray, total: np.ndarray,
-                 ends: np.ndarray):
-        """``total``: training tokens by class, ``ends`` of them ends; ``arcs``: counts of frequent words by class; ``own``:
-        discounted counts of all training words, frequent or not."""
+    def __init__(self, lattice: Lattice, uses: np.ndarray, own: np.ndarray, total: np.ndarray, ends: np.ndarray):
+        """``total``: training tokens by class, ``ends`` of them ends; ``own``: discounted counts of all training words."""
         self.lattice, self.pieces = lattice, lattice.weights(uses).astype(np.float32)  # sums of few terms
-        self.ends = np.log((ends + 0.5) / (total + 1))
-        self.classes = np.log((ends + 0.5) / (ends + 0.5).sum())
-        words = total - ends
-        arcs = {w: np.maximum(c - DISCOUNT, 0) for w, c in arcs.items()}
-        rare = words - own + ESCAPE
-        self.inside = np.log1p(-np.exp(self.ends))  # a token that is no end
+        end = np.log((ends + 0.5) / (total + 1))
+        self.starts = end + np.log((ends + 0.5) / (ends + 0.5).sum())  # of a text: its class and its end
+        self.inside = np.log1p(-np.exp(end))  # a token that is no end
+        rare = total - ends - own + ESCAPE
         self.rare = np.log(rare / (own + rare))
         self.mass = np.log(own + rare)
-        self.arcs = {w: i for i, w in enumerate(arcs)}
+
+    def word_logs(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Log probability of every word by class: its own arc, if its training count gives one, and all segmentations."""
+        logs = self.lattice.sums([w.replace(MARK, " ") for w in words], self.pieces) + self.rare
         with np.errstate(divide="ignore"):
-            self.arc_logs = np.log(np.array([*(c / (own + rare) for c in arcs.values()), np.zeros_like(total)]))
-        self._place: dict[bytes, int] = {}
-        self._table = np.zeros((0, len(total)))
-
-    def word_logs(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of every word by class: its own arc, if it has one, and all segmentations."""
-        logs = self.lattice.sums([w.decode().replace(MARK, " ") for w in words], self.pieces) + self.rare
-        return np.logaddexp(logs, self.arc_logs[[self.arcs.get(w, -1) for w in words]]) + self.inside
-
-    def gains(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """What its own arc adds to the log of every word by class; ``counts``: of words that ``arcs`` does not hold."""
-        out = np.zeros(counts.shape)
-        for k in range(counts.shape[1]):
-            some = np.flatnonzero(counts[:, k] > DISCOUNT)
-            if len(some):
-                plain = self.lattice.sums([words[i].replace(MARK, " ") for i in some], self.pieces[:, [k]])[:, 0] + self.rare[k]
-                out[some, k] = np.logaddexp(plain, np.log(counts[some, k] - DISCOUNT) - self.mass[k]) - plain
-        return out
-
-    def text_logs(self, split: list[list[bytes]]) -> np.ndarray:
-        """Log probability of each text's words and class, by class, without the gains of words that ``arcs`` does not hold.
-        Words' logs are kept while the Python worker lives: those with arcs always, others until there are many."""
-        arcs = len(self.arcs)
-        if len(self._table) < arcs + CACHED_WORDS:
-            self._place, self._table = dict(self.arcs), np.zeros((arcs + CACHED_WORDS, len(self.rare)))
-            if arcs:
-                self._table[:arcs] = self.word_logs(list(self.arcs))
-        new = set().union(*split).difference(self._place)
-        if len(self._place) + len(new) > len(self._table):
-            self._place = dict(self.arcs)
-            new = set().union(*split).difference(self._place)
-            if arcs + len(new) > len(self._table):
-                self._table = np.concatenate((self._table[:arcs], np.zeros((len(new), len(self.rare)))))
-        place = self._place
-        if new:
-            words, at = list(new), len(place)
-            self._table[at:at + len(words)] = self.word_logs(words)
-            place.update(zip(words, range(at, at + len(words))))
-        sums = np.array([self._table[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(0) for w in split])
-        return sums + self.ends + self.classes
-
-
-def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tuple[int, ...]], rounds: int = ROUNDS) -> Model:
+            arcs = np.log(np.maximum(counts - DISCOUNT, 0)) - self.mass
+        return np.logaddexp(logs, arcs) + self.inside
+
+
+def fit(counts: DataFrame, classes: int, vocabulary: str, rounds: int = ROUNDS) -> Model:
     """Adapts the piece weights to what the training words are discounted."""
     scores = read_vocabulary(vocabulary)
     lattice = Lattice(list(scores))
@@ -310,7 +273,7 @@ def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tu
     names = [f"n{i}" for i in range(classes)]
     total = np.array([float(x or 0) for x in counts.agg(*[F.sum(n) for n in names]).first()])
     ends = np.array([float(x or 0) for x in counts.where(F.col("word") == END).agg(*[F.sum(n) for n in names]).first()])
-    words = counts.where(F.col("word") != END)
+    words = counts.where((F.col("word") != END) & (F.col("n") > 0))
     own = np.array([float(x or 0) for x in words.agg(*[F.sum(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))) for n in names]).first()])
     rest = words.select("word", *[F.least(F.col(n).cast("double"), F.lit(DISCOUNT)).alias(n) for n in names])
     for _ in range(rounds if total.sum() else 0):
@@ -337,20 +300,17 @@ def fit(counts: DataFrame, classes: int, vocabulary: str, frequent: dict[str, tu
         new[found["piece"].to_numpy(), found["class"].to_numpy()] = found["uses"].to_numpy()
         uses = new + SMOOTHING * (new.sum(1, keepdims=True) > 0) + SMOOTHING / 10
         shared.unpersist()
-    arcs = {w.encode(): np.array(c, float) for w, c in frequent.items() if w != END}
-    return Model(lattice, uses, arcs, own, total, ends)
+    return Model(lattice, uses, own, total, ends)
 
 
-def frequent_words(counts: DataFrame, classes: int, most: int = FREQUENT) -> tuple[dict[str, tuple[int, ...]], int]:
-    """Counts by class of the words of at least some count, at most ``most`` words; and that count, a power of two."""
-    sizes = {r.b: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}
+def frequent_words(words: DataFrame, most: int = FREQUENT) -> int:
+    """A power of two: at most ``most`` words occur at least as often."""
+    sizes = {r.b: r["count"] for r in words.groupBy(F.floor(F.log2("times")).cast("int").alias("b")).count().collect()}
     least, total = max(sizes, default=0) + 1, 0
     while least > 0 and total + sizes.get(least - 1, 0) <= most:
         least -= 1
         total += sizes.get(least, 0)
-    found = counts.where(F.col("n") >= 2**least).toArrow()
-    by_class = zip(*[found[f"n{i}"].to_pylist() for i in range(classes)])
-    return dict(zip(found["word"].to_pylist(), by_class)), 2**least
+    return 2**least
 
 
 def score(docs: DataFrame, training: Column, vocabulary: str, class_col: str | None = "lang", id_col: str = "doc_id",
@@ -359,64 +319,69 @@ def score(docs: DataFrame, training: Column, vocabulary: str, class_col: str | N
 
     ``training`` tells the documents to learn from; ``base_score`` is a smoothed unigram over words, in log10.
     """
-    learned = docs.where(training)
-    number, classes = classes_of(learned, class_col)
-    counts = word_counts(learned, number, classes, id_col, text_col)
-    n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    end = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent, least = frequent_words(counts, classes)
-    model = fit(counts, classes, vocabulary, frequent)
+    learns = F.coalesce(training, F.lit(False))
+    number, classes = classes_of(docs.where(learns), class_col)
+    counts = word_counts(docs, F.when(learns, number).otherwise(classes), classes, id_col, text_col)
+    n, v, end = (x or 0 for x in counts.agg(
+        F.sum("n"), F.sum((F.col("n") > 0).cast("int")), F.sum(F.when(F.col("word") == END, F.col("n")))).first())
     total = n + 0.5 * (v + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (model, {w.encode(): math.log10((sum(c) + 0.5) / total) for w, c in frequent.items()}))
+    context = docs.sparkSession.sparkContext
+    model = context.broadcast(fit(counts, classes, vocabulary))
+    logs = [f"log{i}" for i in range(classes)]
 
-    logs, gains = [f"log{i}" for i in range(classes)], [f"gain{i}" for i in range(classes)]
+    def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_class = np.stack([batch[f"n{i}"].to_numpy() for i in range(classes)], 1)
+            found = model.value.word_logs(batch["word"].to_pylist(), by_class)
+            base = np.log10((batch["n"].to_numpy() + 0.5) / total)
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(base), pa.array((batch["n"].to_numpy() > 0).astype(float)),
+                                              *map(pa.array, found.T)], names=["word", "base", "known", *logs])
+
+    words, values = counts.where(F.col("word") != END), ["base", "known", *logs]
+    least = frequent_words(words)
+    scored = f"word string, {', '.join(f'{x} double' for x in values)}"
+    frequent = words.where(F.col("times") >= least).mapInArrow(score_words, scored).toArrow()
+    shared = context.broadcast((
+        {w.encode(): i for i, w in enumerate(frequent["word"].to_pylist())}, np.stack([frequent[x].to_numpy() for x in values], 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, base = shared.value
+        place, known_words = shared.value
         for batch in batches:
             texts = as_bytes(batch["text"])
             for begin in range(0, len(texts), 200):
-                split = [tokens(t) for t in texts[begin:begin + 200]]
-                rest = [Counter(filterfalse(base.__contains__, words)) for words in split]
-                found = own.text_logs(split)
-                offsets = np.concatenate(([0], np.cumsum([len(r) for r in rest])))
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array([w for r in rest for w in r], pa.binary()).cast(pa.string()),
-                     pa.array([c for r in rest for c in r.values()], pa.int64())], names=["word", "k"])
                 part = batch.slice(begin, 200)
-                yield pa.RecordBatch.from_arrays([
-                    part["doc_id"], part["held_out"], pa.array([len(w) + 1 for w in split], pa.int64()),
-                    pa.array([len(w) - r.total() for w, r in zip(split, rest)], pa.int64()),
-                    pa.array([sum(map(base.get, w, repeat(0.0))) for w in split], pa.float64()), 
-                    *map(pa.array, found.T), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", *logs, "rest"])
-
-    def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value[0]
-        for batch in batches:
-            by_class = np.stack([batch[f"n{i}"].to_numpy() for i in range(classes)], 1)
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], *map(pa.array, own.gains(batch["word"].to_pylist(), by_class).T)],
-                                             names=["word", "n", *gains])
+                sums, sizes = np.zeros((len(part), len(values))), np.ones(len(part), np.int64)
+                rest, times, offsets = [], [], [0]
+                for i, text in enumerate(texts[begin:begin + 200]):
+                    own = Counter(tokens(text))
+                    at = np.fromiter(map(place.get, own, repeat(-1)), np.int64, len(own))
+                    k = np.fromiter(own.values(), np.int64, len(own))
+                    sizes[i] += k.sum()
+                    sums[i] = k[at >= 0] @ known_words[at[at >= 0]]
+                    rest.extend(compress(own, at < 0))
+                    times.extend(k[at < 0].tolist())
+                    offsets.append(len(rest))
+                pairs = pa.StructArray.from_arrays([pa.array(rest, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())],
+                                                   names=["word", "k"])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["held_out"], pa.array(sizes), *map(pa.array, sums.T),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+                    names=["doc_id", "held_out", "n_tokens", *values, "rest"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                        (~F.coalesce(training, F.lit(False))).alias("held_out"))
+                        (~learns).alias("held_out"))
     rows = materialize(texts.mapInArrow(
-        run, f"doc_id long, held_out boolean, n_tokens long, known long, base double, {' double, '.join(logs)} double, "
+        run, f"doc_id long, held_out boolean, n_tokens long, {', '.join(f'{x} double' for x in values)}, "
              "rest array<struct<word:string,k:long>>").withColumn("row", F.monotonically_increasing_id()))
     # Words beyond the broadcast ones are rarer than its bound, so no word is hot here.
-    beyond = counts.where((F.col("n") < least) & (F.col("word") != END)).mapInArrow(
-        gain, f"word string, n long, {' double, '.join(gains)} double")
-    rare = rows.select("row", F.inline("rest")).join(beyond, "word", "left")
-    base_logs = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(total)))
-    added = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"),
-                                    F.sum(F.col("k") * base_logs).alias("more_base"),
-                                    *[F.sum(F.col("k") * F.coalesce(g, F.lit(0.0))).alias(g) for g in gains])
-    joint = F.array(*[F.col(a) + F.coalesce(g, F.lit(0.0)) for a, g in zip(logs, gains)])
+    beyond = words.where(F.col("times") < least).mapInArrow(score_words, scored)
+    added = rows.select("row", F.inline("rest")).join(beyond, "word").groupBy("row").agg(
+        *[F.sum(F.col("k") * F.col(x)).alias(f"more_{x}") for x in values])
+    whole = {x: F.col(x) + F.coalesce(f"more_{x}", F.lit(0.0)) for x in values}
+    joint = F.array(*[whole[x] + start for x, start in zip(logs, model.value.starts.tolist())])
     summed = F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("joint")))
     return rows.join(added, "row", "left").withColumn("joint", joint).select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(end > 0)).alias("n_known"),
+        "doc_id", "held_out", "n_tokens", (F.round(whole["known"]).cast("long") + int(end > 0)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + math.log10((end + 0.5) / total)).alias("base_score"),
+        (whole["base"] + math.log10((end + 0.5) / total)).alias("base_score"),
         ((F.array_max("joint") + F.log(summed)) / math.log(10)).alias("score"))
