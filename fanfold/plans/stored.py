@@ -22,6 +22,7 @@ from fanfold.streaming import follow, landing, watch
 
 PAGE_ROWS = 100
 FILES_PER_BATCH = 1000  # only a matter of speed: results do not depend on it
+ONE_FILE_EACH = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
 
 
 def fresh(t: Inputs) -> str:
@@ -95,9 +96,12 @@ def s6_documents(t: Inputs) -> DataFrame:
     one = t.customer.where("c_custkey % 100 = 0").select("c_mktsegment", "c_custkey", F.array(row).alias("rows"))
     many = t.customer.where("c_custkey % 100 <> 0").groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 100).alias("c_custkey")).agg(
         F.collect_list(row).alias("rows"))
-    texts = one.unionByName(many).select("c_mktsegment", F.to_json("rows", {"pretty": "true"}).alias("value"))
-    # A text file holds one document each, so files are dealt by their own key.
-    texts.withColumn("file", F.monotonically_increasing_id()).write.partitionBy("c_mktsegment", "file").text(root)
+    # A file takes long for its size, so documents are dealt to a given number of tasks, however few bytes they are.
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = one.unionByName(many).repartition(tasks, "c_mktsegment", "c_custkey")
+    texts = dealt.select("c_mktsegment", F.to_json("rows", {"pretty": "true"}).alias("value"))
+    # A file holds one document. Tasks put their files in place themselves, so that the driver doesn't move them one by one.
+    texts.write.partitionBy("c_mktsegment").options(**ONE_FILE_EACH).text(root)
     read = files.read_json_documents(t.spark, root, "c_custkey BIGINT, c_acctbal DOUBLE, c_mktsegment STRING")
     return read.groupBy(F.col("c_mktsegment").alias("segment")).agg(
         F.count(F.lit(1)).alias("n_documents"), F.sum("c_custkey").alias("keys"), F.count_if(F.col("c_acctbal") < 0).alias("n_negative"))

@@ -204,3 +204,20 @@ def test_stream_queries_read_a_folder_of_parts(spark, tmp_path, rows, name):
     spark.read.parquet(f"{source}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     query = entries.queries()[name]
     assert rows(query(spark, str(tmp_path))) == rows(query(spark, source))
+
+
+def test_documents_are_dealt_one_to_a_file_without_folders_of_their_own(spark, tmp_path, monkeypatch, rows):
+    from fanfold.plans import stored
+
+    customers = spark.range(1200).select(
+        F.col("id").alias("c_custkey"), F.expr("array('A', 'B', NULL)[id % 3]").alias("c_mktsegment"),
+        (F.col("id") - 600).cast("decimal(12,2)").alias("c_acctbal"))
+    customers.coalesce(1).write.parquet(str(tmp_path / "in/customer.parquet"))
+    monkeypatch.setattr(stored, "fresh", lambda t: str(tmp_path / "out"))
+    found = rows(entries.queries()["s6_documents"](spark, str(tmp_path / "in")))
+    want = [(s, 400, sum(keys), sum(k < 600 for k in keys)) for s, keys in (("A", range(0, 1200, 3)), ("B", range(1, 1200, 3)), (None, range(2, 1200, 3)))]
+    assert found == sorted(want, key=repr)
+    documents = [p for p in (tmp_path / "out").rglob("part-*")]
+    assert len(documents) == 12 + 3 * 12 and all(json.loads(p.read_text()) for p in documents)
+    assert len([p for p in (tmp_path / "out").rglob("*") if p.is_dir()]) == 3
+    assert len({p.name[:10] for p in documents}) > 1  # several tasks share the files of one small input
