@@ -5,41 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.session import materialize
+from fanfold.session import in_tasks, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long); a component's number is its smallest node.
 
     A node's neighbours are never gathered: minima are aggregated in every task first and joined back. Each step is written
-    to the shared folder; a logarithmic number of them is usual.
+    to the shared folder, by as many tasks as its edges need; a logarithmic number of them is usual.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(now)
-    while before[0]:
-        now = materialize(_small_star(_large_star(now)))
-        after = _state(now)
-        if after == before:
-            break
-        before = after
+    count, done = _state(now)
+    while not done:
+        now = materialize(in_tasks(_small_star(_large_star(in_tasks(now, count), count), count), count))
+        count, done = _state(now)
+    now = in_tasks(now, count)
     # What is left is stars: every node points at its component's smallest.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether they are stars: no node points at two others, or at one that points on."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    count, rest = nodes.agg(F.sum("ups"), F.count_if(F.expr("ups > 1 OR ups = 1 AND least = 0"))).first()
+    return count or 0, not rest
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return in_tasks(in_tasks(moved, count).distinct(), count)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """Joins every smaller neighbour of a node, and the node, to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    # The smallest neighbour itself stays as the node's own edge.
+    moved = edges.join(least, "a").select(
+        F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    return in_tasks(moved, count).distinct()

@@ -41,7 +41,7 @@ WORDS = 5
 PERCENT = 75
 ROWS, BANDS = 4, 32
 BATCH = 32  # signature values compared at once
-STEPS = (2, -6)  # matches above those expected at the threshold, at which a step of the comparison across components ends
+STEPS = (-6,)  # matches above those expected at the threshold, at which a step of the comparison across components ends
 MISS = 1e-6  # posterior probability of a link at which a pair is dropped
 PART_BYTES = 1 << 20
 BATCH_ROWS = 500  # documents whose sets a task holds at once
@@ -291,8 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     stars = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = materialize(prune(stars, sigs, percent, miss))
     sets = sets_of(both_ends(pairs), keys, texts)
-    links = exact_links(pairs, sets, percent)
-    known = materialize(components(links))
+    known = materialize(components(exact_links(pairs, sets, percent)))
     members = members.select("band", "key", "node")
     least, total = least_matches(percent / 100, miss), ROWS * BANDS
     lows = [min(total, max(least[-1], total * percent // 100 + step)) for step in STEPS] + [least[-1]]
@@ -302,8 +301,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
             new = materialize(both_ends(rest).join(sets, "node", "left_anti"))
             if not new.isEmpty():
                 sets = sets.unionByName(sets_of(new, keys, texts))
-            links = links.unionByName(exact_links(rest, sets, percent))
-            known = materialize(components(links))
+            # Components so far, as stars, stand for the links that made them.
+            stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            known = materialize(components(stars.unionByName(exact_links(rest, sets, percent))))
     labelled = classes.select("set_key", "node", "first").join(known, "node", "left").select(
         "set_key", "first", F.coalesce("component", "node").alias("component"))
     firsts = labelled.groupBy("component").agg(F.min("first").alias("first"))

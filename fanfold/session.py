@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 PARTITION_BYTES = 128 * 1024**2
+ROWS_PER_TASK = 20_000
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shuffle_partitions(input_bytes: int) -> int:
@@ -63,7 +65,22 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written copy.
 
     Needed where two branches must see the very same physical order (see
-    :mod:`fanfold.operators.ordering`); the copy survives the loss of executors.
+    :mod:`fanfold.operators.ordering`); the copy survives the loss of executors. Shuffle files behind it go as soon as it
+    is written, so that a chain of steps holds those of one step at a time on disk.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan made anew: the setting holds for plans made under it
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have about so many short rows, in no more tasks than they need; no fewer than there are cores."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))

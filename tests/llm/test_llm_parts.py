@@ -250,3 +250,14 @@ def test_words_of_texts_keep_their_places():
     # A word's buckets do not depend on what stands around it.
     alone = language_id.Words(["cd"]).buckets()
     assert (words.buckets()[:, 2:4] == alone).all()
+
+
+def test_components_that_are_stars_already_take_no_step(spark, rows, monkeypatch):
+    steps, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: steps.append(1) or write(df))
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 1), (4, 2), (4, 4), (5, 1)], "a long, b long")
+    assert rows(components.components(stars)) == [(1, 1), (2, 2), (4, 2), (5, 1), (7, 1), (9, 1)]
+    assert len(steps) == 1
+    assert rows(components.components(stars.where("a > 100"))) == []
+    chain = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)] + [(i + 2, i + 1) for i in range(0, 39, 2)], "a long, b long")
+    assert rows(components.components(chain)) == sorted([(i, 0) for i in range(41)], key=repr)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 import time
 
 import pytest
@@ -14,7 +15,7 @@ import __spark_entry__ as entries
 from fanfold.operators import telemetry as M
 from fanfold.operators.logs import fresh
 from fanfold.operators.metrics import align_mean
-from fanfold.session import materialize, shared_dir
+from fanfold.session import in_tasks, materialize, shared_dir
 from fanfold.sources import files, records
 from fanfold.sources.catalogue import files_below, read_catalogue, write_catalogue
 from fanfold.sources.walk import walk_store
@@ -221,3 +222,34 @@ def test_documents_are_dealt_one_to_a_file_without_folders_of_their_own(spark, t
     assert len(documents) == 12 + 3 * 12 and all(json.loads(p.read_text()) for p in documents)
     assert len([p for p in (tmp_path / "out").rglob("*") if p.is_dir()]) == 3
     assert len({p.name[:10] for p in documents}) > 1  # several tasks share the files of one small input
+
+
+def test_written_steps_leave_no_shuffle_files(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import time
+from pathlib import Path
+from fanfold.session import FREE_SHUFFLES, build_session, materialize
+spark = build_session(master="local[2]", **{{"spark.ui.enabled": "false", "spark.local.dir": {str(tmp_path / "local")!r},
+    "spark.checkpoint.dir": {str(tmp_path / "shared")!r}, "spark.driver.memory": "1g"}})
+before = spark.conf.get(FREE_SHUFFLES)
+step = spark.range(1000).withColumnRenamed("id", "k")
+for i in range(3):
+    step = materialize(step.groupBy((step.k % (500 - i)).alias("k")).count().select("k"))
+until = time.time() + 20
+while (left := list(Path({str(tmp_path / "local")!r}).rglob("shuffle_*"))) and time.time() < until:
+    time.sleep(0.2)
+print("left", len(left), step.count(), spark.conf.get(FREE_SHUFFLES) == before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=200,
+                         env={k: v for k, v in os.environ.items() if k != "SPARK_LOCAL_DIRS"})
+    assert "left 0 498 True" in run.stdout, run.stdout + run.stderr[-2000:]
+
+
+def test_few_rows_go_to_few_tasks(spark):
+    many = spark.range(0, 100, 1, 64)
+    assert in_tasks(many, 100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert in_tasks(many, 10**9).rdd.getNumPartitions() == 64
