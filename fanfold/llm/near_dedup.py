@@ -7,7 +7,8 @@
    pairs first; each pair belongs to one step, and is left out only if its texts are in one component by then. So no link
    between components is missed, and no bucket has to list the pairs of a group that is one component already.
 3. A candidate pair's signatures are compared in batches. After each, the pair is dropped when the posterior probability
-   of a similarity of at least the threshold is below ``MISS``.
+   of a similarity of at least the threshold is below ``MISS``, or when sketches of the full sets show that they differ in
+   too many members. So a large group of texts that are somewhat less alike is not listed pair by pair.
 4. The survivors' full sets decide: 100 * intersection >= percent * union.
 5. Links make components; a component's id is its smallest doc_id.
 
@@ -42,6 +43,8 @@ PERCENT = 75
 ROWS, BANDS = 4, 32
 BATCH = 32  # signature values compared at once
 STEPS = (-6,)  # matches above those expected at the threshold, at which a step of the comparison across components ends
+SKETCH = 2048  # bits
+PROFILE = BANDS + SKETCH // 64 + 1
 MISS = 1e-6  # posterior probability of a link at which a pair is dropped
 PART_BYTES = 1 << 20
 BATCH_ROWS = 500  # documents whose sets a task holds at once
@@ -77,6 +80,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(48)).astype(np.uint16).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """For every remainder of a hash by ``SKETCH`` whether it is left an odd number of times, as bits of 64-bit values.
+
+    Two sets differ in at least as many members as their sketches do in bits.
+    """
+    odd = np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches and sizes of pairs of profiles leave a similarity of at least ``percent`` possible.
+
+    100 * common >= percent * union says the same as (100 + percent) * differing <= (100 - percent) * both sizes.
+    """
+    # Unsigned: of a negative number bitwise_count counts the bits of its absolute value.
+    differing = np.bitwise_count((a[:, BANDS:-1] ^ b[:, BANDS:-1]).astype(np.uint64)).sum(1, dtype=np.int64)
+    differing = np.maximum(differing, np.abs(a[:, -1] - b[:, -1]))
+    return (100 + percent) * differing <= (100 - percent) * (a[:, -1] + b[:, -1])
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -93,7 +116,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) ->
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document: doc_id, text_key, n_shingles, set_key and sig (NULL without shingles)."""
+    """Per document: doc_id, text_key, n_shingles, set_key and sig (NULL without shingles): its profile, which is the keys of
+    its bands, its sketch and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -101,7 +125,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for shingles in shingle_sets(as_bytes(batch["text"])):
                 sizes.append(len(shingles))
                 keys.append(set_key(shingles) if len(shingles) else None)
-                sigs.append(signature(shingles) if len(shingles) else None)
+                sigs.append(np.concatenate([signature(shingles), sketch(shingles), [len(shingles)]]) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
@@ -139,20 +163,26 @@ def survivors(a: np.ndarray, b: np.ndarray, least: list[int], batch: int = BATCH
 
 
 def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A column of signatures as rows of 16-bit values."""
+    """A column of profiles as rows."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return array.flatten().to_numpy().view(np.uint16).reshape(len(array), ROWS * BANDS)
+    return array.flatten().to_numpy().reshape(len(array), PROFILE)
+
+
+def _signature(profiles: np.ndarray) -> np.ndarray:
+    """The 16-bit values of rows of profiles."""
+    return np.ascontiguousarray(profiles[:, :BANDS]).view(np.uint16)
 
 
 def prune(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) that sequential verification does not drop."""
+    """The pairs (a, b) that sequential verification and the sketches do not drop."""
     least = least_matches(percent / 100, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                alive = pa.array(survivors(_values(batch["sig_a"]), _values(batch["sig_b"]), least)[0])
-                yield batch.select(["a", "b"]).take(alive)
+                a, b = _values(batch["sig_a"]), _values(batch["sig_b"])
+                alive = survivors(_signature(a), _signature(b), least)[0]
+                yield batch.select(["a", "b"]).take(pa.array(alive[may_link(a[alive], b[alive], percent)]))
 
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(
         sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -224,9 +254,9 @@ def both_ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, least: list[int], low: int, high: int) -> DataFrame:
-    """Pairs of different components in buckets that hold several, which verification does not drop, with at least ``low``
-    and less than ``high`` matches.
+def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, least: list[int], percent: int, low: int, high: int) -> DataFrame:
+    """Pairs of different components in buckets that hold several, which verification and the sketches do not drop, with at
+    least ``low`` and less than ``high`` matches.
 
     ``members``: band, key, node; ``known``: node, component of the nodes that have links.
     """
@@ -252,7 +282,8 @@ def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, least:
 
     def compare(table: pa.Table) -> pa.Table:
         nodes, comp = table["node"].to_numpy(), table["component"].to_numpy()
-        values, keys = _values(table["sig"]), table["sig"].combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
+        profiles = _values(table["sig"])
+        values, keys = _signature(profiles), profiles[:, :BANDS]
         band, block = int(table["band"][0].as_py()), table["block"].to_numpy()
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         left = np.flatnonzero(block == x)
@@ -267,6 +298,7 @@ def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, least:
             if len(js):
                 alive, matches = survivors(np.broadcast_to(values[i], (len(js), values.shape[1])), values[js], least)
                 js = js[alive[(matches >= low) & (matches < high)]]
+                js = js[may_link(profiles[[i]], profiles[js], percent)]
                 out_a += np.maximum(nodes[js], nodes[i]).tolist()
                 out_b += np.minimum(nodes[js], nodes[i]).tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -283,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
         F.min_by("sig", "row").alias("sig"), F.min("row").alias("node"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")))
     sigs = classes.select("node", "sig")
-    bands = sigs.select("node", F.posexplode("sig").alias("band", "key"))
+    bands = sigs.select("node", F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "key"))
     buckets = materialize(bands.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
                           .where("n > 1").select("band", "key", "pivot"))
     members = materialize(bands.join(buckets, ["band", "key"]))
@@ -296,7 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     least, total = least_matches(percent / 100, miss), ROWS * BANDS
     lows = [min(total, max(least[-1], total * percent // 100 + step)) for step in STEPS] + [least[-1]]
     for high, low in zip([total + 1, *lows], lows):
-        rest = materialize(leftover_pairs(members, sigs, known, least, low, high).join(pairs, ["a", "b"], "left_anti"))
+        rest = materialize(leftover_pairs(members, sigs, known, least, percent, low, high).join(pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             new = materialize(both_ends(rest).join(sets, "node", "left_anti"))
             if not new.isEmpty():

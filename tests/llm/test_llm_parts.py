@@ -261,3 +261,21 @@ def test_components_that_are_stars_already_take_no_step(spark, rows, monkeypatch
     assert rows(components.components(stars.where("a > 100"))) == []
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)] + [(i + 2, i + 1) for i in range(0, 39, 2)], "a long, b long")
     assert rows(components.components(chain)) == sorted([(i, 0) for i in range(41)], key=repr)
+
+
+def test_sketches_drop_pairs_below_the_threshold_and_no_link():
+    rng = np.random.default_rng(5)
+    for size in (1, 5, 40, 300, 4000):
+        dropped = 0
+        for share in rng.uniform(0.3, 1, 60):
+            pool = rng.integers(0, 1 << 64, 2 * size, np.uint64)
+            common = int(share * size)
+            sets = [np.unique(pool[:size]), np.unique(np.concatenate([pool[:common], pool[size:2 * size - common]]))]
+            a, b = (np.concatenate([near_dedup.signature(s), near_dedup.sketch(s), [len(s)]])[None, :] for s in sets)
+            both = len(np.intersect1d(*sets))
+            linked = 100 * both >= 75 * (len(sets[0]) + len(sets[1]) - both)
+            possible = bool(near_dedup.may_link(a, b, 75)[0])
+            assert possible or not linked
+            dropped += not possible
+        assert dropped or size > 300
+    assert not near_dedup.may_link(*(np.concatenate([np.zeros(near_dedup.PROFILE - 1, np.int64), [n]])[None, :] for n in (74, 100)), 75)[0]
