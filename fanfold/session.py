@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 PARTITION_BYTES = 128 * 1024**2
 ROWS_PER_TASK = 20_000
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITING = {  # Spark settings under which a step is written
+    FREE_SHUFFLES: "true",
+    # What goes to Python and back at once. Ten thousand texts, Spark's own bound, take tens of MB, several times over: as
+    # Arrow vectors, as the stream of them, in the executor's heap, which keeps its size for all later steps, and in Python.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024**2),
+}
 
 
 def shuffle_partitions(input_bytes: int) -> int:
@@ -66,19 +72,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Needed where two branches must see the very same physical order (see
     :mod:`fanfold.operators.ordering`); the copy survives the loss of executors. Shuffle files behind it go as soon as it
-    is written, so that a chain of steps holds those of one step at a time on disk.
+    is written, so that a chain of steps holds those of one step at a time on disk, and Python functions get their rows in
+    small batches, so that memory does not follow the length of the rows.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    before = {key: spark.conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan made anew: the setting holds for plans made under it
+        return df.select("*").checkpoint(eager=True)  # a plan made anew: the settings hold for plans made under them
     finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def in_tasks(df: DataFrame, rows: int) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -253,3 +254,16 @@ def test_few_rows_go_to_few_tasks(spark):
     many = spark.range(0, 100, 1, 64)
     assert in_tasks(many, 100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert in_tasks(many, 10**9).rdd.getNumPartitions() == 64
+
+
+def test_a_written_step_sends_long_rows_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(1000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    found = materialize(texts.mapInArrow(sizes, "rows long, bytes long")).collect()
+    assert sum(r.rows for r in found) == 1000 and max(r.bytes for r in found) < 5_000_000
+    assert spark.conf.get(key) == before
