@@ -5,8 +5,8 @@ The head is broadcast: frequent words with their CRC and their CRC state after o
 them with their buckets. Everything else, the tail, takes a direct CRC: a word over its bytes, a pair over the second
 word's bytes from the first one's state. Head and tail give the same exact buckets, so the head decides only how fast.
 
-1. :func:`find_head` counts words and pairs of all documents in bounded tables per task (the rarer half goes when a table is
-   full) and adds them up; the ``HEAD_WORDS`` and ``HEAD_PAIRS`` most frequent are the head.
+1. :func:`find_head` counts words and pairs of all documents, by their hashes, in bounded tables per task (the rarer half goes
+   when a table is full) and adds them up; the ``HEAD_WORDS`` and ``HEAD_PAIRS`` most frequent are the head.
 2. :func:`bucket_totals` adds features per bucket inside each task, so at most ``buckets`` rows leave a task.
 3. :func:`bucket_gains` is one number per bucket, which is broadcast; :func:`weigh` adds them up per document.
 4. :func:`resample` adds noise from the id, sorts the eligible documents in a distributed order and draws the first.
@@ -22,8 +22,7 @@ are no error: all counts are 0. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain, repeat
 from zlib import crc32
 
@@ -33,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanfold.llm.common import as_bytes, id_and_text, text_key
+from fanfold.llm.hashing import window_hashes, word_hashes
 from fanfold.operators.ordering import dense_index
 from fanfold.session import materialize
 
 BUCKETS = 10_000
 HEAD_WORDS, HEAD_PAIRS, HEAD_BYTES = 8192, 65_536, 64
-TABLE = 200_000  # entries of a task's table of counts
+TABLE = 200_000  # entries of a task's table of counts, at most
 STRETCH = 1 << 20
 
 # A-Z become a-z, the other ASCII signs that are no word are separators.
@@ -113,28 +113,78 @@ class Head:
         return owner[counted], crc[counted].astype(np.int64) % self.buckets, owner[begins], pair
 
 
+class Tally:
+    """Counts by 64-bit key, and columns of values of each key's first place; the rarer half goes when there are too many."""
+
+    def __init__(self, *kinds: type):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.columns = [np.zeros(0, kind) for kind in kinds]
+
+    def add(self, keys: np.ndarray, *columns: np.ndarray) -> None:
+        own, first, n = np.unique(keys, return_index=True, return_counts=True)
+        at, known = np.searchsorted(self.keys, own), np.zeros(len(own), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == own[inside]
+        self.counts[at[known]] += n[known]
+        at, first = at[~known], first[~known]
+        self.keys, self.counts = np.insert(self.keys, at, own[~known]), np.insert(self.counts, at, n[~known])
+        self.columns = [np.insert(old, at, new[first]) for old, new in zip(self.columns, columns)]
+        if len(self.keys) > TABLE:
+            often = np.sort(self.most(TABLE // 2))
+            self.keys, self.counts, *self.columns = (x[often] for x in (self.keys, self.counts, *self.columns))
+
+    def most(self, limit: int) -> np.ndarray:
+        """The places of the largest counts, in no order."""
+        if len(self.keys) <= limit:
+            return np.arange(len(self.keys))
+        return np.argpartition(self.counts, len(self.keys) - limit)[len(self.keys) - limit:]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys, -1 where there is none."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = -1
+        return np.where(self.keys[at] == keys, at, -1) if len(self.keys) else at
+
+
+def tally(group: Group, single: Tally, double: Tally) -> None:
+    """Adds a group's words, which keep their bytes, and pairs, which keep their words' keys."""
+    pieces = [piece for _, piece, _ in group]
+    hashes, bounds = word_hashes(pieces)
+    words = np.empty(len(hashes), object)
+    words[:] = b" ".join(pieces).split()
+    counted, paired = np.ones(len(hashes), bool), np.ones(max(len(hashes) - 1, 0), bool)
+    counted[[a for a, b, (_, _, carried) in zip(bounds[:-1], bounds[1:], group) if carried and a < b]] = False
+    paired[[b - 1 for b in bounds if 0 < b < len(hashes)]] = False
+    single.add(hashes[counted], words[counted])
+    double.add(window_hashes(hashes, 2)[paired], hashes[:-1][paired], hashes[1:][paired])
+
+
+def spelled(single: Tally, double: Tally, words: int, pairs: int) -> Sequence[np.ndarray]:
+    """The most frequent words and pairs as columns: first word, second word (None for a single word), count."""
+    text, = single.columns
+    short = np.array([len(w) <= HEAD_BYTES for w in text], bool)
+    one, two = single.most(words), double.most(pairs)
+    one = one[short[one]]
+    a, b = (single.find(column[two]) for column in double.columns)
+    # A pair is of use to the head only with both its words.
+    held = (a >= 0) & (b >= 0)
+    held[held] = short[a[held]] & short[b[held]]
+    return (np.concatenate([text[one], text[a[held]]]), np.concatenate([np.full(len(one), None), text[b[held]]]),
+            np.concatenate([single.counts[one], double.counts[two[held]]]))
+
+
 def find_head(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS, words: int = HEAD_WORDS,
               pairs: int = HEAD_PAIRS) -> Head:
     """The most frequent words and pairs of all documents, by counts that are exact but for rare entries."""
 
-    def halved(table: Counter) -> Counter:
-        return Counter(dict(table.most_common(TABLE // 2)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, double = Counter(), Counter()
+        single, double = Tally(object), Tally(np.uint64, np.uint64)
         for batch in batches:
             for group in stretches(as_bytes(batch.column(0))):
-                for _, piece, carried in group:
-                    found = piece.split()
-                    single.update(found[1:] if carried else found)
-                    double.update(zip(found, found[1:]))
-                single = halved(single) if len(single) > TABLE else single
-                double = halved(double) if len(double) > TABLE else double
-        best = [(a, None, n) for a, n in single.most_common(words) if len(a) <= HEAD_BYTES]
-        best += [(a, b, n) for (a, b), n in double.most_common(pairs) if len(a) <= HEAD_BYTES and len(b) <= HEAD_BYTES]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*best) if best else [[]] * 3,
-                                                                          (pa.binary(), pa.binary(), pa.int64()))],
-                                         names=["a", "b", "n"])
+                tally(group, single, double)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(spelled(single, double, words, pairs), (pa.binary(), pa.binary(), pa.int64()))],
+            names=["a", "b", "n"])
 
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "a binary, b binary, n long")
     counts = materialize(counts.groupBy("a", "b").agg(F.sum("n").alias("n")))
