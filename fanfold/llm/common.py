@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -52,6 +53,15 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system, where the C library can: the worker outlives its task, and
+    what it keeps would count beside the executor's heap in every later step."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_batch(df: DataFrame, schema: str | T.StructType,
               start: Callable[[], Callable[[pa.RecordBatch], Sequence]]) -> DataFrame:
     """Runs ``start()`` once per task and the function it returns on every Arrow batch.
@@ -68,6 +78,7 @@ def per_batch(df: DataFrame, schema: str | T.StructType,
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)],
                 schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, kind)
 

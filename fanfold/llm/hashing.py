@@ -22,7 +22,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``size`` of each."""
     if not _powers or len(_powers[0]) < size:
-        steps = np.full((2, max(size, 1 << 20)), 1, np.uint64)
+        steps = np.full((2, max(size, 1 << 18)), 1, np.uint64)
         steps[0, 1:], steps[1, 1:] = _BASE, _INVERSE
         _powers[:] = np.multiply.accumulate(steps, axis=1)
     return _powers[0], _powers[1]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanfold.llm.common import as_texts, drop_rows, free_names, id_and_text, per_batch, text_key
+from fanfold.llm.common import as_texts, drop_rows, free_names, give_back, id_and_text, per_batch, text_key
 
 UNKNOWN = "und"
 PER_LANGUAGE = 1_000  # expected training texts of a language
@@ -37,7 +37,8 @@ BUCKETS = 1 << 16  # per order
 SMOOTHING = 0.5
 SWITCH_PENALTY = 24.0  # natural log units: about what three clear words weigh
 SCRIPT_SHARE = 0.02  # of a language's letters, for a script to be its own
-BATCH_CELLS = 2_000_000  # characters times languages worked on at once
+BATCH_CELLS = 500_000  # characters times languages worked on at once
+TRAINING_CHARACTERS = 2_000_000  # of a text that are counted at once
 
 # First code points of ranges and the script they begin, by code point.
 SCRIPTS = [
@@ -236,8 +237,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         size = len(ORDERS) * BUCKETS
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), as_texts(batch["text"])):
-                for at in range(0, len(text), BATCH_CELLS):
-                    words = Words([text[at:at + BATCH_CELLS]])
+                for at in range(0, len(text), TRAINING_CHARACTERS):
+                    words = Words([text[at:at + TRAINING_CHARACTERS]])
                     own = counts.setdefault(lang, np.zeros(size + len(SCRIPT_NAMES), np.int64))
                     own[:size] += np.bincount(words.buckets().ravel(), minlength=size)
                     own[size:] += np.bincount(words.scripts, words.lengths, len(SCRIPT_NAMES)).astype(np.int64)
@@ -245,6 +246,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()),
                                               pa.array(own[some], pa.int64())], names=["lang", "feature", "n"])
+        give_back()
 
     rows = sample.mapInArrow(counted, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     # At most (orders * buckets + scripts) rows for a language.

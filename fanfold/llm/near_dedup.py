@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.llm.common import as_bytes, id_and_text, text_key
+from fanfold.llm.common import as_bytes, give_back, id_and_text, text_key
 from fanfold.llm.components import components
 from fanfold.llm.hashing import in_parts, mixed, window_hashes, word_hashes
 from fanfold.session import materialize
@@ -46,7 +46,7 @@ STEPS = (-6,)  # matches above those expected at the threshold, at which a step
 SKETCH = 2048  # bits
 PROFILE = BANDS + SKETCH // 64 + 1
 MISS = 1e-6  # posterior probability of a link at which a pair is dropped
-PART_BYTES = 1 << 20
+PART_BYTES = (1 << 18) - 1024  # with the gaps between texts still within the powers that hashing starts with
 BATCH_ROWS = 500  # documents whose sets a task holds at once
 BLOCK = 2048  # classes of a bucket in a block: two blocks are compared in a second or so, and are 1.2 MB
 MEMBERS = 200  # sets compared with a pivot in one group
@@ -129,6 +129,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
+        give_back()
 
     return id_and_text(docs, id_col, text_col).withColumn("text_key", text_key("text")).mapInArrow(
         run, "doc_id long, text_key long, n_shingles long, set_key binary, sig array<long>")
@@ -223,6 +224,7 @@ def sets_of(nodes: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
                         keys.append(key)
                         found.append(shingles.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["set_key", "shingles"])
+        give_back()
 
     made = texts.select("text").mapInArrow(sets, "set_key binary, shingles binary").groupBy("set_key").agg(
         F.first("shingles").alias("shingles"))

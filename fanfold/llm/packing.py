@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.llm.common import WORD_GAPS, as_bytes, bounded_cache, id_and_text
+from fanfold.llm.common import WORD_GAPS, as_bytes, bounded_cache, give_back, id_and_text
 from fanfold.session import materialize
 
 CAPACITY = 2048
 BLOCK_PIECES = 4_000  # pieces that one task packs at once
 HANDED_ON = 6  # bins that a block hands on to the next round
 TARGETS = 64  # underfull bins that one step of the search looks at
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000  # about 20 MB
+CACHED_BYTES = 4_000_000  # of words, for long ones
 CLOSING_ID = 0
 
 # Letters below U+0600 that stay single letters in every normal form and case.
@@ -68,6 +69,7 @@ def word_coder(path: str):
     ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
     cache: dict[bytes, bytes] = {}
+    held = 0  # bytes of the words in the cache
 
     def one_by_one(words: list[bytes]) -> None:
         for word, found in zip(words, tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
@@ -115,10 +117,14 @@ def word_coder(path: str):
         return UNIT_BYTES(lower) if PLAIN.issuperset(lower.decode()) else lower.split()
 
     def encode(texts: list[bytes]) -> list[bytes]:
+        nonlocal held
         split = [units_of(t) for t in texts]
-        if len(cache) > CACHED_WORDS:
+        if len(cache) > CACHED_WORDS or held > CACHED_BYTES:
             cache.clear()
-        learn(set().union(*split).difference(cache))
+            held = 0
+        new = set().union(*split).difference(cache)
+        held += sum(map(len, new))
+        learn(new)
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
     return encode
@@ -144,6 +150,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
                         rows.append((doc_id, n, at // 4, len(one) // 4, zlib.crc32(one)))
             columns = zip(*rows) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 

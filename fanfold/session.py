@@ -15,7 +15,9 @@ WRITING = {  # Spark settings under which a step is written
     FREE_SHUFFLES: "true",
     # What goes to Python and back at once. Ten thousand texts, Spark's own bound, take tens of MB, several times over: as
     # Arrow vectors, as the stream of them, in the executor's heap, which keeps its size for all later steps, and in Python.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024**2),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1024**2),
+    # Rows that the Parquet reader holds as vectors; for 4096 texts, its own number, these are arrays of tens of MB a task.
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
 
