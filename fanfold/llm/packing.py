@@ -44,7 +44,9 @@ SIMPLE = re.compile(f"[!-~{_LETTERS}]+")
 UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{_LETTERS}]+|[0-9]|[^a-zA-Z0-9{_LETTERS}]+")
 
 # In a text of these signs all bytes above ASCII belong to letters, so its units are found in its bytes.
-PLAIN = frozenset(WORD_GAPS + "".join(map(chr, range(0x21, 0x7F))) + _LETTERS.replace("\\", ""))
+PLAIN = re.compile(f"[{WORD_GAPS}!-~{_LETTERS}]*")
+# Words that no normal form and no change of case alters.
+LOWER = re.compile(f"[a-z{''.join(c for c in _LETTERS if c == c.lower())}]+")
 UNIT_BYTES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+").findall
 
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -61,24 +63,29 @@ def word_coder(path: str):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    # The same model behind the two steps that words of small letters need: cutting at spaces, and bytes as signs.
+    small = Tokenizer(tokenizer.model)
+    small.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
     cache: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}  # the cache before it was full last: words that come again go back into the cache
     held = 0  # bytes of the words in the cache
 
     def one_by_one(words: list[bytes]) -> None:
         for word, found in zip(words, tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
             cache[word] = np.array(found.ids, "<u4").tobytes()
 
-    def together(words: list[bytes]) -> None:
+    def together(words: list[bytes], coder: Tokenizer) -> None:
         """Words of letters only, as one text; each is one unit, whose last token bears the word-end mark."""
         text = b" ".join(words).decode()
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(ends[ids]) + 1
         if len(stops) != len(words):  # the tokenizer divides a word that looks whole here
             return one_by_one(words)
@@ -100,8 +107,10 @@ def word_coder(path: str):
             if SIMPLE.fullmatch(text) and not (b"<|" in word and has_added(word)):
                 units[word] = [u.encode() for u in UNIT.findall(text)]
         letters += [u for u in set().union(*units.values()).difference(cache) if u.decode().isalpha()]
-        for at in range(0, len(letters), 1000):
-            together(letters[at:at + 1000])
+        lower = [w for w in letters if LOWER.fullmatch(w.decode())]
+        for words, coder in (lower, small), (list(set(letters).difference(lower)), tokenizer):
+            for at in range(0, len(words), 1000):
+                together(words[at:at + 1000], coder)
         one_by_one([u for u in {*others, *(u for parts in units.values() for u in parts)} if u not in cache
                     and (u not in units or len(units[u]) == 1)])
         for word, parts in units.items():
@@ -114,17 +123,18 @@ def word_coder(path: str):
         if b"<|" in text and has_added(text):
             return [w if has_added(w) else w.lower() for w in text.split()]
         lower = text.lower()
-        return UNIT_BYTES(lower) if PLAIN.issuperset(lower.decode()) else lower.split()
+        return UNIT_BYTES(lower) if PLAIN.fullmatch(lower.decode()) else lower.split()
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        nonlocal held
+        nonlocal cache, older, held
         split = [units_of(t) for t in texts]
-        if len(cache) > CACHED_WORDS or held > CACHED_BYTES:
-            cache.clear()
-            held = 0
+        if 2 * len(cache) > CACHED_WORDS or 2 * held > CACHED_BYTES:
+            cache, older, held = {}, cache, 0
         new = set().union(*split).difference(cache)
         held += sum(map(len, new))
-        learn(new)
+        again = new.intersection(older)
+        cache.update(zip(again, map(older.__getitem__, again)))
+        learn(new.difference(again))
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
     return encode

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,45 @@ def test_the_cache_of_words_is_bounded(count, length, most):
     assert coder(first) == ids
 
 
+def test_words_that_come_again_are_coded_once(monkeypatch):
+    import tokenizers
+
+    real, coded, path = tokenizers.Tokenizer, Counter(), tokenizer_file("word_bpe_49k.json")
+
+    class Recording:
+        def __init__(self, model=None, whole=None):
+            object.__setattr__(self, "whole", whole or real(model))
+
+        from_file = classmethod(lambda cls, path: cls(whole=real.from_file(path)))
+        __getattr__ = lambda self, name: getattr(self.whole, name)
+        __setattr__ = lambda self, name, value: setattr(self.whole, name, value)
+
+        def encode_batch_fast(self, texts, **how):
+            coded.update(word for text in texts for word in text.split())
+            return self.whole.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Recording)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 4000)
+    coder, often = packing.word_coder.__wrapped__(path), words(0, 500, 8)
+    texts = [b" ".join(often + words(seed, 1500, 8)) for seed in range(1, 10)]
+    ids = [coder([text])[0] for text in texts]
+    assert {coded[word.decode()] for word in often} == {1}
+    plain = real.from_file(path)
+    for text, own in zip(texts, ids):
+        assert np.frombuffer(own, "<u4").tolist() == plain.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_words_of_small_letters_have_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    small = [chr(c) for c in range(0x61, 0x600) if packing.LOWER.fullmatch(chr(c))]
+    texts = [" ".join(f"{a}{b}th{a}" for b in small[at::97]) for at, a in enumerate(small)]
+    plain, coded = Tokenizer.from_file(path), packing.word_coder(path)([t.encode() for t in texts])
+    assert len(small) > 400
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_labelling_takes_little_memory_at_once():
     sizes = len(language_id.ORDERS) * language_id.BUCKETS, len(language_id.SCRIPT_NAMES)
     model = language_id.Model(["a", "b", "c", "d"], np.ones((sizes[0], 4)), np.ones((sizes[1], 4)))
