@@ -96,6 +96,12 @@ def bounded_cache(limit: int, compute: Callable):
     return Cache()
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have at most so many short rows, broadcast if these are few: a join with it then deals no rows by its
+    key, so that a hot key stays spread."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id and text are not in ``dropped`` (doc_id, text_key); NULLs are equal.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fanfold.llm.common import spread
 from fanfold.session import in_tasks, materialize
 
 
@@ -27,18 +28,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple[int, bool]:
     """The number of edges, and whether they are stars: no node points at two others, or at one that points on."""
-    ends = edges.select(F.inline(F.array(
-        F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
-    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
-    count, rest = nodes.agg(F.sum("ups"), F.count_if(F.expr("ups > 1 OR ups = 1 AND least = 0"))).first()
-    return count or 0, not rest
+    nodes = edges.groupBy("a").agg(F.count(F.lit(1)).alias("ups"))
+    count, most = nodes.agg(F.sum("ups"), F.max("ups")).first()
+    ends = edges.select(F.col("b").alias("a")).distinct()
+    return count or 0, (most or 0) <= 1 and ends.join(nodes, "a", "left_semi").isEmpty()
 
 
 def _large_star(edges: DataFrame, count: int) -> DataFrame:
-    """Joins every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Joins every larger neighbour of a node to the smallest of the node and its neighbours.
+
+    Edges point at the smaller node, so an edge's first node is the larger neighbour of its second, and a node's smallest
+    neighbour is the smallest that it points at.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    moved = edges.join(spread(least, count), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
     return in_tasks(in_tasks(moved, count).distinct(), count)
 
 

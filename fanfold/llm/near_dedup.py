@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanfold.llm.common import as_bytes, give_back, id_and_text, text_key
+from fanfold.llm.common import as_bytes, give_back, id_and_text, spread, text_key
 from fanfold.llm.components import components
 from fanfold.llm.hashing import in_parts, mixed, window_hashes, word_hashes
 from fanfold.session import materialize
@@ -256,6 +256,20 @@ def both_ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (node, component) after more ``links`` (a, b), written once.
+
+    Components stand for their nodes: only those that the links join are worked on, however many nodes they have.
+    """
+    numbers = both_ends(links).join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    numbers = materialize(numbers)
+    ends = [numbers.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")) for end in ("a", "b")]
+    between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    merged = materialize(components(between).select(F.col("node").alias("component"), F.col("component").alias("least")))
+    return materialize(known.unionByName(numbers).distinct().join(spread(merged, merged.count()), "component", "left").select(
+        "node", F.coalesce("least", "component").alias("component")))
+
+
 def leftover_pairs(members: DataFrame, sigs: DataFrame, known: DataFrame, least: list[int], percent: int, low: int, high: int) -> DataFrame:
     """Pairs of different components in buckets that hold several, which verification and the sketches do not drop, with at
     least ``low`` and less than ``high`` matches.
@@ -335,9 +349,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
             new = materialize(both_ends(rest).join(sets, "node", "left_anti"))
             if not new.isEmpty():
                 sets = sets.unionByName(sets_of(new, keys, texts))
-            # Components so far, as stars, stand for the links that made them.
-            stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            known = materialize(components(stars.unionByName(exact_links(rest, sets, percent))))
+            known = joined(known, exact_links(rest, sets, percent))
     labelled = classes.select("set_key", "node", "first").join(known, "node", "left").select(
         "set_key", "first", F.coalesce("component", "node").alias("component"))
     firsts = labelled.groupBy("component").agg(F.min("first").alias("first"))

@@ -263,6 +263,27 @@ def test_components_that_are_stars_already_take_no_step(spark, rows, monkeypatch
     assert rows(components.components(chain)) == sorted([(i, 0) for i in range(41)], key=repr)
 
 
+def test_steps_of_components_list_no_edge_twice(spark, monkeypatch):
+    plans, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    edges = [(i, 1) for i in range(2, 300)] + [(300, 299), (1, 300), (0, 5)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(found) == [(i, 0) for i in range(301)]
+    assert len(plans) > 1 and not any("Generate" in p or "Expand" in p for p in plans)
+
+
+def test_later_links_work_on_components_not_on_their_nodes(spark, rows, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(near_dedup, "components", lambda edges: sizes.append(edges.count()) or components.components(edges))
+    known = [(i, i % 3) for i in range(300)]
+    links = [(7, 9), (300, 4), (302, 301), (5, 2)]
+    found = near_dedup.joined(spark.createDataFrame(known, "node long, component long"), spark.createDataFrame(links, "a long, b long"))
+    assert sizes == [4]
+    want = [(i, 2 if i % 3 == 2 else 0) for i in range(300)] + [(300, 0), (301, 301), (302, 301)]
+    assert rows(found) == sorted(want, key=repr)
+    assert rows(near_dedup.joined(found, spark.createDataFrame([], "a long, b long"))) == rows(found)
+
+
 def test_sketches_drop_pairs_below_the_threshold_and_no_link():
     rng = np.random.default_rng(5)
     for size in (1, 5, 40, 300, 4000):
